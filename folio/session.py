@@ -70,3 +70,20 @@ def est_tokens(text: Column) -> Column:
     """The size estimate max(floor(words * 1.3) + 1, floor(code points / 4)); 0 where there are no words."""
     words = num_words(text)
     return F.when(words > 0, F.greatest(F.floor(words * F.lit(1.3)).cast("long") + 1, F.floor(F.length(text) / 4).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, computed once and kept as Parquet in the shared folder; clean() removes what a session kept."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    kept = getattr(spark.sparkContext, "_folio_kept", [])
+    spark.sparkContext._folio_kept = [*kept, path]
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that materialize() kept; results that read them are invalid afterwards."""
+    for path in getattr(spark.sparkContext, "_folio_kept", []):
+        drop_scratch(spark, path)
+    spark.sparkContext._folio_kept = []
