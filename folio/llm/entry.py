@@ -21,6 +21,24 @@ def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     return marked_terms(table(spark, sf, "chunk"))
 
 
+def _similar(spark: SparkSession, sf: str, field: str):
+    from folio.llm import setjoin
+
+    if field == "text":
+        return setjoin.SimilarSets(setjoin.chunk_texts(table(spark, sf, "chunk")), 5)
+    return setjoin.SimilarSets(setjoin.source_paths(table(spark, sf, "index_meta")), 3)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    both = [_similar(spark, sf, field).pairs().select(F.lit(field).alias("field"), "key_a", "key_b") for field in ("text", "src_path")]
+    return both[0].unionByName(both[1])
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    both = [_similar(spark, sf, field).groups().select(F.lit(field).alias("field"), "key", "class_id", "links") for field in ("text", "src_path")]
+    return both[0].unionByName(both[1])
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from folio.llm.split import split_oversized
 
@@ -64,7 +82,7 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pieces, p4_report, p8_ids, p8_counts, p9_mix, p9_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p8_ids, p8_counts, p9_mix, p9_report)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),
