@@ -57,6 +57,12 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return split_report(table(spark, sf, "chunk"), table(spark, sf, "index_meta"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.knn import NeighbourGraph
+
+    return NeighbourGraph(table(spark, sf, "embedding")).pairs().select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from folio.llm.bpe import token_ids
 
@@ -82,7 +88,7 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p8_ids, p8_counts, p9_mix, p9_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),
