@@ -78,7 +78,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     kept = getattr(spark.sparkContext, "_folio_kept", [])
     spark.sparkContext._folio_kept = [*kept, path]
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
