@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folio.session import ship_package, table
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.markup import records
+
+    return records(table(spark, sf, "chunk"), table(spark, sf, "page_table"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.markup import trees
+
+    return trees(_records(spark, sf)).select("origin", "record_key")
+
+
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.markup import cleaned
+
+    return cleaned(_records(spark, sf))
+
+
+def p1_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.markup import style_tree, trees
+
+    return style_tree(trees(_records(spark, sf)))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from folio.llm.terms import marked_terms
 
@@ -88,7 +112,7 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),

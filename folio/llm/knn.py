@@ -244,7 +244,13 @@ class NeighbourGraph:
         A query enters at its nearest pivots' sample and moves, `hops` times, to the best `beam` of what it knows and their neighbours.
         """
         asked = usable(queries, "query").mapInArrow(_quantize, "key string, model string, v binary").withColumnRenamed("key", "query").withColumnRenamed("v", "qv")
-        entry = self.nodes.withColumn("r", F.row_number().over(_by_hash())).filter(F.col("r") <= 64).select("model", "id")
+        models = [r.model for r in self.nodes.select("model").distinct().collect()]
+        parts = [self.nodes.filter(F.col("model") == m).orderBy(F.xxhash64("key"), "key").limit(64).select("model", "id") for m in models]
+        if not parts:
+            return self.vectors.select(F.lit("").alias("query"), F.lit("").alias("key"), F.lit(0.0).alias("cosine")).limit(0)
+        entry = parts[0]
+        for p in parts[1:]:
+            entry = entry.unionByName(p)
         front = asked.join(entry, "model").select("query", "qv", "model", "id")
         best = self._ranked(front, beam)
         for _ in range(hops):
@@ -265,9 +271,3 @@ class NeighbourGraph:
         scored = front.join(self.vectors, "id").select("query", "qv", "model", "id", "v").mapInArrow(score, "query string, qv binary, model string, id long, score double")
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam)
-
-
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("model").orderBy(F.xxhash64("key"), "key")

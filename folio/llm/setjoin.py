@@ -26,8 +26,10 @@ from folio.session import cut, materialize
 COORDINATES = 48
 LEAF = 40
 #: Rows of one node that a task holds at most, and rows of a block where a node of the last level is larger than that.
-NODE_ROWS, BLOCK_ROWS = 20_000, 5_000
+NODE_ROWS, BLOCK_ROWS = 60_000, 5_000
 DEPTH, SPARK_DEPTH = 14, 8
+#: Levels of the branching process that the number of trees is computed for.
+LEVELS = 4
 EXPAND = 100
 ENTRY = "path long, id long, sketch binary"
 FOUND = "a long, b long, path long, sketch binary"
@@ -53,7 +55,7 @@ def trees_for(recall: float, threshold: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
 
 
-def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(texts: list[str], q: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all q-grams of all texts, and where each text's begin; a text shorter than q is filled up with zeros."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     raw = [r if len(r) >= 4 * q else r.ljust(4 * q, b"\0") for r in raw]
@@ -68,7 +70,8 @@ def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
         cross = starts[1:] - k
         keep[cross] = False
     counts = lengths - q + 1
-    return (mix64(h[keep]) >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
+    mixed = mix64(h[keep])
+    return mixed if bits == 64 else (mixed >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
 
 
 def signatures(texts: list[str], q: int) -> np.ndarray:
@@ -226,7 +229,7 @@ def _leaves(batches, threshold: float, least: int):
             continue
         kept.append((p, i, s.copy()))
         held += len(p)
-        if held >= 4 * NODE_ROWS:
+        if held >= 2 * NODE_ROWS:
             yield from ready(False)
     if kept:
         yield from ready(True)
@@ -248,10 +251,10 @@ def _block_pairs(entries: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("path", F.least("k", F.col("o").cast("long")), F.greatest("k", F.col("o").cast("long"))).alias("path"), "id", "sketch")
 
 
-def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float, n: int) -> DataFrame:
+def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float) -> DataFrame:
     """(a, b) ids of classes (id, text) that met in a leaf and may be similar enough."""
-    depth = max(1, min(5, round(math.log(max(n, 2) / 3_000) / math.log(10)))) if n > LEAF * 4 else 1
-    trees = trees_for(recall, threshold, depth + 2)
+    depth = 1
+    trees = trees_for(recall, threshold, LEVELS)
     sd = math.sqrt(COORDINATES * threshold * (1 - threshold))
     least = math.floor(COORDINATES * threshold - 3.3 * sd)
     entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, threshold, trees, depth), ENTRY)
@@ -270,31 +273,42 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float,
         level += 1
 
 
-def _verify(batches, q: int, threshold: float):
-    def grams(t):
-        return {t[k : k + q] for k in range(max(1, len(t) - q + 1))}
+def _gram_sets(texts: list[str], q: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's q-grams; two grams of these texts share a hash with probability below 1e-12."""
+    h, starts = _grams(texts, q, bits=64)
+    return [np.unique(x) for x in np.split(h, starts[1:])]
+
 
+def _verify(batches, q: int, threshold: float):
     for batch in batches:
-        rows = batch.to_pydict()
-        keep, last, held = [], None, set()
-        for x, y in zip(rows["text_a"], rows["text_b"]):
-            if x is not last:
-                last, held = x, grams(x)
-            other = grams(y)
-            common = len(held & other)
-            keep.append(common >= threshold * (len(held) + len(other) - common) - 1e-12)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
+            x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+            place = {t: k for k, t in enumerate(dict.fromkeys(x + y))}
+            sets = _gram_sets(list(place), q)
+            keep = []
+            for s, t in zip(x, y):
+                g, h = sets[place[s]], sets[place[t]]
+                if min(len(g), len(h)) < threshold * max(len(g), len(h)) - 1e-9:
+                    keep.append(False)
+                    continue
+                both = np.concatenate([g, h])
+                both.sort()
+                common = np.count_nonzero(both[1:] == both[:-1])
+                keep.append(bool(common >= threshold * (len(both) - common) - 1e-9))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def normalized(text: Column) -> Column:
     """Runs of space, tab, CR and LF as one space, ends trimmed of spaces, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")))
+    words = F.array_remove(F.split(F.translate(text, "\t\r\n", "   "), " "), "")
+    return F.lower(F.array_join(words, " "))
 
 
 class SimilarSets:
     """Classes of equal texts and the similar pairs of classes of a table of (key, text), texts as they are compared."""
 
-    def __init__(self, records: DataFrame, q: int, threshold: float = 0.7, recall: float = 0.97) -> None:
+    def __init__(self, records: DataFrame, q: int, threshold: float = 0.7, recall: float = 0.99) -> None:
         rows = records.filter(F.col("key").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("key").cast("string").alias("key"), "text")
         rows = rows.withColumn("h", F.md5("text"))
         grouped = rows.groupBy("h").agg(F.min("key").alias("rep"), F.max("key").alias("other"), F.first("text").alias("text"))
@@ -304,8 +318,7 @@ class SimilarSets:
         several = self.classes.filter("rep <> other").select("id", "h", "rep")
         sized = members.join(several, "h").withColumn("n", F.count("*").over(_by("id")))
         self.copies = materialize(sized.select("id", "key", "rep", "n"), "copies")
-        n = self.classes.count()
-        near = candidate_pairs(self.classes, q, threshold, recall, n)
+        near = candidate_pairs(self.classes, q, threshold, recall)
         texts = self.classes.select("id", "text")
         both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         self.links = materialize(both.mapInArrow(lambda it: _verify(it, q, threshold), "a long, b long"), "links")
