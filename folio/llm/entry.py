@@ -112,7 +112,13 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from folio.llm.sentences import sentences
+
+    return sentences(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),

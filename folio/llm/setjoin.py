@@ -273,36 +273,37 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float)
         level += 1
 
 
-def _gram_sets(texts: list[str], q: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's q-grams; two grams of these texts share a hash with probability below 1e-12."""
+def _tagged(texts: list[str], q: int) -> list[np.ndarray]:
+    """Sorted distinct 52-bit hashes of each text's q-grams; the chance that two grams of a pair share one is below 1e-8."""
     h, starts = _grams(texts, q, bits=64)
-    return [np.unique(x) for x in np.split(h, starts[1:])]
+    sizes = np.diff(np.r_[starts, len(h)])
+    tag = np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(52), sizes)
+    both = np.sort(tag | (h >> np.uint64(12)))
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    edges = np.searchsorted(both, np.arange(1, len(texts), dtype=np.uint64) << np.uint64(52))
+    return [x & np.uint64((1 << 52) - 1) for x in np.split(both, edges)]
 
 
 def _verify(batches, q: int, threshold: float):
     for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
+        for at in range(0, len(batch), 1024):
+            part = batch.slice(at, 1024)
             x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
             place = {t: k for k, t in enumerate(dict.fromkeys(x + y))}
-            sets = _gram_sets(list(place), q)
-            keep = []
-            for s, t in zip(x, y):
-                g, h = sets[place[s]], sets[place[t]]
-                if min(len(g), len(h)) < threshold * max(len(g), len(h)) - 1e-9:
-                    keep.append(False)
-                    continue
-                both = np.concatenate([g, h])
-                both.sort()
-                common = np.count_nonzero(both[1:] == both[:-1])
-                keep.append(bool(common >= threshold * (len(both) - common) - 1e-9))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = _tagged(list(place), q)
+            left, right = [sets[place[t]] for t in x], [sets[place[t]] for t in y]
+            sizes = np.array([len(g) + len(h) for g, h in zip(left, right)])
+            tag = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(52), sizes)
+            merged = np.sort(tag | np.concatenate([z for pair in zip(left, right) for z in pair]))
+            twice = merged[1:][merged[1:] == merged[:-1]]
+            common = np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(sizes))
+            yield part.select(["a", "b"]).filter(pa.array(common >= threshold * (sizes - common) - 1e-9))
 
 
 def normalized(text: Column) -> Column:
     """Runs of space, tab, CR and LF as one space, ends trimmed of spaces, lower case."""
-    words = F.array_remove(F.split(F.translate(text, "\t\r\n", "   "), " "), "")
-    return F.lower(F.array_join(words, " "))
+    # Only runs that change are matched.
+    return F.lower(F.trim(F.regexp_replace(text, r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+", " ")))
 
 
 class SimilarSets:
