@@ -132,7 +132,7 @@ def _introduce(batches):
 
     def solve(table: pa.RecordBatch):
         node, ids, least = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
-        known = np.array(table.column(3).to_pylist(), np.int64).reshape(len(ids), K)
+        known = table.column(3).flatten().to_numpy().reshape(len(ids), K)
         x = _matrix(table.column(4)).astype(np.float64)
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         sizes = np.diff(np.r_[starts, len(node)])
@@ -187,7 +187,7 @@ def _merged(lists: DataFrame) -> DataFrame:
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
-    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 3, delta: float = 0.01) -> None:
+    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.005) -> None:
         spark = vectors.sparkSession
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
         self.nodes = materialize(quantized.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "vectors")
@@ -203,8 +203,9 @@ class NeighbourGraph:
         self.graph = materialize(_merged(lists), "graph")
         total = sum(counts.values())
         self.changed: list[int] = []
+        offers = None
         for _ in range(rounds):
-            offers = materialize(self._offers(), "offers")
+            offers = materialize(self._offers(offers), "offers")
             self.changed.append(offers.count())
             if self.changed[-1] == 0:
                 break
@@ -212,17 +213,20 @@ class NeighbourGraph:
             if self.changed[-1] < delta * K * total:
                 break
 
-    def _offers(self) -> DataFrame:
-        """One round: neighbours of neighbours that belong into a list."""
+    def _offers(self, last: DataFrame | None) -> DataFrame:
+        """One round: neighbours of neighbours that belong into a list. After the first, only nodes at the end of a new edge introduce."""
         edges = self.graph.select("id", F.explode("neighbours").alias("n")).select("id", F.col("n.id").alias("other"), F.col("n.score").alias("score"))
         back = edges.groupBy(F.col("other").alias("node")).agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), asc=False), 1, REVERSE).alias("r"))
         members = self.graph.select(F.col("id").alias("node"), F.transform("neighbours", lambda n: n.id).alias("f"))
         members = members.join(back, "node", "left").select("node", F.explode(F.array_union(F.col("f"), F.coalesce(F.transform("r", lambda n: n.id), F.array().cast("array<long>")))).alias("id"))
-        ids = F.transform("neighbours", lambda n: n.id.bitwiseAND(F.lit(0xFFFF)))
-        filled = F.slice(F.concat(ids, F.array_repeat(F.lit(-1).cast("long"), K)), 1, K)
+        if last is not None:
+            new = last.select(F.col("id").alias("node")).unionByName(last.select(F.explode("neighbours.id").alias("node"))).distinct()
+            members = members.join(new, "node", "left_semi")
+        ids = F.transform("neighbours", lambda n: n.id.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        filled = F.slice(F.concat(ids, F.array_repeat(F.lit(-1), K)), 1, K)
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
         own = self.vectors.join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
-        own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", F.array_repeat(F.lit(-1).cast("long"), K)).alias("known"), "v")
+        own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", F.array_repeat(F.lit(-1), K)).alias("known"), "v")
         rows = members.join(own, "id").select("node", "id", "least", "known", "v")
         return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_introduce, NODES)
 
