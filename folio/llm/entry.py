@@ -87,6 +87,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return NeighbourGraph(table(spark, sf, "embedding")).pairs().select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
+def _scans(spark: SparkSession, sf: str):
+    from folio.llm import scans
+
+    return scans.ScanModel(scans.records(table(spark, sf, "page"), table(spark, sf, "chunk")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf).found()
+
+
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf).repaired()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from folio.llm.bpe import token_ids
 
@@ -118,7 +132,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p7_found, p7_repaired, p8_ids, p8_counts, p9_mix, p9_report, p10_found)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.session import materialize
 
-DIM, K, CELLS, REVERSE = 64, 6, 2, 12
+DIM, K, CELLS, REVERSE = 64, 6, 3, 12
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
-CELL_ROWS, PIVOTS, LEAF = 1_200, 2_048, 2_500
+CELL_ROWS, PIVOTS, LEAF = 600, 2_048, 3_000
 SCALE = 32_767
 NODES = "id long, neighbours array<struct<score:double,id:long>>"
 
