@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import incremental
+from folio.plans import incremental, retrieval
 
-MODULES = (incremental,)
+MODULES = (incremental, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
