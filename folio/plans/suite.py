@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import incremental, retrieval
+from folio.plans import incremental, retrieval, tables
 
-MODULES = (incremental, retrieval)
+MODULES = (incremental, retrieval, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
