@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import incremental, retrieval, tables
+from folio.plans import incremental, pages, retrieval, tables
 
-MODULES = (incremental, retrieval, tables)
+MODULES = (incremental, retrieval, tables, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
