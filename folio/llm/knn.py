@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.session import materialize
 
-DIM, K, CELLS, REVERSE = 64, 6, 3, 12
+DIM, K, CELLS, REVERSE = 64, 5, 3, 8
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
 CELL_ROWS, PIVOTS, LEAF = 600, 2_048, 3_000
 SCALE = 32_767
@@ -187,7 +187,7 @@ def _merged(lists: DataFrame) -> DataFrame:
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
-    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.005) -> None:
+    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.02) -> None:
         spark = vectors.sparkSession
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
         self.nodes = materialize(quantized.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "vectors")
