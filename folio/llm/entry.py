@@ -49,7 +49,7 @@ def _similar(spark: SparkSession, sf: str, field: str):
     from folio.llm import setjoin
 
     if field == "text":
-        return setjoin.SimilarSets(setjoin.chunk_texts(table(spark, sf, "chunk")), 5)
+        return setjoin.SimilarSets(setjoin.chunk_texts(table(spark, sf, "chunk")), 5, setjoin.normalized)
     return setjoin.SimilarSets(setjoin.source_paths(table(spark, sf, "index_meta")), 3)
 
 

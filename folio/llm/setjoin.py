@@ -15,11 +15,13 @@ through its smallest key alone: its copies to that key, and other classes to tha
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folio.session import cut, materialize
 
@@ -256,7 +258,7 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float)
     depth = 1
     trees = trees_for(recall, threshold, LEVELS)
     sd = math.sqrt(COORDINATES * threshold * (1 - threshold))
-    least = math.floor(COORDINATES * threshold - 3.3 * sd)
+    least = math.floor(COORDINATES * threshold - 2.4 * sd)
     entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, threshold, trees, depth), ENTRY)
     found, level = None, depth
     while True:
@@ -300,18 +302,28 @@ def _verify(batches, q: int, threshold: float):
             yield part.select(["a", "b"]).filter(pa.array(common >= threshold * (sizes - common) - 1e-9))
 
 
-def normalized(text: Column) -> Column:
+GAPS = re.compile(r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+")
+
+
+def normalized(text: str) -> str:
     """Runs of space, tab, CR and LF as one space, ends trimmed of spaces, lower case."""
-    # Only runs that change are matched.
-    return F.lower(F.trim(F.regexp_replace(text, r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+", " ")))
+    return GAPS.sub(" ", text).strip(" ").lower()
+
+
+def _hashed(batches, clean):
+    for batch in batches:
+        texts = [None if t is None else clean(t) for t in batch.column(1).to_pylist()]
+        marks = [None if not t else hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), pa.array(texts, pa.string())], ["key", "h", "text"])
+        yield out.filter(pa.array([m is not None for m in marks]))
 
 
 class SimilarSets:
-    """Classes of equal texts and the similar pairs of classes of a table of (key, text), texts as they are compared."""
+    """Classes of equal texts and the similar pairs of classes of a table of (key, text); clean() gives the text that is compared."""
 
-    def __init__(self, records: DataFrame, q: int, threshold: float = 0.7, recall: float = 0.99) -> None:
-        rows = records.filter(F.col("key").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("key").cast("string").alias("key"), "text")
-        rows = rows.withColumn("h", F.md5("text"))
+    def __init__(self, records: DataFrame, q: int, clean=str.lower, threshold: float = 0.7, recall: float = 0.99) -> None:
+        rows = records.filter(F.col("key").isNotNull() & F.col("text").isNotNull()).select(F.col("key").cast("string").alias("key"), "text")
+        rows = rows.mapInArrow(lambda it: _hashed(it, clean), "key string, h string, text string")
         grouped = rows.groupBy("h").agg(F.min("key").alias("rep"), F.max("key").alias("other"), F.first("text").alias("text"))
         self.classes = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
         members = rows.select("key", "h").distinct()
@@ -373,8 +385,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.col("chunk_id").alias("key"), normalized(F.col("text")).alias("text"))
+    return chunks.select(F.col("chunk_id").alias("key"), "text")
 
 
 def source_paths(meta: DataFrame) -> DataFrame:
-    return meta.select(F.col("doc").alias("key"), F.lower("src_path").alias("text"))
+    return meta.select(F.col("doc").alias("key"), F.col("src_path").alias("text")).distinct()
