@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import events, incremental, index, pages, retrieval, tables
+from folio.plans import events, incremental, index, metrics, pages, retrieval, tables
 
-MODULES = (incremental, retrieval, tables, pages, index, events)
+MODULES = (incremental, retrieval, tables, pages, index, events, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
