@@ -190,7 +190,11 @@ class NeighbourGraph:
     def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.02) -> None:
         spark = vectors.sparkSession
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
-        self.nodes = materialize(quantized.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "vectors")
+        every = materialize(quantized.withColumn("id", F.monotonically_increasing_id()), "vectors")
+        # Copies of a key are found by key and id, without moving the vectors.
+        repeated = every.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        copies = materialize(every.select("key", "id").join(repeated, "key").filter("id > first").select("id"), "copies")
+        self.nodes = every.join(copies, "id", "left_anti").select("key", "model", "v", "id")
         counts = dict(self.nodes.groupBy("model").count().collect())
         pivots = {}
         for model, n in counts.items():
