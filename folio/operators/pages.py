@@ -27,7 +27,6 @@ def phrase_repeats(rows: DataFrame, key: str, words, text: str = "text") -> Data
     return out.withColumn("runaway", (F.col("repeats") >= 25) & (F.col("repeats") >= 0.1 * F.col("grams")))
 
 
-@F.pandas_udf("double")
 def _ratio(texts: pd.Series) -> pd.Series:
     raw = texts.map(lambda t: " ".join(t.split()).encode() if t else b"")
     return raw.map(lambda b: len(zlib.compress(b)) / len(b) if b else 1.0)
@@ -36,7 +35,7 @@ def _ratio(texts: pd.Series) -> pd.Series:
 def compression(rows: DataFrame, key: str, text: str = "text", least_words: int = 150) -> DataFrame:
     """(key, ratio, runaway): compressed over raw size of texts of enough words; 1 for others."""
     enough = F.size(F.split(F.trim(text), r"\s+")) >= least_words
-    return rows.select(key, F.when(enough, _ratio(F.col(text))).otherwise(1.0).alias("ratio")).withColumn("runaway", F.col("ratio") < 0.1)
+    return rows.select(key, F.when(enough, F.pandas_udf(_ratio, "double")(F.col(text))).otherwise(1.0).alias("ratio")).withColumn("runaway", F.col("ratio") < 0.1)
 
 
 def repeated_bands(pages: DataFrame, least: int) -> DataFrame:
