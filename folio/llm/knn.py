@@ -187,7 +187,7 @@ def _merged(lists: DataFrame) -> DataFrame:
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
-    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.02) -> None:
+    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.05) -> None:
         spark = vectors.sparkSession
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
         every = materialize(quantized.withColumn("id", F.monotonically_increasing_id()), "vectors")
