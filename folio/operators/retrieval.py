@@ -21,11 +21,11 @@ def tokenized(records: DataFrame) -> DataFrame:
 
 
 def postings(toked: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(collection, term, id, tf); with terms, only of those, filtered before anything is shuffled."""
-    rows = toked.select("collection", "id", F.explode("toks").alias("term"))
+    """(collection, term, id, tf, dl), dl the record's length; with terms, only of those, filtered before anything is shuffled."""
+    rows = toked.select("collection", "id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("collection", "term", "id").agg(F.count("*").alias("tf"))
+    return rows.groupBy("collection", "term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def lengths(toked: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def bm25(toked: DataFrame, queries: DataFrame) -> DataFrame:
     stats = lengths(toked).groupBy("collection").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("collection", "term").agg(F.count("*").alias("df"))
     idf = df.join(stats, "collection").select("collection", "term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = post.join(idf, ["collection", "term"]).join(lengths(toked), ["collection", "id"])
+    hits = post.join(idf, ["collection", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.join(asked, "term").groupBy("qid", "collection", "id").agg(F.sum(part).alias("score"))
 
