@@ -202,4 +202,34 @@ def low_confidence(chunks, trace):
     return chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "source").join(low, "source", "left").select("chunk_id", "confidence")
 
 
+@REG.query("page")
+def found_tables(pages):
+    from folio.operators.markdown_tables import tables_of
+
+    return tables_of(unique_pages(pages))
+
+
+@REG.query("page", "page_table", sql=f"""WITH p AS ({_PAGE}), t AS (SELECT DISTINCT doc, page, table_no, start_at, end_at, lower(kind) AS kind FROM page_table WHERE kind <> '' AND rows IS NOT NULL)
+SELECT doc, page, table_no, kind, substring(md, start_at + 1, 6) AS opening, end_at - start_at AS n FROM t JOIN p USING (doc, page)""")
+def table_sources(pages, tables):
+    """The source of each table, by its place in the page."""
+    t = tables.filter("kind <> '' AND rows IS NOT NULL").select("doc", "page", "table_no", "start_at", "end_at", F.lower("kind").alias("kind")).distinct()
+    return t.join(unique_pages(pages), ["doc", "page"]).select("doc", "page", "table_no", "kind", F.substring("md", F.col("start_at") + 1, F.lit(6)).alias("opening"), (F.col("end_at") - F.col("start_at")).alias("n"))
+
+
+@REG.query("page")
+def continued_tables(pages):
+    from folio.operators.markdown_tables import reconcile
+
+    return reconcile(unique_pages(pages))
+
+
+@REG.query("chunk", "page")
+def lost_lines(chunks, pages):
+    from folio.operators.layers import lost_lines as lost
+
+    layer = chunks.filter("text IS NOT NULL AND page <> ''").dropDuplicates(["chunk_id"]).select("doc", "page", "ord", "text")
+    return lost(layer, unique_pages(pages).select("doc", F.col("page").cast("string").alias("page"), "md"))
+
+
 QUERIES, SQL = REG.queries, REG.sql
