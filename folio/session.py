@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf
     own = getattr(spark.sparkContext, "_folio_dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="folio-shared-")
         spark.sparkContext.setCheckpointDir(own)
         spark.sparkContext._folio_dir = own
