@@ -15,6 +15,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,11 @@ class Encoder:
         self.table = dict(enumerate(self.alphabet))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.n = max(self.vocab.values()) + 1
-        self.longest = max(map(len, self.vocab))
+        #: The longest token that begins with two characters.
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            if len(token) > self.reach.get(token[:2], 1):
+                self.reach[token[:2]] = len(token)
         rank = np.full(self.n, -1, np.int64)
         left, right = np.arange(self.n), np.arange(self.n)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -67,9 +72,11 @@ class Encoder:
 
     def greedy(self, word: str) -> list[int]:
         """Longest tokens from left to right; word in the byte alphabet."""
-        out, at, n, vocab = [], 0, len(word), self.vocab
+        out, at, n, vocab, reach = [], 0, len(word), self.vocab, self.reach
         while at < n:
-            end = min(n, at + self.longest)
+            end = at + reach.get(word[at : at + 2], 1)
+            if end > n:
+                end = n
             while (t := vocab.get(word[at:end])) is None:
                 end -= 1
             out.append(t)
@@ -100,13 +107,20 @@ class Encoder:
 
     def exact(self, word: str) -> list[int]:
         """The merges in order of rank, leftmost first."""
+        merge, never = self.merge, (1 << 60, 0)
         parts = [self.vocab[c] for c in word]
-        while len(parts) > 1:
-            best = min(((self.merge.get(p, (1 << 60, 0))[0], k) for k, p in enumerate(zip(parts, parts[1:]))), default=None)
-            if best is None or best[0] == 1 << 60:
+        open_ = [merge.get(p, never) for p in zip(parts, parts[1:])]
+        while open_:
+            best = min(open_)
+            if best is never:
                 break
-            k = best[1]
-            parts[k : k + 2] = [self.merge[parts[k], parts[k + 1]][1]]
+            k = open_.index(best)
+            parts[k : k + 2] = [best[1]]
+            del open_[k]
+            if k < len(open_):
+                open_[k] = merge.get((parts[k], parts[k + 1]), never)
+            if k:
+                open_[k - 1] = merge.get((parts[k - 1], parts[k]), never)
         return parts
 
     def learn(self, words) -> None:
@@ -167,8 +181,7 @@ class Encoder:
                 if len(self.words) <= len(new):
                     self.learn(set().union(*split).difference(known))
             for words in split:
-                for ids in map(known.__getitem__, words):
-                    flat.extend(ids)
+                flat.extend(chain.from_iterable(map(known.__getitem__, words)))
                 ends.append(len(flat))
         return flat, np.array(ends, np.int64)
 
