@@ -81,7 +81,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     kept = getattr(spark.sparkContext, "_folio_kept", [])
     spark.sparkContext._folio_kept = [*kept, path]
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._folio_path = path
+    return kept
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table of materialize() that nothing will read again."""
+    path = getattr(df, "_folio_path", None)
+    if path is not None:
+        drop_scratch(df.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
