@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.session import materialize
+from folio.session import materialize, release
 
 DIM, K, CELLS, REVERSE = 64, 5, 3, 8
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
@@ -213,7 +213,8 @@ class NeighbourGraph:
             self.changed.append(offers.count())
             if self.changed[-1] == 0:
                 break
-            self.graph = materialize(_merged(self.graph.unionByName(offers)), "graph")
+            before, self.graph = self.graph, materialize(_merged(self.graph.unionByName(offers)), "graph")
+            release(before)
             if self.changed[-1] < delta * K * total:
                 break
 
