@@ -98,3 +98,15 @@ def clean(spark: SparkSession) -> None:
     for path in getattr(spark.sparkContext, "_folio_kept", []):
         drop_scratch(spark, path)
     spark.sparkContext._folio_kept = []
+
+
+def bounded_sample(df: DataFrame, keys: list[str], size: int, n: int | None = None) -> list:
+    """About `size` rows of df, chosen by a hash of keys, on the driver; all of them where there are no more.
+
+    Only chosen rows leave their tasks, so the driver gets no more from many partitions than from few.
+    """
+    n = df.count() if n is None else n
+    share = 1.0 if n <= size else 1.1 * size / n
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 11) / float(1 << 53)
+    rows = df.withColumn("_place", place).filter(F.col("_place") < share).limit(2 * size).collect()
+    return sorted(rows, key=lambda r: (r._place, tuple(str(r[k]) for k in keys)))[:size]
