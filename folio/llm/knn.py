@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.session import materialize, release
+from folio.session import bounded_sample, materialize, release
 
 DIM, K, CELLS, REVERSE = 64, 5, 3, 8
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
@@ -195,11 +195,11 @@ class NeighbourGraph:
         repeated = every.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
         copies = materialize(every.select("key", "id").join(repeated, "key").filter("id > first").select("id"), "copies")
         self.nodes = every.join(copies, "id", "left_anti").select("key", "model", "v", "id")
-        counts = dict(self.nodes.groupBy("model").count().collect())
+        self.counts = counts = dict(self.nodes.groupBy("model").count().collect())
         pivots = {}
         for model, n in counts.items():
             want = int(min(PIVOTS, max(1, n // CELL_ROWS)))
-            drawn = self.nodes.filter(F.col("model") == model).orderBy(F.xxhash64("key"), "key").limit(want).select("v").collect()
+            drawn = bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v"), ["key"], want, n)
             pivots[model] = np.frombuffer(b"".join(bytes(r.v) for r in drawn), "<i2").reshape(-1, DIM).astype(np.float32)
         self.vectors = self.nodes.select("id", "v")
         cells = self.nodes.select("id", "model", "v").mapInArrow(lambda it: _assign(it, pivots), "cell string, id long, v binary")
@@ -253,13 +253,8 @@ class NeighbourGraph:
         A query enters at its nearest pivots' sample and moves, `hops` times, to the best `beam` of what it knows and their neighbours.
         """
         asked = usable(queries, "query").mapInArrow(_quantize, "key string, model string, v binary").withColumnRenamed("key", "query").withColumnRenamed("v", "qv")
-        models = [r.model for r in self.nodes.select("model").distinct().collect()]
-        parts = [self.nodes.filter(F.col("model") == m).orderBy(F.xxhash64("key"), "key").limit(64).select("model", "id") for m in models]
-        if not parts:
-            return self.vectors.select(F.lit("").alias("query"), F.lit("").alias("key"), F.lit(0.0).alias("cosine")).limit(0)
-        entry = parts[0]
-        for p in parts[1:]:
-            entry = entry.unionByName(p)
+        drawn = [(m, r.id) for m, n in self.counts.items() for r in bounded_sample(self.nodes.filter(F.col("model") == m).select("key", "id"), ["key"], 64, n)]
+        entry = F.broadcast(self.nodes.sparkSession.createDataFrame(drawn, "model string, id long"))
         front = asked.join(entry, "model").select("query", "qv", "model", "id")
         best = self._ranked(front, beam)
         for _ in range(hops):
