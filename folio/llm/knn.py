@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.session import bounded_sample, materialize, release
 
-DIM, K, CELLS, REVERSE = 64, 5, 3, 8
+DIM, K, CELLS, REVERSE = 64, 5, 3, 5
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
 CELL_ROWS, PIVOTS, LEAF = 600, 2_048, 3_000
 SCALE = 32_767
