@@ -1,12 +1,14 @@
 """Chosen-path similarity join of q-gram sets.
 
 Exact copies are one class first. Every class has a minwise signature; a tree's root holds all classes, and a node chooses
-coordinates at random (the same for all its members, so that similar members stay together), 1 / threshold of them on average,
-and sends each member to the child of the chosen coordinate's value. Nodes of at most LEAF members are compared exhaustively.
-A pair at the threshold survives a tree with a probability that the branching process gives, from which the number of
-independent trees for the target recall follows. The first levels run where the texts are, the others in the task that holds
-the node; a node too large for one task goes back to Spark, is branched there, and is in the end compared block by block, so
-nothing is dropped. Surviving pairs are verified on the exact sets.
+two coordinates at random (the same for all its members, so that similar members stay together) and sends each member to the
+child of each coordinate's value; no two roots share a coordinate. Nodes of at most LEAF members are compared exhaustively, and
+so are larger ones in which a sample finds a DENSE share of similar pairs, as their pairs are a result of about that size.
+Two children keep the branching process of a pair above the critical point, so its survival hardly falls with the depth; the
+number of trees for the target recall is computed for the deepest level there can be, over the numbers of coordinates in which
+a pair at the threshold may agree. The first level runs where the texts are, the others in the task that holds the node; a node
+too large for one task goes back to Spark, is branched there, and is in the end compared block by block, so nothing is dropped.
+Surviving pairs are verified on the exact sets.
 
 Null and blank texts are left out; rows that repeat a key are one record; a text shorter than q has itself as its only gram.
 Copies of a text are linked with each other and with all copies of a similar text; a class of more than EXPAND copies is linked
@@ -30,8 +32,13 @@ LEAF = 40
 #: Rows of one node that a task holds at most, and rows of a block where a node of the last level is larger than that.
 NODE_ROWS, BLOCK_ROWS = 60_000, 5_000
 DEPTH, SPARK_DEPTH = 14, 8
-#: Levels of the branching process that the number of trees is computed for.
-LEVELS = 4
+#: Levels of the branching process that the number of trees is computed for: all there can be.
+LEVELS = SPARK_DEPTH + DEPTH
+CHILDREN = 2
+#: Pairs looked at in a node larger than LEAF, and the share of them at the threshold from which on the node is compared whole.
+SAMPLE, DENSE = 32, 0.2
+#: Pairs a task holds before it hands them on.
+HELD_PAIRS = 1_000_000
 EXPAND = 100
 ENTRY = "path long, id long, sketch binary"
 FOUND = "a long, b long, path long, sketch binary"
@@ -45,16 +52,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def survival(similarity: float, threshold: float, depth: int) -> float:
-    """Probability that a pair of that similarity meets in a node of that depth of one tree."""
+def survival(agreement: float, depth: int) -> float:
+    """Probability that a pair that agrees in that share of the coordinates meets in a node of that depth of one tree."""
     q = 1.0
     for _ in range(depth):
-        q = 1 - math.exp(-similarity / threshold * q)
+        q = 1 - (1 - agreement * q) ** CHILDREN
     return q
 
 
+def recall_of(trees: int, similarity: float, depth: int) -> float:
+    """Probability that a pair of that similarity meets in one of the trees, which all share the coordinates."""
+    agree = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, int(k)) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree])
+    missed = np.array([(1 - survival(k / COORDINATES, depth)) ** trees for k in agree])
+    return float(chance @ (1 - missed))
+
+
 def trees_for(recall: float, threshold: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
+    """Trees for that recall at the threshold; each has coordinates of its own at the root."""
+    for n in range(1, COORDINATES // CHILDREN + 1):
+        if recall_of(n, threshold, depth) >= recall:
+            return n
+    raise ValueError(f"{COORDINATES} coordinates don't give a recall of {recall} at {threshold}")
 
 
 def _grams(texts: list[str], q: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -93,26 +112,15 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
     return (mix64(sig.astype(np.uint64) + _GOLD) >> np.uint64(56)).astype(np.uint8)
 
 
-def _branch(path: np.ndarray, row: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The children's paths and rows: each node's chosen coordinates, each member's value at them."""
-    nodes, which = np.unique(path, return_inverse=True)
-    bound = np.uint64(min(1.0, 1 / (threshold * COORDINATES)) * 2.0**63) * np.uint64(2)
-    coordinate = np.arange(1, COORDINATES + 1, dtype=np.uint64) * _M2
-    paths, rows = [], []
-    for at in range(0, len(nodes), 50_000):
-        draw = mix64(nodes[at : at + 50_000, None] + coordinate[None, :])
-        node, coord = np.nonzero(draw < bound)
-        seed = draw[node, coord]
-        inside = np.flatnonzero((which >= at) & (which < at + 50_000))
-        order = inside[np.argsort(which[inside], kind="stable")]
-        sizes = np.bincount(which[inside] - at, minlength=len(draw))
-        first = np.cumsum(sizes) - sizes
-        reps = sizes[node]
-        member = order[np.repeat(first[node], reps) + _within(reps)]
-        value = values[row[member], np.repeat(coord, reps)].astype(np.uint64)
-        paths.append(mix64(np.repeat(seed, reps) * _GOLD + value + np.uint64(1)))
-        rows.append(row[member])
-    return (np.concatenate(paths), np.concatenate(rows)) if paths else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def _branch(path: np.ndarray, row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children's paths and rows: each node's CHILDREN chosen coordinates, each member's value at them."""
+    draw = mix64(path)
+    first, step = draw % np.uint64(COORDINATES), np.uint64(1) + (draw >> np.uint64(32)) % np.uint64(COORDINATES - 1)
+    paths = []
+    for coord in (first, (first + step) % np.uint64(COORDINATES)):
+        seed = mix64(path + (coord + np.uint64(1)) * _M2)
+        paths.append(mix64(seed * _GOLD + values[row, coord.astype(np.int64)].astype(np.uint64) + np.uint64(1)))
+    return np.concatenate(paths), np.tile(row, CHILDREN)
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -121,8 +129,8 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def _compare(starts, sizes, rows, ids, sketch, least, out) -> None:
-    """Adds to out the pairs inside the runs of rows whose sketches agree in at least `least` bytes."""
+def _compare(starts, sizes, rows, ids, sketch, least):
+    """The pairs inside the runs of rows whose sketches agree in at least `least` bytes, in parts."""
     left = np.repeat(starts, sizes) + _within(sizes)
     more = np.repeat(starts + sizes, sizes) - left - 1
     ends = np.cumsum(more)
@@ -135,13 +143,29 @@ def _compare(starts, sizes, rows, ids, sketch, least, out) -> None:
         a, b = rows[i], rows[j]
         good = np.count_nonzero(sketch[a] == sketch[b], axis=1) >= least
         a, b = ids[a[good]], ids[b[good]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
         at = upto
 
 
-def _solve(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, least: int) -> np.ndarray:
-    """Distinct pairs of ids that meet in a leaf below these nodes and whose sketches agree enough."""
-    row, out = np.arange(len(ids)), []
+def _dense(nodes, starts, sizes, row, sketch, threshold: float) -> np.ndarray:
+    """Whether a share of DENSE of the pairs of each node are at the threshold, by a sample drawn from the node's path."""
+    share = np.empty(len(nodes))
+    for at in range(0, len(nodes), 5_000):
+        n = sizes[at : at + 5_000, None].astype(np.uint64)
+        u = mix64(nodes[at : at + 5_000, None] + np.arange(1, SAMPLE + 1, dtype=np.uint64) * _M1)
+        i = u % n
+        j = (i + np.uint64(1) + (u >> np.uint64(32)) % (n - np.uint64(1))) % n
+        a, b = (sketch[row[starts[at : at + 5_000, None] + x.astype(np.int64)]] for x in (i, j))
+        share[at : at + 5_000] = (np.count_nonzero(a == b, axis=2) >= math.floor(threshold * COORDINATES)).mean(axis=1)
+    return share >= DENSE
+
+
+def _solve(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, least: int):
+    """Pairs of ids that meet in a compared node below these nodes and whose sketches agree enough, in parts."""
+    # Members stay in an order of their content, so that the sample of a node doesn't depend on the order of arrival.
+    words = np.ascontiguousarray(sketch).view(np.uint64)
+    row = np.argsort(mix64((words * np.arange(1, 2 * words.shape[1], 2, dtype=np.uint64) * _M1).sum(axis=1)), kind="stable")
+    path = path[row]
     for depth in range(DEPTH + 1):
         if not len(path):
             break
@@ -149,27 +173,39 @@ def _solve(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: flo
         path, row = path[order], row[order]
         starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         sizes = np.diff(np.r_[starts, len(path)])
-        leaf = (sizes > 1) & (sizes <= (LEAF if depth < DEPTH else len(path)))
-        _compare(starts[leaf], sizes[leaf], row, ids, sketch, least, out)
-        rest = np.repeat(sizes > LEAF, sizes)
-        if depth == DEPTH or not rest.any():
-            break
-        path, row = _branch(path[rest], row[rest], sketch, threshold)
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-
-def _entries(batches, q: int, threshold: float, trees: int, depth: int):
-    """The nodes of each text after the levels that run here."""
+        whole = sizes <= LEAF if depth < DEPTH else np.ones(len(sizes), bool)
+        more = np.flatnonzero(~whole)
+        whole[more] = _dense(path[starts[more]], starts[more], sizes[more], row, sketch, threshold)
+        leaf = whole & (sizes > 1)
+        yield from _compare(starts[leaf], sizes[leaf], row, ids, sketch, least)
+        rest = np.repeat(~whole, sizes)
+        path, row = _branch(path[rest], row[rest], sketch)
+
+
+def _distinct(parts):
+    """The pairs in larger parts, each without repetitions."""
+    held, n = [], 0
+    for pairs in parts:
+        held.append(pairs)
+        n += len(pairs)
+        if n >= HELD_PAIRS:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def _entries(batches, q: int, trees: int):
+    """The nodes of each text on the first level; each root has coordinates of its own."""
+    coordinate = np.arange(CHILDREN * trees)
+    seed = mix64((coordinate + 1).astype(np.uint64) * _GOLD) * _GOLD + np.uint64(1)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         ids = batch.column(0).to_numpy()
         for at in range(0, len(texts), 512):
             sig = signatures(texts[at : at + 512], q)
-            n = len(sig)
-            path = np.repeat(mix64(np.arange(1, trees + 1, dtype=np.uint64) * _GOLD), n)
-            row = np.tile(np.arange(n), trees)
-            for _ in range(depth):
-                path, row = _branch(path, row, sig, threshold)
+            path = mix64(seed[:, None] + sig.T[coordinate]).ravel()
+            row = np.tile(np.arange(len(sig)), len(coordinate))
             yield _batch(path, ids[at : at + 512][row], _sketch(sig)[row])
 
 
@@ -210,7 +246,7 @@ def _leaves(batches, threshold: float, least: int):
             small = np.repeat(sizes <= NODE_ROWS, sizes)
             if not small.all():
                 yield spill(p[:cut_at][~small], i[:cut_at][~small], s[:cut_at][~small])
-            yield _pairs_batch(_solve(p[:cut_at][small], i[:cut_at][small], s[:cut_at][small], threshold, least))
+            yield from map(_pairs_batch, _distinct(_solve(p[:cut_at][small], i[:cut_at][small], s[:cut_at][small], threshold, least)))
         p, i, s = p[cut_at:], i[cut_at:], s[cut_at:]
         if len(p) > NODE_ROWS:
             large = p[-1]
@@ -237,10 +273,10 @@ def _leaves(batches, threshold: float, least: int):
         yield from ready(True)
 
 
-def _deepen(batches, threshold: float):
+def _deepen(batches):
     for batch in batches:
         p, i, s = _arrays(batch)
-        path, row = _branch(p, np.arange(len(i)), s, threshold)
+        path, row = _branch(p, np.arange(len(i)), s)
         yield _batch(path, i[row], s[row])
 
 
@@ -255,12 +291,11 @@ def _block_pairs(entries: DataFrame) -> DataFrame:
 
 def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float) -> DataFrame:
     """(a, b) ids of classes (id, text) that met in a leaf and may be similar enough."""
-    depth = 1
     trees = trees_for(recall, threshold, LEVELS)
     sd = math.sqrt(COORDINATES * threshold * (1 - threshold))
     least = math.floor(COORDINATES * threshold - 2.4 * sd)
-    entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, threshold, trees, depth), ENTRY)
-    found, level = None, depth
+    entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, trees), ENTRY)
+    found, level = None, 1
     while True:
         if level >= SPARK_DEPTH:
             entries = _block_pairs(entries)
@@ -271,7 +306,7 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float)
         open_ = out.filter("path IS NOT NULL").select("path", F.col("a").alias("id"), "sketch")
         if level >= SPARK_DEPTH or open_.isEmpty():
             return found.distinct()
-        entries = open_.mapInArrow(lambda it: _deepen(it, threshold), ENTRY)
+        entries = open_.mapInArrow(_deepen, ENTRY)
         level += 1
 
 

@@ -137,6 +137,32 @@ def test_large_nodes_leave_the_task_and_lose_nothing(spark, monkeypatch):
     assert len(want) > 1000
 
 
+def test_recall_inside_one_large_group(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base = [word() for _ in range(60)]
+    texts = []
+    for _ in range(2000):
+        words = list(base)
+        for at in rng.sample(range(60), 4):
+            words[at] = word()
+        texts.append(" ".join(words))
+    shared = sorted({" ".join(base)[i : i + 5] for i in range(415)})
+    column, n = {g: k for k, g in enumerate(shared)}, np.array([len({t[i : i + 5] for i in range(len(t) - 4)}) for t in texts])
+    has = np.zeros((len(texts), len(shared)), np.float32)
+    for k, t in enumerate(texts):
+        has[k, [column[g] for g in {t[i : i + 5] for i in range(len(t) - 4)} if g in column]] = 1
+    common = has @ has.T
+    near = np.triu(common / (n[:, None] + n[None, :] - common), 1)
+    classes = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = setjoin.candidate_pairs(classes, 5, 0.7, 0.99).toPandas()
+    met = np.zeros(near.shape, bool)
+    met[got.a, got.b] = True
+    for low, high in ((0.7, 0.72), (0.72, 0.75), (0.75, 0.8)):
+        want = (near >= low) & (near < high)
+        assert want.sum() > 10_000 and met[want].mean() >= 0.99, (low, want.sum(), met[want].mean())
+
+
 def test_many_copies_are_a_star(spark):
     join = setjoin.SimilarSets(setjoin.chunk_texts(chunks(spark, ["the very same text again"] * 150)), 5, setjoin.normalized)
     assert join.pairs().count() == 149
