@@ -273,6 +273,28 @@ def _leaves(batches, threshold: float, least: int):
         yield from ready(True)
 
 
+def _whole(batches, least: int):
+    """Pairs of the nodes of a partition sorted by path, each compared whole."""
+
+    def solve():
+        i, s = (np.concatenate(x) for x in zip(*parts))
+        run = np.array([0]), np.array([len(i)])
+        yield from map(_pairs_batch, _distinct(_compare(*run, np.arange(len(i)), i, s, least)))
+
+    path, parts = None, []
+    for batch in batches:
+        p, i, s = _arrays(batch)
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
+        for a, b in zip(starts, [*starts[1:], len(p)]):
+            if parts and p[a] != path:
+                yield from solve()
+                parts = []
+            path = p[a]
+            parts.append((i[a:b], s[a:b].copy()))
+    if parts:
+        yield from solve()
+
+
 def _deepen(batches):
     for batch in batches:
         p, i, s = _arrays(batch)
@@ -297,14 +319,13 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float)
     entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, trees), ENTRY)
     found, level = None, 1
     while True:
-        if level >= SPARK_DEPTH:
-            entries = _block_pairs(entries)
-        rows = entries.repartition("path").sortWithinPartitions("path")
-        out = materialize(rows.mapInArrow(lambda it: _leaves(it, threshold, least), FOUND), "leaves")
+        last = level >= SPARK_DEPTH
+        rows = (_block_pairs(entries) if last else entries).repartition("path").sortWithinPartitions("path")
+        out = materialize(rows.mapInArrow(lambda it, last=last: _whole(it, least) if last else _leaves(it, threshold, least), FOUND), "leaves")
         pairs = out.filter("path IS NULL").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         open_ = out.filter("path IS NOT NULL").select("path", F.col("a").alias("id"), "sketch")
-        if level >= SPARK_DEPTH or open_.isEmpty():
+        if last or open_.isEmpty():
             return found.distinct()
         entries = open_.mapInArrow(_deepen, ENTRY)
         level += 1

@@ -163,6 +163,24 @@ def test_recall_inside_one_large_group(spark):
         assert want.sum() > 10_000 and met[want].mean() >= 0.99, (low, want.sum(), met[want].mean())
 
 
+def test_oversized_node_is_compared_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, least = 3000, 25
+    template = rng.integers(0, 256, setjoin.COORDINATES, dtype=np.uint8)
+    own = rng.integers(0, 256, (n, setjoin.COORDINATES), dtype=np.uint8)
+    sketch = np.where(rng.random(own.shape) < 0.74, template, own)  # pairs agree in 0.55 on average
+    agree = np.stack([np.count_nonzero(sketch == row, axis=1) for row in sketch])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(agree >= least, 1)))}
+    node = spark.createDataFrame([(7, i, bytearray(r.tobytes())) for i, r in enumerate(sketch)], setjoin.ENTRY)
+    monkeypatch.setattr(setjoin, "SPARK_DEPTH", 1)
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", 500)
+    # The entries of the first level are the one node given here.
+    monkeypatch.setattr(type(node), "mapInArrow", lambda df, f, schema, kept=type(node).mapInArrow: node if schema == setjoin.ENTRY else kept(df, f, schema))
+    got = setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99).toPandas()
+    assert len(want) > 100_000
+    assert set(zip(got.a.tolist(), got.b.tolist())) == want
+
+
 def test_many_copies_are_a_star(spark):
     join = setjoin.SimilarSets(setjoin.chunk_texts(chunks(spark, ["the very same text again"] * 150)), 5, setjoin.normalized)
     assert join.pairs().count() == 149
