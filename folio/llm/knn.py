@@ -4,10 +4,11 @@ Vectors are scaled to unit length and kept as 64 signed 16-bit numbers, whose do
 from cells: each vector goes to the cells of its CELLS nearest pivots, pivots being a bounded sample, and is compared inside them;
 a cell larger than LEAF is halved at random hyperplanes in its task first. Then rounds of NN-descent run as Spark joins: every
 node gathers the vectors of its neighbours and of the vectors it is a neighbour of, and introduces them to each other; a round
-ends with the K best of what each vector had and was offered. Rounds stop when few lists change.
+ends with the K best of what each vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
 
 Usable vectors have DIM finite numbers, not all zero; a key counts once; all others are ignored. Only vectors of one model meet.
-Of the vectors that have a node as neighbour, the REVERSE nearest are introduced there. Ties go to the smaller id.
+All vectors that have a node as neighbour are introduced there; a node with more than HUB of them is split into blocks, and every
+two blocks meet in a task. Ties go to the larger id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.session import bounded_sample, materialize, release
 
-DIM, K, CELLS, REVERSE = 64, 5, 3, 5
+DIM, K, CELLS, HUB = 64, 5, 3, 1_000
+ROUNDS, DELTA = 12, 0.001
 #: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
 CELL_ROWS, PIVOTS, LEAF = 600, 2_048, 3_000
 SCALE = 32_767
@@ -127,7 +129,7 @@ def _cells(batches):
 
 
 def _introduce(batches):
-    """(id, neighbours) offered by the nodes of a partition sorted by node: what each member's list lacks and would take."""
+    """(id, neighbours) offered by the nodes of a partition sorted by node: what each member's list lacks and takes."""
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.RecordBatch):
@@ -148,9 +150,9 @@ def _introduce(batches):
             j = i + 1 + np.arange(len(i)) - np.repeat(e - m, m)
             s = np.einsum("ij,ij->i", x[i], x[j])
             for p, q in ((i, j), (j, i)):
-                good = (s >= least[p]) & (ids[p] != ids[q])
+                good = ((s > least[p]) | (s == least[p]) & (ids[q] > known[p, K - 1])) & (ids[p] != ids[q])
                 p, q, t = p[good], q[good], s[good]
-                new = ~(known[p] == (ids[q] & 0xFFFF)[:, None]).any(axis=1)
+                new = ~(known[p] == ids[q][:, None]).any(axis=1)
                 a_all.append(ids[p[new]])
                 b_all.append(ids[q[new]])
                 s_all.append(t[new])
@@ -187,7 +189,7 @@ def _merged(lists: DataFrame) -> DataFrame:
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
-    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = 2, delta: float = 0.05) -> None:
+    def __init__(self, vectors: DataFrame, key: str = "chunk_id", rounds: int = ROUNDS, delta: float = DELTA) -> None:
         spark = vectors.sparkSession
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
         every = materialize(quantized.withColumn("id", F.monotonically_increasing_id()), "vectors")
@@ -220,18 +222,22 @@ class NeighbourGraph:
 
     def _offers(self, last: DataFrame | None) -> DataFrame:
         """One round: neighbours of neighbours that belong into a list. After the first, only nodes at the end of a new edge introduce."""
-        edges = self.graph.select("id", F.explode("neighbours").alias("n")).select("id", F.col("n.id").alias("other"), F.col("n.score").alias("score"))
-        back = edges.groupBy(F.col("other").alias("node")).agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), asc=False), 1, REVERSE).alias("r"))
-        members = self.graph.select(F.col("id").alias("node"), F.transform("neighbours", lambda n: n.id).alias("f"))
-        members = members.join(back, "node", "left").select("node", F.explode(F.array_union(F.col("f"), F.coalesce(F.transform("r", lambda n: n.id), F.array().cast("array<long>")))).alias("id"))
+        edges = self.graph.select(F.col("id").alias("node"), F.explode("neighbours.id").alias("id"))
+        hubs = edges.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
+        members = edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"))).distinct()
         if last is not None:
             new = last.select(F.col("id").alias("node")).unionByName(last.select(F.explode("neighbours.id").alias("node"))).distinct()
             members = members.join(new, "node", "left_semi")
-        ids = F.transform("neighbours", lambda n: n.id.bitwiseAND(F.lit(0xFFFF)).cast("int"))
-        filled = F.slice(F.concat(ids, F.array_repeat(F.lit(-1), K)), 1, K)
+        # At most one row for HUB edges is broadcast.
+        members = members.join(F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB))), "node", "left")
+        mine = F.pmod(F.xxhash64("id"), F.col("n"))
+        blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
+        members = members.select(F.explode(F.when(F.col("n").isNull(), F.array("node")).otherwise(blocks)).alias("node"), "id")
+        none = F.array_repeat(F.lit(-1).cast("long"), K)
+        filled = F.slice(F.concat(F.transform("neighbours", lambda n: n.id), none), 1, K)
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
         own = self.vectors.join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
-        own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", F.array_repeat(F.lit(-1), K)).alias("known"), "v")
+        own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
         rows = members.join(own, "id").select("node", "id", "least", "known", "v")
         return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_introduce, NODES)
 

@@ -239,6 +239,25 @@ def test_graph_recall_and_unusable_vectors(spark):
     assert knn.NeighbourGraph(table.limit(0)).pairs().count() == 0
 
 
+def introduced(graph):
+    return {(r.id, n.id) for r in graph._offers(None).collect() for n in r.neighbours}
+
+
+def test_all_reverse_neighbours_and_whole_ids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 64))
+    v = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    # Ids that agree in their last 16 bits; all have the first as their only neighbour.
+    ids = [k << 16 for k in range(1, 61)]
+    graph = object.__new__(knn.NeighbourGraph)
+    graph.vectors = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in zip(ids, v)], "id long, v binary")
+    graph.graph = spark.createDataFrame([(i, [(-1e10, ids[0])]) for i in ids[1:]], knn.NODES)
+    others = {(a, b) for a in ids[1:] for b in ids[1:] if a != b}
+    assert introduced(graph) == others
+    monkeypatch.setattr(knn, "HUB", 7)  # blocks are made on the driver
+    assert introduced(graph) == others
+
+
 # ── 7: scans ─────────────────────────────────────────────────────────────────────────────
 
 
