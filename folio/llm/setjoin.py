@@ -39,6 +39,8 @@ CHILDREN = 2
 SAMPLE, DENSE = 32, 0.2
 #: Pairs a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
+#: Deviations below the threshold at which a sample of grams rules a pair out; under one pair in a million at the threshold is.
+FAR = 5
 EXPAND = 100
 ENTRY = "path long, id long, sketch binary"
 FOUND = "a long, b long, path long, sketch binary"
@@ -60,18 +62,28 @@ def survival(agreement: float, depth: int) -> float:
     return q
 
 
-def recall_of(trees: int, similarity: float, depth: int) -> float:
-    """Probability that a pair of that similarity meets in one of the trees, which all share the coordinates."""
+def least_for(recall: float, threshold: float) -> int:
+    """Bytes in which sketches agree at least: by that filter a fiftieth of the pairs that may be lost is lost at the threshold."""
+    lost = 0.0
+    for k in range(COORDINATES + 1):
+        lost += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        if lost > (1 - recall) / 50:
+            return k
+    return COORDINATES
+
+
+def recall_of(trees: int, similarity: float, depth: int, least: int = 0) -> float:
+    """Probability that a pair of that similarity meets in one of the trees, which all share the coordinates, and agrees in `least`."""
     agree = np.arange(COORDINATES + 1)
     chance = np.array([math.comb(COORDINATES, int(k)) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree])
     missed = np.array([(1 - survival(k / COORDINATES, depth)) ** trees for k in agree])
-    return float(chance @ (1 - missed))
+    return float((chance * (1 - missed))[least:].sum())
 
 
 def trees_for(recall: float, threshold: float, depth: int) -> int:
     """Trees for that recall at the threshold; each has coordinates of its own at the root."""
     for n in range(1, COORDINATES // CHILDREN + 1):
-        if recall_of(n, threshold, depth) >= recall:
+        if recall_of(n, threshold, depth, least_for(recall, threshold)) >= recall:
             return n
     raise ValueError(f"{COORDINATES} coordinates don't give a recall of {recall} at {threshold}")
 
@@ -314,8 +326,7 @@ def _block_pairs(entries: DataFrame) -> DataFrame:
 def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float) -> DataFrame:
     """(a, b) ids of classes (id, text) that met in a leaf and may be similar enough."""
     trees = trees_for(recall, threshold, LEVELS)
-    sd = math.sqrt(COORDINATES * threshold * (1 - threshold))
-    least = math.floor(COORDINATES * threshold - 2.4 * sd)
+    least = least_for(recall, threshold)
     entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, trees), ENTRY)
     found, level = None, 1
     while True:
@@ -331,31 +342,45 @@ def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float)
         level += 1
 
 
-def _tagged(texts: list[str], q: int) -> list[np.ndarray]:
-    """Sorted distinct 52-bit hashes of each text's q-grams; the chance that two grams of a pair share one is below 1e-8."""
-    h, starts = _grams(texts, q, bits=64)
-    sizes = np.diff(np.r_[starts, len(h)])
-    tag = np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(52), sizes)
-    both = np.sort(tag | (h >> np.uint64(12)))
-    both = both[np.r_[True, both[1:] != both[:-1]]]
-    edges = np.searchsorted(both, np.arange(1, len(texts), dtype=np.uint64) << np.uint64(52))
+def _sets(h: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct 52-bit hashes of each of n texts; the chance that two grams of a pair share one is below 1e-8."""
+    both = np.sort(text << np.uint64(52) | (h >> np.uint64(12)))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    edges = np.searchsorted(both, np.arange(1, n, dtype=np.uint64) << np.uint64(52))
     return [x & np.uint64((1 << 52) - 1) for x in np.split(both, edges)]
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of sets, the members of both and of either."""
+    sizes = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(left, right)], np.int64)
+    tag = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(52), sizes)
+    merged = np.sort(tag | np.concatenate([sets[z] for pair in zip(left, right) for z in pair]))
+    twice = merged[1:][merged[1:] == merged[:-1]]
+    common = np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(sizes))
+    return common, sizes - common
+
+
 def _verify(batches, q: int, threshold: float):
+    """The pairs at the threshold. An eighth of the grams, the same for all texts, first tells which pairs are FAR deviations below."""
     for batch in batches:
-        for at in range(0, len(batch), 1024):
-            part = batch.slice(at, 1024)
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
             x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
             place = {t: k for k, t in enumerate(dict.fromkeys(x + y))}
-            sets = _tagged(list(place), q)
-            left, right = [sets[place[t]] for t in x], [sets[place[t]] for t in y]
-            sizes = np.array([len(g) + len(h) for g, h in zip(left, right)])
-            tag = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(52), sizes)
-            merged = np.sort(tag | np.concatenate([z for pair in zip(left, right) for z in pair]))
-            twice = merged[1:][merged[1:] == merged[:-1]]
-            common = np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(sizes))
-            yield part.select(["a", "b"]).filter(pa.array(common >= threshold * (sizes - common) - 1e-9))
+            left, right = np.array([place[t] for t in x]), np.array([place[t] for t in y])
+            h, starts = _grams(list(place), q, bits=64)
+            text = np.repeat(np.arange(len(place), dtype=np.uint64), np.diff(np.r_[starts, len(h)]))
+            few = h >> np.uint64(61) == 0
+            common, either = _common(_sets(h[few], text[few], len(place)), left, right)
+            open_ = np.flatnonzero(common >= threshold * either - FAR * np.sqrt(threshold * (1 - threshold) * either))
+            good = np.zeros(len(part), bool)
+            if len(open_):
+                used = np.zeros(len(place), bool)
+                used[left[open_]] = used[right[open_]] = True
+                mine = used[text.astype(np.int64)]
+                common, either = _common(_sets(h[mine], text[mine], len(place)), left[open_], right[open_])
+                good[open_] = common >= threshold * either - 1e-9
+            yield part.select(["a", "b"]).filter(pa.array(good))
 
 
 GAPS = re.compile(r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+")

@@ -181,6 +181,19 @@ def test_oversized_node_is_compared_whole(spark, monkeypatch):
     assert set(zip(got.a.tolist(), got.b.tolist())) == want
 
 
+def test_filter_is_inside_the_recall(spark, monkeypatch):
+    def kept(agree):
+        x = np.zeros((2, setjoin.COORDINATES), np.uint8)
+        x[1, agree:] = 1
+        node = spark.createDataFrame([(7, i, bytearray(r.tobytes())) for i, r in enumerate(x)], setjoin.ENTRY)
+        with monkeypatch.context() as m:
+            m.setattr(type(node), "mapInArrow", lambda df, f, schema, own=type(node).mapInArrow: node if schema == setjoin.ENTRY else own(df, f, schema))
+            return setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99).count()
+
+    draws = np.random.default_rng(6).binomial(setjoin.COORDINATES, 0.7, 1_000_000)
+    assert all(kept(k) == 1 for k in (24, 23, 22)) and (draws < 22).mean() < 0.0005 and kept(10) == 0
+
+
 def test_many_copies_are_a_star(spark):
     join = setjoin.SimilarSets(setjoin.chunk_texts(chunks(spark, ["the very same text again"] * 150)), 5, setjoin.normalized)
     assert join.pairs().count() == 149
