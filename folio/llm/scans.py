@@ -4,9 +4,10 @@ Vocabulary are the words that at least a share FREQUENT of all records hold, so
 that share, whatever the corpus. For an unknown word, candidates are retrieved through an inverted index of the vocabulary's
 character q-grams and of its skeletons (the word with every confusable shape written one way), and a gradient-boosted ranker,
 trained on words of the vocabulary damaged by the known confusions and on rare words taken as they are, says whether the best
-candidate replaces the word. Line pairs and lines at the edge of a sheet go to classifiers of the same kind: whether a line end
-cuts a word is told from how often the joined and the hyphenated word stand elsewhere; whether a line is furniture from its shape
-and from the pages of its document, and of all documents, that repeat it.
+candidate replaces the word. Whether a line end cuts a word is told by a rule from how often the joined and the hyphenated word
+stand elsewhere; signs and digits in words, spaced letters and split words have rules too. Lines at the edge of a sheet go to a
+classifier of the same kind: whether a line is furniture is told from its shape and from the pages of its document, and of all
+documents, that repeat it.
 
 Null and blank texts have no noise. Rows that repeat a key are one record.
 """
