@@ -173,12 +173,12 @@ def _tag_text(m: re.Match) -> str:
     return "\n" if name in _BLOCK else ""
 
 
-def clean(text: str | None, drop: frozenset[str] = frozenset()) -> str | None:
-    """Clean text; nodes whose content is in drop are removed with all they hold."""
+def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> str | None:
+    """Clean text; nodes whose path and content are in drop are removed with all they hold."""
     if not text:
         return text
     if drop:
-        gone = sorted((a, b) for _, c, _, a, b in nodes(text) if c in drop)
+        gone = sorted((a, b) for p, c, _, a, b in nodes(text) if (p, c) in drop)
         out, at = [], 0
         for a, b in gone:
             if a >= at:
@@ -296,7 +296,7 @@ def _clean(batches):
     for batch in batches:
         texts = []
         for rows, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            gone = frozenset(drop or ())
+            gone = frozenset((d["path"], d["content"]) for d in drop or ())
             if len(rows) == 1 and rows[0] and len(rows[0]) == 1:
                 texts.append(clean(rows[0][0], gone))
             else:
@@ -305,14 +305,14 @@ def _clean(batches):
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    """(origin, record_key, text, dropped): clean text of each record with markup; dropped counts contents removed by the style tree.
+    """(origin, record_key, text, dropped): clean text of each record with markup; dropped counts paths and contents removed by the style tree.
 
     An inner node is only removed as part of what it holds: leaves carry the decision, and a branch whose leaves all go is empty.
     """
     parsed = trees(rows)
     low = style_tree(parsed).filter(F.col("leaf") & (F.col("m") >= SITE) & (F.col("importance") < LEAST)).select("host", "path", "content")
     used = parsed.select("origin", "record_key", "host", F.explode("nodes").alias("x")).select("origin", "record_key", "host", "x.path", "x.content")
-    drops = used.join(low, ["host", "path", "content"]).groupBy("origin", "record_key").agg(F.collect_set("content").alias("drop"))
+    drops = used.join(low, ["host", "path", "content"]).groupBy("origin", "record_key").agg(F.collect_set(F.struct("path", "content")).alias("drop"))
     marked = parsed.select("origin", "record_key")
     source = candidates(rows).join(marked, ["origin", "record_key"], "left_semi").dropDuplicates(["origin", "record_key"])
     both = source.join(drops, ["origin", "record_key"], "left").select("origin", "record_key", "rows", "drop")

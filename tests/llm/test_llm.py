@@ -67,6 +67,13 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert len(got) == 8 and all("story number" in t and "home" not in t for t in got)
 
 
+def test_content_goes_at_its_path_only(spark):
+    texts = [f"<div><nav><span>home</span></nav><p>story number {i} of many</p></div>" for i in range(8)] + ["<div><nav><span>home</span></nav><p><span>home</span></p></div>"]
+    tables = spark.createDataFrame([], "doc string, page int, table_no int, rows array<array<string>>")
+    got = {r.record_key: r.text for r in markup.cleaned(markup.records(chunks(spark, texts), tables)).collect()}
+    assert got["c008"].split() == ["home"] and "home" not in got["c000"]
+
+
 def test_tables_with_odd_cells(spark):
     rows = [("d", 1, 0, [["<b>a</b>", None], None, ["x"]]), ("d", 1, 0, [["<b>a</b>", None], None, ["x"]]), ("d", 2, 0, [["a", "5 < 6"]]), ("d", 3, 0, None)]
     tables = spark.createDataFrame(rows, "doc string, page int, table_no int, rows array<array<string>>")
