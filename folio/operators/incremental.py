@@ -1,18 +1,22 @@
 """Processing only new or changed records.
 
-Every record of a change log has a commit sequence that only grows. A run reads the watermark of the last commit, fixes an upper
-limit at its start, processes exactly the records in between, writes its output to a directory of its own and then publishes both
-the output and the new watermark with one commit file, created if and only if no other run created it first. A run that fails
+Every record of a change log has the instant at which it arrived, its commit sequence, which only grows: what arrives later never
+carries an earlier one, whatever its other times are. A run reads the watermark of the last commit, fixes an upper limit at its
+start, processes exactly the records in between, writes its output to a directory of its own and then publishes both the output
+and the new watermark with one commit file, which appears complete and only if no other run created it first. A run that fails
 before that file leaves nothing that a reader or a later run would see, so its records are processed again; a run that commits
-never processes them a second time. Records that arrive late carry a later sequence than what was committed, whatever their
-other times are, and are therefore seen by the next run.
+never processes them a second time. Records may share an instant, and some of them may become visible after a run that saw the
+others: each commit keeps the keys at its own limit beside its output, and the next run takes that instant again without them.
 
-Records with a null sequence have no place in the log: they are left out, and each commit says how many it met.
+Records with a null sequence have no place in the log: they are left out, and each commit says how many it met. Records that
+repeat a key are copies and are handed to the process together, in the run that first sees the key.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -31,6 +35,7 @@ class IncrementalStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/_commits"))
+        self._fs.mkdirs(self._path(f"{self.root}/_drafts"))
 
     def commits(self) -> list[dict]:
         """The commits in order; one small file each, written last."""
@@ -44,39 +49,73 @@ class IncrementalStore:
         finally:
             stream.close()
 
-    def watermark(self) -> int | None:
+    def watermark(self):
         done = self.commits()
-        return done[-1]["upto"] if done else None
+        return _value(done[-1]["upto"]) if done else None
 
-    def commit(self, number: int, upto: int, output: str, unnumbered: int = 0) -> None:
-        """Publishes output and watermark together. The file is complete before it has its name, and a taken name is a conflict."""
-        target = self._path(f"{self.root}/_commits/{number:012d}.json")
+    def commit(self, number: int, upto, output: str, unnumbered: int = 0) -> None:
+        """Publishes output and watermark together: a complete draft gets the final name, and a taken name is a conflict.
+
+        On a local file system the name is a hard link, elsewhere a rename that never overwrites; both fail where the name exists.
+        """
+        name = f"_commits/{number:012d}.json"
         draft = self._path(f"{self.root}/_drafts/{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"number": number, "upto": upto, "output": output, "unnumbered": unnumbered}).encode()))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({"number": number, "upto": _plain(upto), "output": output, "unnumbered": unnumbered}).encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise CommitConflict(f"commit {number} exists")
-
-    def run(self, changes: DataFrame, process: Callable[[DataFrame], DataFrame], sequence: str = "seq") -> int | None:
-        """Processes the records after the watermark, up to the limit fixed now; the commit's number, or None where there are none."""
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), self._path(f"{self.root}/{name}").toUri().getPath())
+            except FileExistsError:
+                raise CommitConflict(f"commit {number} exists") from None
+            finally:
+                self._fs.delete(draft, False)
+            return
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, self._path(f"{self.root}/{name}"), options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise CommitConflict(f"commit {number} exists") from None
+            raise
+
+    def run(self, changes: DataFrame, process: Callable[[DataFrame], DataFrame], sequence: str = "seq", key: str | None = None, written: Callable[[], None] | None = None) -> int | None:
+        """Processes the records after the watermark, up to the limit fixed now; the commit's number, or None where there are none.
+
+        key names the records that share an instant; without one they count as one commit. written() is called between the output
+        and its commit.
+        """
         done = self.commits()
-        low = done[-1]["upto"] if done else None
+        low = _value(done[-1]["upto"]) if done else None
         ends = changes.agg(F.max(sequence).alias("high"), F.count_if(F.col(sequence).isNull()).alias("unnumbered")).first()
-        if ends.high is None or low is not None and ends.high <= low:
+        if ends.high is None or low is not None and ends.high < low:
+            return None
+        part = changes.filter(F.col(sequence) <= F.lit(ends.high))
+        if low is not None and key is None:
+            part = part.filter(F.col(sequence) > F.lit(low))
+        elif low is not None:
+            # Only records of the last instant meet its keys; those after it pass the join by their null.
+            seen = self.spark.read.parquet(*(f"{c['output']}/edge" for c in done if _value(c["upto"]) == low)).distinct()
+            at_edge = F.when(F.col(sequence) == F.lit(low), F.col(key))
+            part = part.filter(F.col(sequence) >= F.lit(low)).join(seen, at_edge == seen["_key"], "left_anti")
+        if low is not None and part.isEmpty():
             return None
-        part = changes.filter(F.col(sequence) <= ends.high)
-        if low is not None:
-            part = part.filter(F.col(sequence) > low)
         number = done[-1]["number"] + 1 if done else 0
         output = f"{self.root}/data/{number:012d}-{uuid.uuid4().hex}"
-        process(part).write.parquet(output)
+        process(part).write.parquet(f"{output}/rows")
+        if key is not None:
+            changes.filter(F.col(sequence) == F.lit(ends.high)).select(F.col(key).alias("_key")).distinct().write.parquet(f"{output}/edge")
+        if written is not None:
+            written()
         self.commit(number, ends.high, output, ends.unnumbered)
         return number
 
     def read(self, schema=None) -> DataFrame:
         """All committed outputs; what a failed run left is not among them."""
-        paths = [c["output"] for c in self.commits()]
+        paths = [f"{c['output']}/rows" for c in self.commits()]
         if not paths:
             if schema is None:
                 raise ValueError("nothing is committed yet")
@@ -94,6 +133,15 @@ class IncrementalStore:
         return gone
 
 
+def _plain(value):
+    """A sequence as JSON: whole numbers and strings as they are, instants in UTC to the microsecond."""
+    return {"instant": value.astimezone(datetime.timezone.utc).isoformat()} if isinstance(value, datetime.datetime) else value
+
+
+def _value(value):
+    return datetime.datetime.fromisoformat(value["instant"]).astimezone().replace(tzinfo=None) if isinstance(value, dict) else value
+
+
 def resolved_path(path: Column) -> Column:
     """The absolute path: empty and '.' parts dropped, '..' takes the part before it back; null stays null."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
@@ -126,15 +174,54 @@ def to_process(trace: DataFrame, meta: DataFrame) -> DataFrame:
     return both.filter(~F.col("src_sha256").eqNullSafe(F.col("indexed"))).select("src_path", "src_sha256")
 
 
+FOLDED = "src_path string, src_sha256 string, written_at timestamp, trace_id long"
+
+
+def take_changes(store: IncrementalStore, trace: DataFrame, written: Callable[[], None] | None = None) -> int | None:
+    """One run over the trace rows that arrived since the last commit, folded into one row for each file."""
+    return store.run(trace, present_checksums, "received_at", "trace_id", written)
+
+
+def changed_from(store: IncrementalStore, meta: DataFrame) -> DataFrame:
+    """to_process() of what the store has committed: whichever run saw a row, the folds together give the present checksums."""
+    folded = store.read(FOLDED).groupBy("src_path").agg(F.max_by("src_sha256", F.struct("written_at", "trace_id")).alias("src_sha256"))
+    both = folded.join(indexed_checksums(meta), "src_path", "left")
+    return both.filter(~F.col("src_sha256").eqNullSafe(F.col("indexed"))).select("src_path", "src_sha256")
+
+
 def changed_files(spark: SparkSession, trace: DataFrame, meta: DataFrame, root: str) -> DataFrame:
-    """to_process() through a store under root, in which trace_id is the commit sequence.
+    """to_process() through the store under root: a run over what arrived since the last one, then the committed folds.
 
-    Each run folds the trace rows since the watermark into one row for each file; the committed folds together give the present
-    checksums, whichever run saw a row, and what is already indexed drops out at the end.
+    received_at is the commit sequence: trace_id numbers conversions when they begin, and rows may arrive long after.
     """
     store = IncrementalStore(spark, root)
-    store.run(trace, present_checksums, sequence="trace_id")
-    schema = "src_path string, src_sha256 string, written_at timestamp, trace_id long"
-    folded = store.read(schema).groupBy("src_path").agg(F.max_by("src_sha256", F.struct("written_at", "trace_id")).alias("src_sha256"))
-    both = folded.join(indexed_checksums(meta), "src_path", "left")
-    return both.filter(~F.col("src_sha256").eqNullSafe(F.col("indexed"))).select("src_path", "src_sha256")
+    take_changes(store, trace)
+    return changed_from(store, meta)
+
+
+class _Lost(RuntimeError):
+    pass
+
+
+def replayed(spark: SparkSession, trace: DataFrame, meta: DataFrame, root: str, slices: int = 3) -> DataFrame:
+    """changed_files() as a service would have met the log: `slices` runs, each over what had arrived by then, every row in the end.
+
+    The second run is lost after its output and before its commit, and is repeated; its first output stays invisible.
+    """
+    store = IncrementalStore(spark, root)
+    ends = trace.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).first()
+
+    def lose() -> None:
+        raise _Lost
+
+    for k in range(1, slices + 1):
+        arrived = trace
+        if k < slices and ends.a is not None:
+            arrived = trace.filter(F.col("received_at") <= F.lit(ends.a + (ends.b - ends.a) * k / slices))
+        if k == 2:
+            try:
+                take_changes(store, arrived, lose)
+            except _Lost:
+                pass
+        take_changes(store, arrived)
+    return changed_from(store, meta)

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         return conf
     own = getattr(spark.sparkContext, "_folio_dir", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="folio-shared-")
         spark.sparkContext.setCheckpointDir(own)
@@ -53,6 +53,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keep_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that clean() removes."""
+    path = scratch(spark, name)
+    spark.sparkContext._folio_kept = [*getattr(spark.sparkContext, "_folio_kept", []), path]
+    return path
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,9 +84,7 @@ def est_tokens(text: Column) -> Column:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once and kept as Parquet in the shared folder; clean() removes what a session kept."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    kept = getattr(spark.sparkContext, "_folio_kept", [])
-    spark.sparkContext._folio_kept = [*kept, path]
+    path = keep_scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._folio_path = path
@@ -90,6 +95,8 @@ def release(df: DataFrame) -> None:
     """Removes a table of materialize() that nothing will read again."""
     path = getattr(df, "_folio_path", None)
     if path is not None:
+        context = df.sparkSession.sparkContext
+        context._folio_kept = [p for p in getattr(context, "_folio_kept", []) if p != path]
         drop_scratch(df.sparkSession, path)
 
 
