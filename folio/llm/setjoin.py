@@ -2,12 +2,13 @@
 
 Exact copies are one class first. Every class has a minwise signature; a tree's root holds all classes, and a node chooses
 two coordinates at random (the same for all its members, so that similar members stay together) and sends each member to the
-child of each coordinate's value; no two roots share a coordinate. Nodes of at most LEAF members are compared exhaustively, and
+child of each coordinate's value; no two roots share a coordinate. What travels is a sketch, four bits of each coordinate. Nodes of at most LEAF members are compared exhaustively, and
 so are larger ones in which a sample finds a DENSE share of similar pairs, as their pairs are a result of about that size.
 Two children keep the branching process of a pair above the critical point, so its survival hardly falls with the depth; the
 number of trees for the target recall is computed for the deepest level there can be, over the numbers of coordinates in which
-a pair at the threshold may agree. The first level runs where the texts are, the others in the task that holds the node; a node
-too large for one task goes back to Spark, is branched there, and is in the end compared block by block, so nothing is dropped.
+a pair at the threshold may agree. The first level runs where the texts are, and so do further ones of nodes that a sample of
+the classes shows to be too large for a task; the others run in the task that holds the node. A node that is too large all the
+same goes back to Spark, is branched there, and is in the end compared block by block, so nothing is dropped.
 Surviving pairs are verified on the exact sets.
 
 Null and blank texts are left out; rows that repeat a key are one record; a text shorter than q has itself as its only gram.
@@ -25,15 +26,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.session import cut, materialize
+from folio.session import materialize, release
 
-COORDINATES = 48
+#: Coordinates of a signature; a sketch has four bits of each, in words of 64.
+COORDINATES, BITS = 128, 4
+WORDS = COORDINATES * BITS // 64
 LEAF = 40
 #: Rows of one node that a task holds at most, and rows of a block where a node of the last level is larger than that.
 NODE_ROWS, BLOCK_ROWS = 60_000, 5_000
 DEPTH, SPARK_DEPTH = 14, 8
+#: Classes in the sample that tells which nodes will be too large for a task, members of a node in it that say so at least, and
+#: levels that such nodes are branched before anything is shuffled.
+HOT_SAMPLE, HOT_LEAST, HOT_DEPTH = 20_000, 12, 24
 #: Levels of the branching process that the number of trees is computed for: all there can be.
-LEVELS = SPARK_DEPTH + DEPTH
+LEVELS = HOT_DEPTH + SPARK_DEPTH + DEPTH
 CHILDREN = 2
 #: Pairs looked at in a node larger than LEAF, and the share of them at the threshold from which on the node is compared whole.
 SAMPLE, DENSE = 32, 0.2
@@ -45,6 +51,7 @@ EXPAND = 100
 ENTRY = "path long, id long, sketch binary"
 FOUND = "a long, b long, path long, sketch binary"
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ONE, _TWO, _LOW, _BYTES = np.uint64(1), np.uint64(2), np.uint64(0x1111111111111111), np.uint64(0x0101010101010101)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,22 +69,25 @@ def survival(agreement: float, depth: int) -> float:
     return q
 
 
+def _binomial(p: float) -> np.ndarray:
+    return np.array([math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+
+
+def agreement(similarity: float) -> float:
+    """Probability that sketches agree at a coordinate: the minima are one, or their four bits are the same by chance."""
+    return similarity + (1 - similarity) / 2**BITS
+
+
 def least_for(recall: float, threshold: float) -> int:
-    """Bytes in which sketches agree at least: by that filter a fiftieth of the pairs that may be lost is lost at the threshold."""
-    lost = 0.0
-    for k in range(COORDINATES + 1):
-        lost += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
-        if lost > (1 - recall) / 50:
-            return k
-    return COORDINATES
+    """Coordinates in which sketches agree at least: by that filter a fiftieth of the pairs that may be lost is lost at the threshold."""
+    lost = np.cumsum(_binomial(agreement(threshold)))
+    return int(np.searchsorted(lost, (1 - recall) / 50, "right"))
 
 
 def recall_of(trees: int, similarity: float, depth: int, least: int = 0) -> float:
-    """Probability that a pair of that similarity meets in one of the trees, which all share the coordinates, and agrees in `least`."""
-    agree = np.arange(COORDINATES + 1)
-    chance = np.array([math.comb(COORDINATES, int(k)) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree])
-    missed = np.array([(1 - survival(k / COORDINATES, depth)) ** trees for k in agree])
-    return float((chance * (1 - missed))[least:].sum())
+    """Probability that a pair of that similarity meets in one of the trees, which all share the coordinates, and passes the filter."""
+    missed = np.array([(1 - survival(k / COORDINATES, depth)) ** trees for k in range(COORDINATES + 1)])
+    return float(1 - (_binomial(similarity) * missed).sum() - _binomial(agreement(similarity))[:least].sum())
 
 
 def trees_for(recall: float, threshold: float, depth: int) -> int:
@@ -120,18 +130,31 @@ def signatures(texts: list[str], q: int) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    """A byte of each coordinate."""
-    return (mix64(sig.astype(np.uint64) + _GOLD) >> np.uint64(56)).astype(np.uint8)
+    """(texts, WORDS): BITS of each coordinate."""
+    values = (mix64(sig.astype(np.uint64) + _GOLD) >> np.uint64(64 - BITS)).reshape(len(sig), WORDS, 64 // BITS)
+    return np.bitwise_or.reduce(values << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
-def _branch(path: np.ndarray, row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of sketches, the coordinates in which they agree."""
+    x = a ^ b
+    x |= x >> _ONE
+    x |= x >> _TWO
+    x &= _LOW
+    differ = np.bitwise_count(x).view(np.uint64).reshape(x.shape[:-1])
+    return COORDINATES - ((differ * _BYTES) >> np.uint64(56)).astype(np.int64)
+
+
+def _branch(path: np.ndarray, row: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The children's paths and rows: each node's CHILDREN chosen coordinates, each member's value at them."""
     draw = mix64(path)
-    first, step = draw % np.uint64(COORDINATES), np.uint64(1) + (draw >> np.uint64(32)) % np.uint64(COORDINATES - 1)
+    first, step = draw % np.uint64(COORDINATES), _ONE + (draw >> np.uint64(32)) % np.uint64(COORDINATES - 1)
     paths = []
     for coord in (first, (first + step) % np.uint64(COORDINATES)):
-        seed = mix64(path + (coord + np.uint64(1)) * _M2)
-        paths.append(mix64(seed * _GOLD + values[row, coord.astype(np.int64)].astype(np.uint64) + np.uint64(1)))
+        seed = mix64(path + (coord + _ONE) * _M2)
+        bit = coord * np.uint64(BITS)
+        value = (sketch[row, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(2**BITS - 1)
+        paths.append(mix64(seed * _GOLD + value + _ONE))
     return np.concatenate(paths), np.tile(row, CHILDREN)
 
 
@@ -142,18 +165,18 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 
 def _compare(starts, sizes, rows, ids, sketch, least):
-    """The pairs inside the runs of rows whose sketches agree in at least `least` bytes, in parts."""
+    """The pairs inside the runs of rows whose sketches agree in at least `least` coordinates, in parts."""
     left = np.repeat(starts, sizes) + _within(sizes)
     more = np.repeat(starts + sizes, sizes) - left - 1
     ends = np.cumsum(more)
     at = 0
     while at < len(left):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 400_000, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, "right")))
         m = more[at:upto]
         i = np.repeat(left[at:upto], m)
         j = i + 1 + _within(m)
         a, b = rows[i], rows[j]
-        good = np.count_nonzero(sketch[a] == sketch[b], axis=1) >= least
+        good = _agreeing(sketch[a], sketch[b]) >= least
         a, b = ids[a[good]], ids[b[good]]
         yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
         at = upto
@@ -168,15 +191,14 @@ def _dense(nodes, starts, sizes, row, sketch, threshold: float) -> np.ndarray:
         i = u % n
         j = (i + np.uint64(1) + (u >> np.uint64(32)) % (n - np.uint64(1))) % n
         a, b = (sketch[row[starts[at : at + 5_000, None] + x.astype(np.int64)]] for x in (i, j))
-        share[at : at + 5_000] = (np.count_nonzero(a == b, axis=2) >= math.floor(threshold * COORDINATES)).mean(axis=1)
+        share[at : at + 5_000] = (_agreeing(a, b) >= math.floor(agreement(threshold) * COORDINATES)).mean(axis=1)
     return share >= DENSE
 
 
 def _solve(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, least: int):
     """Pairs of ids that meet in a compared node below these nodes and whose sketches agree enough, in parts."""
     # Members stay in an order of their content, so that the sample of a node doesn't depend on the order of arrival.
-    words = np.ascontiguousarray(sketch).view(np.uint64)
-    row = np.argsort(mix64((words * np.arange(1, 2 * words.shape[1], 2, dtype=np.uint64) * _M1).sum(axis=1)), kind="stable")
+    row = np.argsort(mix64((sketch * np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * _M1).sum(axis=1)), kind="stable")
     path = path[row]
     for depth in range(DEPTH + 1):
         if not len(path):
@@ -207,29 +229,71 @@ def _distinct(parts):
         yield np.unique(np.concatenate(held), axis=0)
 
 
-def _entries(batches, q: int, trees: int):
-    """The nodes of each text on the first level; each root has coordinates of its own."""
+def _roots(sig: np.ndarray, trees: int) -> np.ndarray:
+    """(CHILDREN * trees, texts): the paths below the roots; each root has coordinates of its own."""
     coordinate = np.arange(CHILDREN * trees)
-    seed = mix64((coordinate + 1).astype(np.uint64) * _GOLD) * _GOLD + np.uint64(1)
+    seed = mix64((coordinate + 1).astype(np.uint64) * _GOLD) * _GOLD + _ONE
+    return mix64(seed[:, None] + sig.T[coordinate])
+
+
+def _entries(batches, q: int, trees: int, hot: np.ndarray):
+    """The nodes of each text; a node that is known to be too large is branched here, as it would be anywhere."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         ids = batch.column(0).to_numpy()
         for at in range(0, len(texts), 512):
             sig = signatures(texts[at : at + 512], q)
-            path = mix64(seed[:, None] + sig.T[coordinate]).ravel()
-            row = np.tile(np.arange(len(sig)), len(coordinate))
-            yield _batch(path, ids[at : at + 512][row], _sketch(sig)[row])
+            sketch = _sketch(sig)
+            path, row = _roots(sig, trees).ravel(), np.tile(np.arange(len(sig)), CHILDREN * trees)
+            while len(path):
+                large = np.isin(path, hot)
+                yield _batch(path[~large], ids[at : at + 512][row[~large]], sketch[row[~large]])
+                path, row = _branch(path[large], row[large], sketch)
+
+
+def _sampled(batches, q: int, trees: int):
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for at in range(0, len(texts), 512):
+            sig = signatures(texts[at : at + 512], q)
+            both = np.concatenate([_roots(sig, trees).T, _sketch(sig)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sig)), pa.array([r.tobytes() for r in both], pa.binary())], ["id", "v"])
+
+
+def hot_nodes(classes: DataFrame, n: int, q: int, trees: int) -> np.ndarray:
+    """Paths of the nodes that hold more of n classes than a task should, by a sample of HOT_SAMPLE of them."""
+    none = np.empty(0, np.uint64)
+    if n <= NODE_ROWS:
+        return none
+    share = min(1.0, HOT_SAMPLE / n)
+    drawn = classes.select("id", "text").filter(F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53) < share)
+    rows = drawn.mapInArrow(lambda it: _sampled(it, q, trees), "id long, v binary").limit(2 * HOT_SAMPLE).collect()
+    if not rows:
+        return none
+    both = np.frombuffer(b"".join(bytes(r.v) for r in sorted(rows)), np.uint64).reshape(len(rows), -1)
+    roots, sketch = both[:, : CHILDREN * trees], both[:, CHILDREN * trees :]
+    least, hot = max(HOT_LEAST, NODE_ROWS / 2 * len(rows) / n), []
+    path, row = roots.T.ravel(), np.tile(np.arange(len(rows)), CHILDREN * trees)
+    for _ in range(HOT_DEPTH):
+        names, place, sizes = np.unique(path, return_inverse=True, return_counts=True)
+        large = sizes >= least
+        if not large.any():
+            break
+        hot.append(names[large])
+        path, row = _branch(path[large[place]], row[large[place]], sketch)
+    return np.sort(np.concatenate(hot)) if hot else none
 
 
 def _batch(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(ids), [None, pa.py_buffer(np.ascontiguousarray(sketch).tobytes())]).cast(pa.binary())
+    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(ids), [None, pa.py_buffer(np.ascontiguousarray(sketch).tobytes())]).cast(pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids.astype(np.int64)), data], ["path", "id", "sketch"])
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sketch = batch.column(2)
-    data = np.frombuffer(sketch.buffers()[2], np.uint8)[sketch.offset * COORDINATES :][: len(sketch) * COORDINATES] if len(sketch) else np.empty(0, np.uint8)
-    return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), data.reshape(-1, COORDINATES)
+    size = 8 * WORDS
+    data = np.frombuffer(sketch.buffers()[2], np.uint8)[sketch.offset * size :][: len(sketch) * size] if len(sketch) else np.empty(0, np.uint8)
+    return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), np.frombuffer(data.tobytes(), np.uint64).reshape(-1, WORDS)
 
 
 def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
@@ -323,21 +387,24 @@ def _block_pairs(entries: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("path", F.least("k", F.col("o").cast("long")), F.greatest("k", F.col("o").cast("long"))).alias("path"), "id", "sketch")
 
 
-def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float) -> DataFrame:
-    """(a, b) ids of classes (id, text) that met in a leaf and may be similar enough."""
+def candidate_pairs(classes: DataFrame, q: int, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) ids of classes (id, text) that met in a leaf and may be similar enough, and the tables to release after use."""
     trees = trees_for(recall, threshold, LEVELS)
     least = least_for(recall, threshold)
-    entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, trees), ENTRY)
-    found, level = None, 1
+    n = classes.count()
+    hot = hot_nodes(classes, n, q, trees)
+    entries = classes.select("id", "text").mapInArrow(lambda it: _entries(it, q, trees, hot), ENTRY)
+    found, used, level = None, [], 1
     while True:
         last = level >= SPARK_DEPTH
         rows = (_block_pairs(entries) if last else entries).repartition("path").sortWithinPartitions("path")
         out = materialize(rows.mapInArrow(lambda it, last=last: _whole(it, least) if last else _leaves(it, threshold, least), FOUND), "leaves")
+        used.append(out)
         pairs = out.filter("path IS NULL").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         open_ = out.filter("path IS NOT NULL").select("path", F.col("a").alias("id"), "sketch")
         if last or open_.isEmpty():
-            return found.distinct()
+            return found.distinct(), used
         entries = open_.mapInArrow(_deepen, ENTRY)
         level += 1
 
@@ -412,10 +479,15 @@ class SimilarSets:
         several = self.classes.filter("rep <> other").select("id", "h", "rep")
         sized = members.join(several, "h").withColumn("n", F.count("*").over(_by("id")))
         self.copies = materialize(sized.select("id", "key", "rep", "n"), "copies")
-        near = candidate_pairs(self.classes, q, threshold, recall)
+        near, used = candidate_pairs(self.classes, q, threshold, recall)
+        # Either end may come first, so that no text meets all its partners by one side of the join.
+        turn = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+        near = near.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
         texts = self.classes.select("id", "text")
         both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         self.links = materialize(both.mapInArrow(lambda it: _verify(it, q, threshold), "a long, b long"), "links")
+        for table in used:
+            release(table)
 
     def pairs(self) -> DataFrame:
         """(key_a, key_b) of similar records, the smaller key first; EXPAND says how large classes are written."""
@@ -453,16 +525,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round gives each node the smallest label around it and then follows labels once, so a chain shrinks by half.
     """
-    sym = cut(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct())
-    labels = cut(sym.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label")))
+    sym = materialize(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct(), "edges")
+    labels = materialize(sym.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label")), "labels")
     while True:
         near = sym.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = cut(hooked.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"))
+        after = materialize(hooked.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "labels")
+        release(labels)
         if after.filter("label <> was").isEmpty():
+            release(sym)
             return after.select("node", "label")
-        labels = after.select("node", "label")
+        labels = after
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:

@@ -139,12 +139,31 @@ def test_pairs_brute_force(spark):
 def test_large_nodes_leave_the_task_and_lose_nothing(spark, monkeypatch):
     texts = [f"common text that all of these records share, number {i % 10} {i}" for i in range(120)]
     want = {tuple(r) for r in setjoin.SimilarSets(setjoin.chunk_texts(chunks(spark, texts)), 5, setjoin.normalized, recall=0.999).pairs().collect()}
-    out = list(setjoin._leaves(iter([setjoin._batch(np.full(70_000, 7, np.uint64), np.arange(70_000), np.zeros((70_000, setjoin.COORDINATES), np.uint8))]), 0.7, 48))
+    out = list(setjoin._leaves(iter([setjoin._batch(np.full(70_000, 7, np.uint64), np.arange(70_000), np.zeros((70_000, setjoin.WORDS), np.uint64))]), 0.7, 48))
     assert sum(b.column(2).null_count == 0 and len(b) for b in out) == 70_000
     assert len(want) > 1000
 
 
-def test_recall_inside_one_large_group(spark):
+def packed(values):
+    """Sketches of values under 16 at each coordinate."""
+    words = values.astype(np.uint64).reshape(len(values), setjoin.WORDS, 16)
+    return np.bitwise_or.reduce(words << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def test_sketch_agreement_counts_coordinates():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 16, (2, 500, setjoin.COORDINATES))
+    b = np.where(rng.random(a.shape) < 0.6, a, b)
+    assert (setjoin._agreeing(packed(a), packed(b)) == (a == b).sum(axis=1)).all()
+    paths, rows = setjoin._branch(np.arange(500, dtype=np.uint64), np.arange(500), packed(a))
+    again, _ = setjoin._branch(np.arange(500, dtype=np.uint64), np.arange(500), packed(np.where(rng.random(a.shape) < 0.99, a, 15 - a)))
+    assert len(paths) == 1000 and 0.95 < (paths == again).mean() < 1 and (rows == np.tile(np.arange(500), 2)).all()
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_recall_inside_one_large_group(spark, monkeypatch, split):
+    if split:  # nodes that a sample shows to be too large are branched where the texts are
+        monkeypatch.setattr(setjoin, "NODE_ROWS", 500)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
     base = [word() for _ in range(60)]
@@ -162,7 +181,7 @@ def test_recall_inside_one_large_group(spark):
     common = has @ has.T
     near = np.triu(common / (n[:, None] + n[None, :] - common), 1)
     classes = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = setjoin.candidate_pairs(classes, 5, 0.7, 0.99).toPandas()
+    got = setjoin.candidate_pairs(classes, 5, 0.7, 0.99)[0].toPandas()
     met = np.zeros(near.shape, bool)
     met[got.a, got.b] = True
     for low, high in ((0.7, 0.72), (0.72, 0.75), (0.75, 0.8)):
@@ -172,18 +191,19 @@ def test_recall_inside_one_large_group(spark):
 
 def test_oversized_node_is_compared_whole(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    n, least = 3000, 25
-    template = rng.integers(0, 256, setjoin.COORDINATES, dtype=np.uint8)
-    own = rng.integers(0, 256, (n, setjoin.COORDINATES), dtype=np.uint8)
-    sketch = np.where(rng.random(own.shape) < 0.74, template, own)  # pairs agree in 0.55 on average
-    agree = np.stack([np.count_nonzero(sketch == row, axis=1) for row in sketch])
+    n, least = 3000, setjoin.least_for(0.99, 0.7)
+    template = rng.integers(0, 16, setjoin.COORDINATES)
+    own = rng.integers(0, 16, (n, setjoin.COORDINATES))
+    values = np.where(rng.random(own.shape) < 0.74, template, own).astype(np.uint8)  # pairs agree in 0.58 on average
+    agree = np.stack([np.count_nonzero(values == row, axis=1) for row in values])
+    sketch = packed(values)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(agree >= least, 1)))}
     node = spark.createDataFrame([(7, i, bytearray(r.tobytes())) for i, r in enumerate(sketch)], setjoin.ENTRY)
     monkeypatch.setattr(setjoin, "SPARK_DEPTH", 1)
     monkeypatch.setattr(setjoin, "BLOCK_ROWS", 500)
     # The entries of the first level are the one node given here.
     monkeypatch.setattr(type(node), "mapInArrow", lambda df, f, schema, kept=type(node).mapInArrow: node if schema == setjoin.ENTRY else kept(df, f, schema))
-    got = setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99).toPandas()
+    got = setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99)[0].toPandas()
     assert len(want) > 100_000
     assert set(zip(got.a.tolist(), got.b.tolist())) == want
 
@@ -192,13 +212,15 @@ def test_filter_is_inside_the_recall(spark, monkeypatch):
     def kept(agree):
         x = np.zeros((2, setjoin.COORDINATES), np.uint8)
         x[1, agree:] = 1
+        x = packed(x)
         node = spark.createDataFrame([(7, i, bytearray(r.tobytes())) for i, r in enumerate(x)], setjoin.ENTRY)
         with monkeypatch.context() as m:
             m.setattr(type(node), "mapInArrow", lambda df, f, schema, own=type(node).mapInArrow: node if schema == setjoin.ENTRY else own(df, f, schema))
-            return setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99).count()
+            return setjoin.candidate_pairs(spark.createDataFrame([(0, "x")], "id long, text string"), 5, 0.7, 0.99)[0].count()
 
-    draws = np.random.default_rng(6).binomial(setjoin.COORDINATES, 0.7, 1_000_000)
-    assert all(kept(k) == 1 for k in (24, 23, 22)) and (draws < 22).mean() < 0.0005 and kept(10) == 0
+    least = setjoin.least_for(0.99, 0.7)
+    draws = np.random.default_rng(6).binomial(setjoin.COORDINATES, setjoin.agreement(0.7), 1_000_000)
+    assert all(kept(k) == 1 for k in (least + 2, least)) and (draws < least).mean() < 0.0005 and kept(least - 10) == 0
 
 
 def test_many_copies_are_a_star(spark):
