@@ -87,6 +87,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return NeighbourGraph(table(spark, sf, "embedding")).pairs().select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
+def p6_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of `embeddings` whose vec_id is divisible by 20, searched in the neighbour graph of all of them."""
+    from folio.llm.knn import NeighbourGraph
+
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", F.lit("one").alias("model"), "embedding")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("chunk_id").alias("query"), "model", "embedding")
+    found = NeighbourGraph(vectors).search(asked, 10)
+    return found.select(F.col("query").cast("long").alias("qid"), F.col("key").cast("long").alias("id"), "rank", F.round("cosine", 5).alias("score"))
+
+
 def _scans(spark: SparkSession, sf: str):
     from folio.llm import scans
 
@@ -132,7 +142,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p7_found, p7_repaired, p8_ids, p8_counts, p9_mix, p9_report, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p1_style_tree, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_pieces, p4_report, p6_found, p6_search, p7_found, p7_repaired, p8_ids, p8_counts, p9_mix, p9_report, p10_found)}
 
 _TERMS = r"""
 WITH rec AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk WHERE text IS NOT NULL),

@@ -1,10 +1,12 @@
 """The most similar vectors of every vector, by NN-descent.
 
-Vectors are scaled to unit length and kept as 64 signed 16-bit numbers, whose dot products are exact integers. The graph starts
+Vectors are kept as 64 signed 16-bit numbers, each scaled to its largest component, and compared at unit length. The graph starts
 from cells: each vector goes to the cells of its CELLS nearest pivots, pivots being a bounded sample, and is compared inside them;
-a cell larger than LEAF is halved at random hyperplanes in its task first. Then rounds of NN-descent run as Spark joins: every
-node gathers the vectors of its neighbours and of the vectors it is a neighbour of, and introduces them to each other; a round
-ends with the K best of what each vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
+a cell that will be too large for a task is cut by hyperplanes through its pivot before it is shuffled, and one larger than LEAF
+is halved at random hyperplanes in its task. Then rounds of NN-descent run as Spark joins: every node gathers the vectors of its
+neighbours and of the vectors it is a neighbour of, and introduces them to each other. Nodes of one neighbourhood are gathered
+together, so that a vector travels once to a neighbourhood and not once to each node. A round ends with the K best of what each
+vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
 
 Usable vectors have DIM finite numbers, not all zero; a key counts once; all others are ignored. Only vectors of one model meet.
 All vectors that have a node as neighbour are introduced there; a node with more than HUB of them is split into blocks, and every
@@ -15,16 +17,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folio.session import bounded_sample, materialize, release
 
 DIM, K, CELLS, HUB = 64, 5, 3, 1_000
 ROUNDS, DELTA = 12, 0.001
-#: Vectors per cell on average, pivots at most (the bound of the sample), and vectors compared exhaustively at most.
-CELL_ROWS, PIVOTS, LEAF = 600, 2_048, 3_000
+#: Vectors per cell on average, pivots at most, the sample that the pivots are drawn from and their cells are measured by, rows of
+#: a cell in one task at most, and vectors compared exhaustively at most.
+CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 600, 2_048, 16_384, 50_000, 3_000
+#: Nodes of one neighbourhood that are gathered together.
+AROUND = 2_000
 SCALE = 32_767
 NODES = "id long, neighbours array<struct<score:double,id:long>>"
+_PLANES = np.random.default_rng(3).standard_normal((DIM, 24)).astype(np.float32)
 
 
 def usable(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -40,9 +46,7 @@ def _quantize(batches):
             continue
         x = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, DIM)
         x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        data = np.rint(x * SCALE).astype("<i2")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(data)], ["key", "model", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(np.rint(x * SCALE).astype("<i2"))], ["key", "model", "v"])
 
 
 def _packed(data: np.ndarray) -> pa.Array:
@@ -53,23 +57,81 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, DIM)
 
 
-def _assign(batches, pivots: dict[str, np.ndarray]):
-    """Each vector under the cells of its nearest pivots."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+class Pivots:
+    """Of one model: unit vectors, their ids, and how many hyperplanes cut the cell of each."""
+
+    def __init__(self, drawn: list, n: int) -> None:
+        x = _unit(np.frombuffer(b"".join(bytes(r.v) for r in drawn), "<i2").reshape(-1, DIM)).astype(np.float32)
+        want = int(min(PIVOTS, max(1, n // CELL_ROWS)))
+        self.x = x[:want]
+        #: Where a search may enter.
+        self.entries, self.ids = x[:PIVOTS], np.array([r.id for r in drawn[:PIVOTS]])
+        share = np.bincount(self.nearest(x)[0].ravel(), minlength=len(self.x)) / len(x)
+        self.bits = np.clip(np.ceil(np.log2(np.maximum(share * n, 1) / CELL_MOST)), 0, _PLANES.shape[1]).astype(np.int64)
+
+    def nearest(self, x: np.ndarray, most: int = CELLS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivots (or others) of each vector, the very nearest first, and their scores."""
+        among = self.x if among is None else among
+        n = min(most, len(among))
+        s = x @ among.T
+        near = np.argpartition(s, len(among) - n, axis=1)[:, len(among) - n :]
+        score = np.take_along_axis(s, near, axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        return np.take_along_axis(near, order, axis=1), np.take_along_axis(score, order, axis=1)
+
+    def parts(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The part of the cell, by the sides of the hyperplanes on which the vector lies seen from the pivot."""
+        out = np.zeros(near.shape, np.int64)
+        for k in range(near.shape[1]):
+            cut = np.flatnonzero(self.bits[near[:, k]])
+            if len(cut):
+                side = ((x[cut] - self.x[near[cut, k]]) @ _PLANES > 0).astype(np.int64) << np.arange(_PLANES.shape[1])
+                out[cut, k] = side.sum(axis=1) & ((1 << self.bits[near[cut, k]]) - 1)
+        return out
+
+
+def _cell_ids(model: str, near: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    import zlib
+
+    return (np.int64(zlib.crc32(model.encode())) << 36) ^ (near.astype(np.int64) << 24) ^ parts
+
+
+def _assign(batches, pivots: dict[str, Pivots]):
+    """(cell, id, v): each vector under the cells of its nearest pivots."""
     for batch in batches:
         if not len(batch):
             continue
         models = np.array(batch.column(1).to_pylist(), object)
-        x, ids = _matrix(batch.column(2)).astype(np.float32), batch.column(0).to_numpy()
+        x, ids = _unit(_matrix(batch.column(2))).astype(np.float32), batch.column(0).to_numpy()
         for m in np.unique(models):
             mine = np.flatnonzero(models == m)
-            p = pivots[m]
-            n = min(CELLS, len(p))
             for at in range(0, len(mine), 4096):
                 rows = mine[at : at + 4096]
-                near = np.argpartition(x[rows] @ p.T, len(p) - n, axis=1)[:, len(p) - n :] if len(p) > n else np.tile(np.arange(len(p)), (len(rows), 1))
-                which = np.repeat(rows, n)
-                names = pa.array([f"{m}\0{c}" for c in near.ravel()])
-                yield pa.RecordBatch.from_arrays([names, pa.array(ids[which]), batch.column(2).take(pa.array(which))], ["cell", "id", "v"])
+                near, _ = pivots[m].nearest(x[rows])
+                cells = _cell_ids(m, near, pivots[m].parts(x[rows], near))
+                which = np.repeat(rows, near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(ids[which]), batch.column(2).take(pa.array(which))], ["cell", "id", "v"])
+
+
+def _homes(batches, pivots: dict[str, Pivots]):
+    """(id, v, home) of (key, model, v, id): the neighbourhood of each vector."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        models = np.array(batch.column(1).to_pylist(), object)
+        x, home = _unit(_matrix(batch.column(2))).astype(np.float32), np.empty(len(batch), np.int64)
+        for m in np.unique(models):
+            mine = np.flatnonzero(models == m)
+            for at in range(0, len(mine), 4096):
+                rows = mine[at : at + 4096]
+                near, _ = pivots[m].nearest(x[rows], 1)
+                home[rows] = _cell_ids(m, near, pivots[m].parts(x[rows], near)).ravel()
+        yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(home)], ["id", "v", "home"])
 
 
 def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
@@ -87,7 +149,7 @@ def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
 
 
 def _best(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """The K nearest of each vector among these, scored exactly."""
+    """The K nearest of each vector among these; x are unit vectors."""
     n = len(ids)
     k = min(K, n - 1)
     f = x.astype(np.float32)
@@ -97,9 +159,17 @@ def _best(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         lists[at : at + 1024] = np.argpartition(s, n - k, axis=1)[:, n - k :] if k < n - 1 else np.argsort(s, axis=1)[:, 1:]
     flat = lists.ravel()
-    score = np.einsum("ij,ij->i", x.astype(np.float64)[np.repeat(np.arange(n), k)], x.astype(np.float64)[flat])
-    entries = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[flat])], ["score", "id"])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), entries)], ["id", "neighbours"])
+    return _lists(ids, np.full(n, k), _score(x[np.repeat(np.arange(n), k)], x[flat]), ids[flat])
+
+
+def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines to nine digits, so that a pair has the same in every task."""
+    return np.round(np.einsum("ij,ij->i", a, b), 9)
+
+
+def _lists(ids, sizes, score, other) -> pa.RecordBatch:
+    entries = pa.StructArray.from_arrays([pa.array(score), pa.array(other)], ["score", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), entries)], ["id", "neighbours"])
 
 
 def _cells(batches):
@@ -109,6 +179,7 @@ def _cells(batches):
 
     def solve():
         ids, x = (np.concatenate(p) for p in zip(*parts))
+        x = _unit(x)
         for rows in _halves(x.astype(np.float32), rng) if len(ids) > LEAF else [np.arange(len(ids))]:
             if len(rows) > 1:
                 yield _best(ids[rows], x[rows])
@@ -116,7 +187,7 @@ def _cells(batches):
     for batch in batches:
         if not len(batch):
             continue
-        names, ids, x = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), _matrix(batch.column(2))
+        names, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
         starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(names)]):
             if names[a] != name:
@@ -129,41 +200,64 @@ def _cells(batches):
 
 
 def _introduce(batches):
-    """(id, neighbours) offered by the nodes of a partition sorted by node: what each member's list lacks and takes."""
+    """(id, neighbours) offered by the nodes of a partition sorted by block: what each member's list lacks and takes.
+
+    Rows are edges (block, node, id) and the vectors of a block (block, null, id, least, known, v). Of what a task's part of the
+    nodes offers to an id the K best leave it.
+    """
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.RecordBatch):
-        node, ids, least = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
-        known = table.column(3).flatten().to_numpy().reshape(len(ids), K)
-        x = _matrix(table.column(4)).astype(np.float64)
-        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        sizes = np.diff(np.r_[starts, len(node)])
-        place = np.arange(len(node)) - np.repeat(starts, sizes)
-        more = np.repeat(sizes, sizes) - place - 1
+        block, edge = table.column(0).to_numpy(), table.column(1).is_valid().to_numpy(zero_copy_only=False)
+        ids = table.column(2).to_numpy()
+        vectors = table.filter(pa.array(~edge))
+        # A member's vector is the one of its id in its block.
+        place = np.lexsort((vectors.column(2).to_numpy(), vectors.column(0).to_numpy()))
+        own_block, own = vectors.column(0).to_numpy()[place], vectors.column(2).to_numpy()[place]
+        least = vectors.column(3).to_numpy()[place]
+        known = vectors.column(4).flatten().to_numpy().reshape(len(own), K)[place]
+        x = _unit(_matrix(vectors.column(5)))[place]
+        order = np.lexsort((ids[edge], table.column(1).filter(pa.array(edge)).to_numpy(), block[edge]))
+        e_block, e_node, e_id = block[edge][order], table.column(1).filter(pa.array(edge)).to_numpy()[order], ids[edge][order]
+        if not len(e_id):
+            return
+        _, rank = np.unique(np.concatenate([own_block, e_block]), return_inverse=True)
+        _, code = np.unique(np.concatenate([own, e_id]), return_inverse=True)
+        span = code.max() + 1
+        member = np.searchsorted(rank[: len(own)] * span + code[: len(own)], rank[len(own) :] * span + code[len(own) :])
+        starts = np.flatnonzero(np.r_[True, (e_node[1:] != e_node[:-1]) | (e_block[1:] != e_block[:-1])])
+        sizes = np.diff(np.r_[starts, len(e_id)])
+        more = np.repeat(sizes, sizes) - (np.arange(len(e_id)) - np.repeat(starts, sizes)) - 1
         ends = np.cumsum(more)
         a_all, b_all, s_all, at = [], [], [], 0
-        while at < len(node):
+        while at < len(e_id):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, "right")))
             m = more[at:upto]
             i = np.repeat(np.arange(at, upto), m)
             e = np.cumsum(m)
             j = i + 1 + np.arange(len(i)) - np.repeat(e - m, m)
-            s = np.einsum("ij,ij->i", x[i], x[j])
+            i, j = member[i], member[j]
+            s = _score(x[i], x[j])
             for p, q in ((i, j), (j, i)):
-                good = ((s > least[p]) | (s == least[p]) & (ids[q] > known[p, K - 1])) & (ids[p] != ids[q])
+                good = ((s > least[p]) | (s == least[p]) & (own[q] > known[p, K - 1])) & (own[p] != own[q])
                 p, q, t = p[good], q[good], s[good]
-                new = ~(known[p] == ids[q][:, None]).any(axis=1)
-                a_all.append(ids[p[new]])
-                b_all.append(ids[q[new]])
+                new = ~(known[p] == own[q][:, None]).any(axis=1)
+                a_all.append(own[p[new]])
+                b_all.append(own[q[new]])
                 s_all.append(t[new])
             at = upto
         a, b, s = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all)
         if not len(a):
             return
-        _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-        a, b, s = a[first], b[first], s[first]
-        entries = pa.StructArray.from_arrays([pa.array(s), pa.array(b)], ["score", "id"])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32)), entries)], ["id", "neighbours"])
+        by = np.lexsort((-b, -s, a))
+        a, b, s = a[by], b[by], s[by]
+        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b, s = a[fresh], b[fresh], s[fresh]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        best = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < K
+        a, b, s = a[best], b[best], s[best]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        yield _lists(a[first], np.diff(np.r_[first, len(a)]), s, b)
 
     for batch in batches:
         if not len(batch):
@@ -171,8 +265,8 @@ def _introduce(batches):
         held.append(batch)
         if sum(map(len, held)) >= 100_000:
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            node = table.column(0).to_numpy()
-            border = int(np.flatnonzero(np.r_[True, node[1:] != node[:-1]])[-1])
+            block = table.column(0).to_numpy()
+            border = int(np.flatnonzero(np.r_[True, block[1:] != block[:-1]])[-1])
             if border:
                 yield from solve(table.slice(0, border))
                 held = [table.slice(border)]
@@ -181,7 +275,7 @@ def _introduce(batches):
 
 
 def _merged(lists: DataFrame) -> DataFrame:
-    """(id, neighbours): the K best of all lists of each id."""
+    """(id, neighbours): the K best of all lists of each id; a task sends at most a list for each part of its rows."""
     ranked = F.sort_array(F.array_distinct(F.flatten(F.collect_list("neighbours"))), asc=False)
     return lists.groupBy("id").agg(F.slice(ranked, 1, K).alias("neighbours"))
 
@@ -198,27 +292,35 @@ class NeighbourGraph:
         copies = materialize(every.select("key", "id").join(repeated, "key").filter("id > first").select("id"), "copies")
         self.nodes = every.join(copies, "id", "left_anti").select("key", "model", "v", "id")
         self.counts = counts = dict(self.nodes.groupBy("model").count().collect())
-        pivots = {}
+        self.pivots = pivots = {}
         for model, n in counts.items():
-            want = int(min(PIVOTS, max(1, n // CELL_ROWS)))
-            drawn = bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v"), ["key"], want, n)
-            pivots[model] = np.frombuffer(b"".join(bytes(r.v) for r in drawn), "<i2").reshape(-1, DIM).astype(np.float32)
+            pivots[model] = Pivots(bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v", "id"), ["key"], DRAWN, n), n)
         self.vectors = self.nodes.select("id", "v")
-        cells = self.nodes.select("id", "model", "v").mapInArrow(lambda it: _assign(it, pivots), "cell string, id long, v binary")
+        cells = self.nodes.select("id", "model", "v").mapInArrow(lambda it: _assign(it, pivots), "cell long, id long, v binary")
         lists = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, NODES)
         self.graph = materialize(_merged(lists), "graph")
+        # The neighbourhood of each node; at most PIVOTS neighbourhoods of a model and their parts are counted and broadcast.
+        homes = self.nodes.mapInArrow(lambda it: _homes(it, pivots), "id long, v binary, home long").select("id", "home")
+        sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / AROUND).alias("parts"))
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        self.homes = materialize(homes.join(F.broadcast(sizes), "home").select("id", F.xxhash64("home", part).alias("block")), "homes")
         total = sum(counts.values())
         self.changed: list[int] = []
         offers = None
         for _ in range(rounds):
-            offers = materialize(self._offers(offers), "offers")
-            self.changed.append(offers.count())
+            before, offers = offers, materialize(self._offers(offers), "offers")
+            if before is not None:
+                release(before)
+            self.changed.append(offers.select(F.size("neighbours").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
             if self.changed[-1] == 0:
                 break
-            before, self.graph = self.graph, materialize(_merged(self.graph.unionByName(offers)), "graph")
-            release(before)
+            old, self.graph = self.graph, materialize(_merged(self.graph.unionByName(offers)), "graph")
+            release(old)
             if self.changed[-1] < delta * K * total:
                 break
+        for table in (offers, self.homes):
+            if table is not None:
+                release(table)
 
     def _offers(self, last: DataFrame | None) -> DataFrame:
         """One round: neighbours of neighbours that belong into a list. After the first, only nodes at the end of a new edge introduce."""
@@ -228,23 +330,25 @@ class NeighbourGraph:
         if last is not None:
             new = last.select(F.col("id").alias("node")).unionByName(last.select(F.explode("neighbours.id").alias("node"))).distinct()
             members = members.join(new, "node", "left_semi")
+        members = members.join(self.homes.withColumnRenamed("id", "node"), "node")
         # At most one row for HUB edges is broadcast.
         members = members.join(F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB))), "node", "left")
         mine = F.pmod(F.xxhash64("id"), F.col("n"))
-        blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
-        members = members.select(F.explode(F.when(F.col("n").isNull(), F.array("node")).otherwise(blocks)).alias("node"), "id")
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
+        members = members.select(F.explode(F.when(F.col("n").isNull(), F.array("block")).otherwise(pairs)).alias("block"), "node", "id")
         none = F.array_repeat(F.lit(-1).cast("long"), K)
         filled = F.slice(F.concat(F.transform("neighbours", lambda n: n.id), none), 1, K)
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
         own = self.vectors.join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
         own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
-        rows = members.join(own, "id").select("node", "id", "least", "known", "v")
-        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_introduce, NODES)
+        vectors = members.select("block", "id").distinct().join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "least", "known", "v")
+        rows = members.select("block", "node", "id").unionByName(vectors, allowMissingColumns=True)
+        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_introduce, NODES)
 
     def nearest(self, k: int = 5) -> DataFrame:
         """(id, other, rank, cosine): the k nearest of each vector."""
         top = self.graph.select("id", F.posexplode(F.slice("neighbours", 1, k)).alias("rank", "n"))
-        return top.select("id", F.col("n.id").alias("other"), (F.col("rank") + 1).alias("rank"), (F.col("n.score") / float(SCALE * SCALE)).alias("cosine"))
+        return top.select("id", F.col("n.id").alias("other"), (F.col("rank") + 1).alias("rank"), F.col("n.score").alias("cosine"))
 
     def pairs(self, k: int = 5) -> DataFrame:
         """(key_a, key_b): pairs in which at least one is among the k nearest of the other."""
@@ -254,30 +358,49 @@ class NeighbourGraph:
         return named.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
     def search(self, queries: DataFrame, k: int = 5, beam: int = 16, hops: int = 4) -> DataFrame:
-        """(query, key, cosine): greedy graph search of query vectors (query, model, embedding).
+        """(query, key, rank, cosine): greedy graph search of query vectors (query, model, embedding).
 
-        A query enters at its nearest pivots' sample and moves, `hops` times, to the best `beam` of what it knows and their neighbours.
+        A query enters at its `beam` nearest of a sample of PIVOTS vectors and moves, `hops` times, to the best `beam` of what it knows and of their
+        neighbours. Queries that are not usable, or of a model without vectors, find nothing.
         """
-        asked = usable(queries, "query").mapInArrow(_quantize, "key string, model string, v binary").withColumnRenamed("key", "query").withColumnRenamed("v", "qv")
-        drawn = [(m, r.id) for m, n in self.counts.items() for r in bounded_sample(self.nodes.filter(F.col("model") == m).select("key", "id"), ["key"], 64, n)]
-        entry = F.broadcast(self.nodes.sparkSession.createDataFrame(drawn, "model string, id long"))
-        front = asked.join(entry, "model").select("query", "qv", "model", "id")
-        best = self._ranked(front, beam)
-        for _ in range(hops):
-            around = best.join(self.graph, "id").select("query", "qv", "model", F.explode("neighbours").alias("n")).select("query", "qv", "model", F.col("n.id").alias("id"))
-            best = materialize(self._ranked(best.select("query", "qv", "model", "id").unionByName(around).distinct(), beam), "front")
-        top = best.filter(F.col("r") <= k).join(self.nodes.select("id", "key"), "id")
-        return top.select("query", "key", (F.col("score") / float(SCALE * SCALE)).alias("cosine"))
+        asked = usable(queries, "query").dropDuplicates(["key"]).mapInArrow(_quantize, "key string, model string, v binary").withColumnRenamed("key", "query").withColumnRenamed("v", "qv")
+        asked = materialize(asked, "asked")
+        pivots = self.pivots
 
-    def _ranked(self, front: DataFrame, beam: int) -> DataFrame:
-        from pyspark.sql import Window
+        def enter(batches):
+            for batch in batches:
+                models, x = np.array(batch.column(1).to_pylist(), object), _matrix(batch.column(2))
+                for m in np.unique(models):
+                    mine = np.flatnonzero(models == m)
+                    if m not in pivots:
+                        continue
+                    for at in range(0, len(mine), 4096):
+                        rows = mine[at : at + 4096]
+                        near, score = pivots[m].nearest(_unit(x[rows]).astype(np.float32), beam, pivots[m].entries)
+                        which = pa.array(np.repeat(rows, near.shape[1]))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(pivots[m].ids[near.ravel()]), pa.array(score.ravel().astype(np.float64))], ["query", "id", "score"])
+
+        front = materialize(asked.mapInArrow(enter, "query string, id long, score double"), "front")
+        for _ in range(hops):
+            around = front.join(self.graph, "id").select("query", F.explode("neighbours.id").alias("id")).distinct()
+            new = self._scored(around.join(front.select("query", "id"), ["query", "id"], "left_anti"), asked)
+            before, front = front, materialize(_first(front.unionByName(new), beam), "front")
+            release(before)
+        named = front.join(self.nodes.select("id", "key"), "id")
+        best = named.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "key"))).filter(F.col("rank") <= k)
+        return best.select("query", "key", "rank", F.round("score", 6).alias("cosine"))
 
+    def _scored(self, front: DataFrame, asked: DataFrame) -> DataFrame:
         def score(batches):
             for batch in batches:
                 if len(batch):
-                    s = np.einsum("ij,ij->i", _matrix(batch.column(1)).astype(np.float64), _matrix(batch.column(4)).astype(np.float64))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s)], ["query", "qv", "model", "id", "score"])
+                    s = _score(_unit(_matrix(batch.column(2))), _unit(_matrix(batch.column(3))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s)], ["query", "id", "score"])
+
+        rows = front.join(self.vectors, "id").join(asked.select("query", "qv"), "query").select("query", "id", "v", "qv")
+        return rows.mapInArrow(score, "query string, id long, score double")
+
 
-        scored = front.join(self.vectors, "id").select("query", "qv", "model", "id", "v").mapInArrow(score, "query string, qv binary, model string, id long, score double")
-        w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam)
+def _first(front: DataFrame, beam: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("id"))
+    return front.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r")

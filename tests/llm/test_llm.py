@@ -282,22 +282,41 @@ def test_graph_recall_and_unusable_vectors(spark):
 
 
 def introduced(graph):
-    return {(r.id, n.id) for r in graph._offers(None).collect() for n in r.neighbours}
+    return {(r.id, n.id) for r in knn._merged(graph._offers(None)).collect() for n in r.neighbours}
 
 
 def test_all_reverse_neighbours_and_whole_ids(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(60, 64))
-    v = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    v = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * knn.SCALE).astype("<i2")
     # Ids that agree in their last 16 bits; all have the first as their only neighbour.
     ids = [k << 16 for k in range(1, 61)]
     graph = object.__new__(knn.NeighbourGraph)
     graph.vectors = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in zip(ids, v)], "id long, v binary")
     graph.graph = spark.createDataFrame([(i, [(-1e10, ids[0])]) for i in ids[1:]], knn.NODES)
-    others = {(a, b) for a in ids[1:] for b in ids[1:] if a != b}
-    assert introduced(graph) == others
+    graph.homes = spark.createDataFrame([(i, i % 3) for i in ids], "id long, block long")
+    s = knn._unit(v) @ knn._unit(v).T
+    np.fill_diagonal(s, -2)
+    s[:, 0] = -2  # the first is known to all
+    best = {(ids[a], ids[b]) for a in range(1, 60) for b in np.argsort(-s[a])[: knn.K]}
+    assert introduced(graph) == best
     monkeypatch.setattr(knn, "HUB", 7)  # blocks are made on the driver
-    assert introduced(graph) == others
+    assert introduced(graph) == best
+
+
+def test_large_cells_are_cut_before_they_are_shuffled(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = (np.ones(64) + 0.4 * rng.normal(size=(3000, 64))).astype(np.float32)
+    v = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    drawn = [type("Row", (), {"v": r.tobytes(), "id": i}) for i, r in enumerate(v)]
+    monkeypatch.setattr(knn, "CELL_MOST", 100)
+    monkeypatch.setattr(knn, "PIVOTS", 2)
+    p = knn.Pivots(drawn, 3000)
+    unit = knn._unit(v).astype(np.float32)
+    near, _ = p.nearest(unit)
+    cells = knn._cell_ids("m", near, p.parts(unit, near))
+    assert (p.bits >= 4).all() and np.unique(cells, return_counts=True)[1].max() < 1000
+    assert len(np.unique(cells)) > 2**4
 
 
 # ── 7: scans ─────────────────────────────────────────────────────────────────────────────
