@@ -29,7 +29,8 @@ CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 600, 2_048, 16_384, 50_000, 3_000
 #: Nodes of one neighbourhood that are gathered together.
 AROUND = 2_000
 SCALE = 32_767
-NODES = "id long, neighbours array<struct<score:double,id:long>>"
+#: A node, its neighbourhood, and its neighbours with theirs.
+NODES = "id long, block long, neighbours array<struct<score:double,id:long,block:long>>"
 _PLANES = np.random.default_rng(3).standard_normal((DIM, 24)).astype(np.float32)
 
 
@@ -71,7 +72,10 @@ class Pivots:
         self.x = x[:want]
         #: Where a search may enter.
         self.entries, self.ids = x[:PIVOTS], np.array([r.id for r in drawn[:PIVOTS]])
-        share = np.bincount(self.nearest(x)[0].ravel(), minlength=len(self.x)) / len(x)
+        near = self.nearest(x)[0]
+        share = np.bincount(near.ravel(), minlength=len(self.x)) / len(x)
+        #: Neighbourhoods that the vectors nearest to a pivot are divided into.
+        self.around = np.maximum(1, np.ceil(np.bincount(near[:, 0], minlength=len(self.x)) / len(x) * n / AROUND)).astype(np.int64)
         self.bits = np.clip(np.ceil(np.log2(np.maximum(share * n, 1) / CELL_MOST)), 0, _PLANES.shape[1]).astype(np.int64)
 
     def nearest(self, x: np.ndarray, most: int = CELLS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,37 +105,30 @@ def _cell_ids(model: str, near: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return (np.int64(zlib.crc32(model.encode())) << 36) ^ (near.astype(np.int64) << 24) ^ parts
 
 
-def _assign(batches, pivots: dict[str, Pivots]):
-    """(cell, id, v): each vector under the cells of its nearest pivots."""
+def _assign(batches, pivots: dict[str, Pivots], cells: bool):
+    """Of (key, model, v, id): (id, v, block), block being the vector's neighbourhood; with cells one row (cell, id, block, v) for each of its cells."""
     for batch in batches:
         if not len(batch):
             continue
         models = np.array(batch.column(1).to_pylist(), object)
-        x, ids = _unit(_matrix(batch.column(2))).astype(np.float32), batch.column(0).to_numpy()
+        x, ids = _unit(_matrix(batch.column(2))).astype(np.float32), batch.column(3).to_numpy()
+        block = np.empty(len(ids), np.int64)
+        out = []
         for m in np.unique(models):
-            mine = np.flatnonzero(models == m)
+            p, mine = pivots[m], np.flatnonzero(models == m)
             for at in range(0, len(mine), 4096):
                 rows = mine[at : at + 4096]
-                near, _ = pivots[m].nearest(x[rows])
-                cells = _cell_ids(m, near, pivots[m].parts(x[rows], near))
-                which = np.repeat(rows, near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(ids[which]), batch.column(2).take(pa.array(which))], ["cell", "id", "v"])
-
-
-def _homes(batches, pivots: dict[str, Pivots]):
-    """(id, v, home) of (key, model, v, id): the neighbourhood of each vector."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        models = np.array(batch.column(1).to_pylist(), object)
-        x, home = _unit(_matrix(batch.column(2))).astype(np.float32), np.empty(len(batch), np.int64)
-        for m in np.unique(models):
-            mine = np.flatnonzero(models == m)
-            for at in range(0, len(mine), 4096):
-                rows = mine[at : at + 4096]
-                near, _ = pivots[m].nearest(x[rows], 1)
-                home[rows] = _cell_ids(m, near, pivots[m].parts(x[rows], near)).ravel()
-        yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(home)], ["id", "v", "home"])
+                near, _ = p.nearest(x[rows], CELLS if cells else 1)
+                first = near[:, 0]
+                part = ((ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % p.around[first]
+                block[rows] = _cell_ids(m, first, part)
+                if cells:
+                    out.append((rows, near, _cell_ids(m, near, p.parts(x[rows], near))))
+        if not cells:
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(block)], ["id", "v", "block"])
+        for rows, near, cell in out:
+            which = np.repeat(rows, near.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(ids[which]), pa.array(block[which]), batch.column(2).take(pa.array(which))], ["cell", "id", "block", "v"])
 
 
 def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
@@ -148,7 +145,7 @@ def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
     return done
 
 
-def _best(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def _best(ids: np.ndarray, block: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     """The K nearest of each vector among these; x are unit vectors."""
     n = len(ids)
     k = min(K, n - 1)
@@ -159,7 +156,7 @@ def _best(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         lists[at : at + 1024] = np.argpartition(s, n - k, axis=1)[:, n - k :] if k < n - 1 else np.argsort(s, axis=1)[:, 1:]
     flat = lists.ravel()
-    return _lists(ids, np.full(n, k), _score(x[np.repeat(np.arange(n), k)], x[flat]), ids[flat])
+    return _lists(ids, block, np.full(n, k), _score(x[np.repeat(np.arange(n), k)], x[flat]), ids[flat], block[flat])
 
 
 def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,9 +164,9 @@ def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.einsum("ij,ij->i", a, b), 9)
 
 
-def _lists(ids, sizes, score, other) -> pa.RecordBatch:
-    entries = pa.StructArray.from_arrays([pa.array(score), pa.array(other)], ["score", "id"])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), entries)], ["id", "neighbours"])
+def _lists(ids, block, sizes, score, other, other_block) -> pa.RecordBatch:
+    entries = pa.StructArray.from_arrays([pa.array(score), pa.array(other), pa.array(other_block)], ["score", "id", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(block), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), entries)], ["id", "block", "neighbours"])
 
 
 def _cells(batches):
@@ -178,23 +175,23 @@ def _cells(batches):
     name, parts = None, []
 
     def solve():
-        ids, x = (np.concatenate(p) for p in zip(*parts))
+        ids, block, x = (np.concatenate(p) for p in zip(*parts))
         x = _unit(x)
         for rows in _halves(x.astype(np.float32), rng) if len(ids) > LEAF else [np.arange(len(ids))]:
             if len(rows) > 1:
-                yield _best(ids[rows], x[rows])
+                yield _best(ids[rows], block[rows], x[rows])
 
     for batch in batches:
         if not len(batch):
             continue
-        names, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+        names, ids, block, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
         starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(names)]):
             if names[a] != name:
                 if parts:
                     yield from solve()
                 name, parts = names[a], []
-            parts.append((ids[a:b], x[a:b]))
+            parts.append((ids[a:b], block[a:b], x[a:b]))
     if parts:
         yield from solve()
 
@@ -202,8 +199,8 @@ def _cells(batches):
 def _introduce(batches):
     """(id, neighbours) offered by the nodes of a partition sorted by block: what each member's list lacks and takes.
 
-    Rows are edges (block, node, id) and the vectors of a block (block, null, id, least, known, v). Of what a task's part of the
-    nodes offers to an id the K best leave it.
+    Rows are edges (block, node, id), which may repeat, and the vectors of a block (block, null, id, home, least, known, v). Of
+    what a task's part of the nodes offers to an id the K best leave it.
     """
     held: list[pa.RecordBatch] = []
 
@@ -214,13 +211,16 @@ def _introduce(batches):
         # A member's vector is the one of its id in its block.
         place = np.lexsort((vectors.column(2).to_numpy(), vectors.column(0).to_numpy()))
         own_block, own = vectors.column(0).to_numpy()[place], vectors.column(2).to_numpy()[place]
-        least = vectors.column(3).to_numpy()[place]
-        known = vectors.column(4).flatten().to_numpy().reshape(len(own), K)[place]
-        x = _unit(_matrix(vectors.column(5)))[place]
-        order = np.lexsort((ids[edge], table.column(1).filter(pa.array(edge)).to_numpy(), block[edge]))
-        e_block, e_node, e_id = block[edge][order], table.column(1).filter(pa.array(edge)).to_numpy()[order], ids[edge][order]
+        home, least = vectors.column(3).to_numpy()[place], vectors.column(4).to_numpy()[place]
+        known = vectors.column(5).flatten().to_numpy().reshape(len(own), K)[place]
+        x = _unit(_matrix(vectors.column(6)))[place]
+        e_node = table.column(1).filter(pa.array(edge)).to_numpy()
+        order = np.lexsort((ids[edge], e_node, block[edge]))
+        e_block, e_node, e_id = block[edge][order], e_node[order], ids[edge][order]
         if not len(e_id):
             return
+        once = np.r_[True, (e_id[1:] != e_id[:-1]) | (e_node[1:] != e_node[:-1]) | (e_block[1:] != e_block[:-1])]
+        e_block, e_node, e_id = e_block[once], e_node[once], e_id[once]
         _, rank = np.unique(np.concatenate([own_block, e_block]), return_inverse=True)
         _, code = np.unique(np.concatenate([own, e_id]), return_inverse=True)
         span = code.max() + 1
@@ -229,7 +229,7 @@ def _introduce(batches):
         sizes = np.diff(np.r_[starts, len(e_id)])
         more = np.repeat(sizes, sizes) - (np.arange(len(e_id)) - np.repeat(starts, sizes)) - 1
         ends = np.cumsum(more)
-        a_all, b_all, s_all, at = [], [], [], 0
+        a_all, b_all, s_all, at = [], [], [], 0  # places in own
         while at < len(e_id):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, "right")))
             m = more[at:upto]
@@ -242,22 +242,21 @@ def _introduce(batches):
                 good = ((s > least[p]) | (s == least[p]) & (own[q] > known[p, K - 1])) & (own[p] != own[q])
                 p, q, t = p[good], q[good], s[good]
                 new = ~(known[p] == own[q][:, None]).any(axis=1)
-                a_all.append(own[p[new]])
-                b_all.append(own[q[new]])
+                a_all.append(p[new])
+                b_all.append(q[new])
                 s_all.append(t[new])
             at = upto
         a, b, s = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all)
         if not len(a):
             return
-        by = np.lexsort((-b, -s, a))
+        by = np.lexsort((-own[b], -s, own[a]))
         a, b, s = a[by], b[by], s[by]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        fresh = np.r_[True, (own[a[1:]] != own[a[:-1]]) | (own[b[1:]] != own[b[:-1]])]
         a, b, s = a[fresh], b[fresh], s[fresh]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        best = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < K
-        a, b, s = a[best], b[best], s[best]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        yield _lists(a[first], np.diff(np.r_[first, len(a)]), s, b)
+        first = np.flatnonzero(np.r_[True, own[a[1:]] != own[a[:-1]]])
+        sizes = np.diff(np.r_[first, len(a)])
+        best = np.arange(len(a)) - np.repeat(first, sizes) < K
+        yield _lists(own[a[first]], home[a[first]], np.minimum(sizes, K), s[best], own[b[best]], home[b[best]])
 
     for batch in batches:
         if not len(batch):
@@ -277,7 +276,7 @@ def _introduce(batches):
 def _merged(lists: DataFrame) -> DataFrame:
     """(id, neighbours): the K best of all lists of each id; a task sends at most a list for each part of its rows."""
     ranked = F.sort_array(F.array_distinct(F.flatten(F.collect_list("neighbours"))), asc=False)
-    return lists.groupBy("id").agg(F.slice(ranked, 1, K).alias("neighbours"))
+    return lists.groupBy("id").agg(F.first("block").alias("block"), F.slice(ranked, 1, K).alias("neighbours"))
 
 
 class NeighbourGraph:
@@ -295,15 +294,10 @@ class NeighbourGraph:
         self.pivots = pivots = {}
         for model, n in counts.items():
             pivots[model] = Pivots(bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v", "id"), ["key"], DRAWN, n), n)
-        self.vectors = self.nodes.select("id", "v")
-        cells = self.nodes.select("id", "model", "v").mapInArrow(lambda it: _assign(it, pivots), "cell long, id long, v binary")
+        self.vectors = self.nodes.mapInArrow(lambda it: _assign(it, pivots, False), "id long, v binary, block long")
+        cells = self.nodes.mapInArrow(lambda it: _assign(it, pivots, True), "cell long, id long, block long, v binary")
         lists = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, NODES)
         self.graph = materialize(_merged(lists), "graph")
-        # The neighbourhood of each node; at most PIVOTS neighbourhoods of a model and their parts are counted and broadcast.
-        homes = self.nodes.mapInArrow(lambda it: _homes(it, pivots), "id long, v binary, home long").select("id", "home")
-        sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / AROUND).alias("parts"))
-        part = F.pmod(F.xxhash64("id"), F.col("parts"))
-        self.homes = materialize(homes.join(F.broadcast(sizes), "home").select("id", F.xxhash64("home", part).alias("block")), "homes")
         total = sum(counts.values())
         self.changed: list[int] = []
         offers = None
@@ -318,31 +312,31 @@ class NeighbourGraph:
             release(old)
             if self.changed[-1] < delta * K * total:
                 break
-        for table in (offers, self.homes):
-            if table is not None:
-                release(table)
+        if offers is not None:
+            release(offers)
 
     def _offers(self, last: DataFrame | None) -> DataFrame:
         """One round: neighbours of neighbours that belong into a list. After the first, only nodes at the end of a new edge introduce."""
-        edges = self.graph.select(F.col("id").alias("node"), F.explode("neighbours.id").alias("id"))
-        hubs = edges.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
-        members = edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"))).distinct()
+        edges = self.graph.select("id", "block", F.explode("neighbours").alias("n"))
+        # An edge makes either end a member of the other.
+        ends = F.array(F.struct("block", F.col("id").alias("node"), F.col("n.id").alias("id")), F.struct(F.col("n.block").alias("block"), F.col("n.id").alias("node"), F.col("id").alias("id")))
+        members = edges.select(F.explode(ends).alias("e")).select("e.*")
         if last is not None:
-            new = last.select(F.col("id").alias("node")).unionByName(last.select(F.explode("neighbours.id").alias("node"))).distinct()
+            new = last.select(F.explode(F.concat(F.array("id"), F.col("neighbours.id"))).alias("node")).distinct()
             members = members.join(new, "node", "left_semi")
-        members = members.join(self.homes.withColumnRenamed("id", "node"), "node")
+        hubs = edges.groupBy(F.col("n.id").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
         # At most one row for HUB edges is broadcast.
         members = members.join(F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB))), "node", "left")
         mine = F.pmod(F.xxhash64("id"), F.col("n"))
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
         members = members.select(F.explode(F.when(F.col("n").isNull(), F.array("block")).otherwise(pairs)).alias("block"), "node", "id")
         none = F.array_repeat(F.lit(-1).cast("long"), K)
-        filled = F.slice(F.concat(F.transform("neighbours", lambda n: n.id), none), 1, K)
+        filled = F.slice(F.concat(F.col("neighbours.id"), none), 1, K)
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
-        own = self.vectors.join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
-        own = own.select("id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
-        vectors = members.select("block", "id").distinct().join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "least", "known", "v")
-        rows = members.select("block", "node", "id").unionByName(vectors, allowMissingColumns=True)
+        own = self.vectors.select("id", "v", F.col("block").alias("home")).join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
+        own = own.select("id", "home", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
+        vectors = members.select("block", "id").distinct().join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "home", "least", "known", "v")
+        rows = members.unionByName(vectors, allowMissingColumns=True)
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_introduce, NODES)
 
     def nearest(self, k: int = 5) -> DataFrame:

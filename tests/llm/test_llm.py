@@ -292,9 +292,9 @@ def test_all_reverse_neighbours_and_whole_ids(spark, monkeypatch):
     # Ids that agree in their last 16 bits; all have the first as their only neighbour.
     ids = [k << 16 for k in range(1, 61)]
     graph = object.__new__(knn.NeighbourGraph)
-    graph.vectors = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in zip(ids, v)], "id long, v binary")
-    graph.graph = spark.createDataFrame([(i, [(-1e10, ids[0])]) for i in ids[1:]], knn.NODES)
-    graph.homes = spark.createDataFrame([(i, i % 3) for i in ids], "id long, block long")
+    home = {i: k % 3 for k, i in enumerate(ids)}
+    graph.vectors = spark.createDataFrame([(i, bytearray(r.tobytes()), home[i]) for i, r in zip(ids, v)], "id long, v binary, block long")
+    graph.graph = spark.createDataFrame([(i, home[i], [(-1e10, ids[0], home[ids[0]])]) for i in ids[1:]], knn.NODES)
     s = knn._unit(v) @ knn._unit(v).T
     np.fill_diagonal(s, -2)
     s[:, 0] = -2  # the first is known to all
