@@ -25,7 +25,7 @@ DIM, K, CELLS, HUB = 64, 5, 3, 1_000
 ROUNDS, DELTA = 12, 0.001
 #: Vectors per cell on average, pivots at most, the sample that the pivots are drawn from and their cells are measured by, rows of
 #: a cell in one task at most, and vectors compared exhaustively at most.
-CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 600, 2_048, 16_384, 50_000, 3_000
+CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 1_000, 2_048, 16_384, 50_000, 4_500
 #: Nodes of one neighbourhood that are gathered together.
 AROUND = 2_000
 SCALE = 32_767
