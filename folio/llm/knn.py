@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.session import bounded_sample, materialize, release
 
@@ -26,6 +26,8 @@ ROUNDS, DELTA = 12, 0.001
 #: Vectors per cell on average, pivots at most, the sample that the pivots are drawn from and their cells are measured by, rows of
 #: a cell in one task at most, and vectors compared exhaustively at most.
 CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 1_000, 2_048, 16_384, 50_000, 4_500
+#: Words of the bitmap that tells which nodes have a new edge, one megabyte.
+MARKS = 1 << 17
 #: Nodes of one neighbourhood that are gathered together.
 AROUND = 2_000
 SCALE = 32_767
@@ -279,6 +281,20 @@ def _merged(lists: DataFrame) -> DataFrame:
     return lists.groupBy("id").agg(F.first("block").alias("block"), F.slice(ranked, 1, K).alias("neighbours"))
 
 
+def _marked(rows: DataFrame, name: str) -> Column:
+    """Whether a value may be among those of rows: never false for one that is. Values mark places of a bitmap of MARKS words, whose
+    size is fixed; where values are as many as its bits, nearly all pass, which here means more work and nothing else."""
+    place = F.pmod(F.xxhash64(name), F.lit(64 * MARKS))
+    words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
+    found = words.toPandas()
+    dense = np.zeros(MARKS, np.int64)
+    dense[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    one = pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, MARKS], pa.int32()), pa.array(dense))})
+    bits = rows.sparkSession.createDataFrame(one).scalar()
+    word = F.element_at(bits, (F.shiftright(place, 6) + 1).cast("int"))
+    return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
+
+
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
@@ -322,8 +338,7 @@ class NeighbourGraph:
         ends = F.array(F.struct("block", F.col("id").alias("node"), F.col("n.id").alias("id")), F.struct(F.col("n.block").alias("block"), F.col("n.id").alias("node"), F.col("id").alias("id")))
         members = edges.select(F.explode(ends).alias("e")).select("e.*")
         if last is not None:
-            new = last.select(F.explode(F.concat(F.array("id"), F.col("neighbours.id"))).alias("node")).distinct()
-            members = members.join(new, "node", "left_semi")
+            members = members.filter(_marked(last.select(F.explode(F.concat(F.array("id"), F.col("neighbours.id"))).alias("node")), "node"))
         hubs = edges.groupBy(F.col("n.id").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
         # At most one row for HUB edges is broadcast.
         members = members.join(F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB))), "node", "left")
