@@ -1,11 +1,14 @@
 """Markup residue: HTML, Markdown, wiki text and LaTeX to clean text, with a site style tree per host.
 
-A record's text is parsed into the constructs that one of the four languages would render or hide; nested HTML elements and the
-other constructs are the nodes of its tree. The trees of a host (a collection) are merged: of every path the style tree knows in
-how many records it stands, with which content and with which children. A leaf's importance is 1 - log(n) / log(m), the entropy
-of a content that n of the m records with this path share evenly; an inner node's is the entropy of its presentations, to base m,
-and never less than that of a child. Nodes under LEAST importance, in hosts with at least SITE records of the path, are removed;
-the others are written as clean text, in which headings, lists, code blocks, formulas and the order of cells stay.
+A record's text is parsed into a tree: HTML elements nest, and every other construct that one of the four languages would render
+or hide is a node under the elements that hold it. A record holds markup if its tree has a node. The trees of a host (a
+collection) are merged: of every path the style tree knows in how many records it stands, with which content and with which
+children. The importance of a leaf's content is 1 - log(n) / log(m), the entropy of a content that n of the m records with this
+path share evenly; that of a presentation node is the entropy of its presentations, to base m, and never less than that of what
+stands below its path. Branches whose importance is under LEAST, on paths with at least SITE records, are removed from each page
+with all they hold: presentation nodes by their path, contents by path and content. Headings, lists, code, formulas, emphasis and
+table marks are nodes but no branches of their own, so that meaningful structure stays whatever repeats; what remains is written as clean
+text, in which headings, lists, code blocks, formulas and the order of cells stay.
 
 Null and empty texts have no constructs and null or empty clean text. Rows that repeat a key are one record. Null cells are empty
 cells; ragged rows stay ragged.
@@ -16,11 +19,14 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import unicodedata
 from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folio.session import materialize
+
 LEAST, SITE = 0.2, 4
 
 # Element names of HTML, and commands of LaTeX that stand without arguments.
@@ -36,7 +42,24 @@ BARE = (
     "cdot times le leq ge geq ne neq approx equiv sim pm infty sum prod int partial nabla rightarrow leftarrow Rightarrow to in forall exists quad qquad left right bf it em tt rm sc"
 ).split()
 
+#: What commands of LaTeX stand for in running text; Greek letters follow from their names. Fixed values.
+SIGNS = {
+    "cdot": "·", "times": "×", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "pm": "±", "infty": "∞", "sum": "∑", "prod": "∏", "int": "∫",
+    "partial": "∂", "nabla": "∇", "rightarrow": "→", "leftarrow": "←", "Rightarrow": "⇒", "to": "→", "in": "∈", "forall": "∀", "exists": "∃", "ldots": "…", "dots": "…", "quad": " ", "qquad": "  ", "LaTeX": "LaTeX", "TeX": "TeX",
+}
+
+
+def _sign(m: re.Match) -> str:
+    name = m[1]
+    greek = f"GREEK {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {'LAMDA' if name.lower() == 'lambda' else name.removeprefix('var').upper()}"
+    try:
+        return SIGNS[name] if name in SIGNS else unicodedata.lookup(greek)
+    except KeyError:
+        return ""
+
+
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "area", "base", "embed", "param", "source", "track"}
+_NAMED = frozenset(ELEMENTS) - _VOID
 _NAMES = "|".join(sorted(ELEMENTS, key=len, reverse=True))
 TAG = re.compile(rf"<(/?)({_NAMES})(?=[\s/>])((?:\s+[^<>]*)?)\s*(/?)>", re.I)
 COMMENT = re.compile(r"<!--.*?-->|<!doctype\b[^<>]*>|<\?xml\b[^<>]*\?>|<!\[CDATA\[.*?\]\]>", re.I | re.S)
@@ -115,47 +138,58 @@ def _digest(s: str) -> str:
     return hashlib.blake2b(" ".join(s.split()).lower().encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def nodes(text: str | None) -> list[tuple[str, str, bool, int, int]]:
-    """(path, content, leaf, start, end) of the nodes: HTML elements with what they hold, comments, templates and the like.
+#: Constructs that are branches of a page: what a host may repeat on every page and that nobody misses.
+BRANCHES = ("comment", "template", "wiki_link", "reference", "link")
 
-    content is a digest: of a leaf's text, of an inner node's sequence of children.
+
+def nodes(text: str | None, found: list[tuple[str, int, int]] | None = None) -> list[tuple[str, str, bool, int, int]]:
+    """(path, content, leaf, start, end) of the nodes of the text's tree, one or more for every construct.
+
+    content is a digest: of a leaf's text, of a presentation node's sequence of children.
     """
     if not text:
         return []
     out, stack = [], []
-    marks = sorted([*(("tag", m) for m in TAG.finditer(text)), *((k, m) for k, p in PATTERNS if k in ("comment", "template", "wiki_link", "reference", "link") for m in p.finditer(text))], key=lambda x: x[1].start())
     last = 0
-    for kind, m in marks:
-        if m.start() < last and kind != "tag":
-            continue
+    for kind, start, end in constructs(text) if found is None else found:
         if kind != "tag":
+            if start < last:
+                continue
             path = "/".join([*(s[0] for s in stack), kind])
-            out.append((path, _digest(m.group(0)), True, m.start(), m.end()))
+            out.append((path, _digest(text[start:end]), True, start, end))
             if stack:
                 stack[-1][2].append(kind)
-            last = m.end()
+            last = end
             continue
+        m = TAG.match(text, start)
         name = m.group(2).lower()
+        alone = name in _VOID or bool(m.group(4))
         if m.group(1):
             if any(s[0] == name for s in stack):
                 while stack:
-                    tag, start, children = stack.pop()
-                    path = "/".join([*(s[0] for s in stack), tag])
-                    end = m.end() if tag == name else m.start()
-                    out.append((path, _digest(" ".join(children)) if children else _digest(text[start:end]), not children, start, end))
+                    tag, begun, children = stack.pop()
+                    out.append(_element(text, stack, tag, children, begun, end if tag == name else start))
                     if tag == name:
                         break
+                continue
+            alone = True
+        if stack:
+            stack[-1][2].append(name)
+        if alone:
+            out.append(("/".join([*(s[0] for s in stack), name]), _digest(m.group(0)), True, start, start))
         else:
-            if stack:
-                stack[-1][2].append(name)
-            if name not in _VOID and not m.group(4):
-                stack.append((name, m.start(), []))
+            stack.append((name, start, []))
     while stack:
-        tag, start, children = stack.pop()
-        out.append(("/".join([*(s[0] for s in stack), tag]), _digest(" ".join(children)) if children else _digest(text[start:]), not children, start, len(text)))
+        tag, begun, children = stack.pop()
+        out.append(_element(text, stack, tag, children, begun, len(text)))
     return out
 
 
+def _element(text, stack, tag, children, start, end):
+    branches = [c for c in children if c in BRANCHES or c in _NAMED]
+    return "/".join([*(s[0] for s in stack), tag]), _digest(" ".join(children)) if branches else _digest(text[start:end]), not branches, start, end
+
+
 _HEAD = {"section": "#", "chapter": "#", "subsection": "##", "subsubsection": "###", "paragraph": "####", "title": "#"}
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "table", "tbody", "thead", "ul", "ol", "dl", "blockquote", "pre", "figure", "form", "address", "body", "html", "hr", "br"}
 
@@ -174,11 +208,11 @@ def _tag_text(m: re.Match) -> str:
 
 
 def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> str | None:
-    """Clean text; nodes whose path and content are in drop are removed with all they hold."""
+    """Clean text; nodes whose path and content are in drop, or whose path is with an empty content, are removed with all they hold."""
     if not text:
         return text
     if drop:
-        gone = sorted((a, b) for p, c, _, a, b in nodes(text) if (p, c) in drop)
+        gone = sorted((a, b) for p, c, _, a, b in nodes(text) if (p, c) in drop or (p, "") in drop)
         out, at = [], 0
         for a, b in gone:
             if a >= at:
@@ -194,7 +228,10 @@ def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> s
     t = text.replace("\r\n", "\n")
     t = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", "", t, flags=re.I | re.S)
     t = COMMENT.sub("", t)
-    t = re.sub(r"<(ref|nowiki)\b[^<>]*(?:/>|>.*?</\1\s*>)", "", t, flags=re.I | re.S)
+    t = re.sub(r"<ref\b[^<>]*(?:/>|>.*?</ref\s*>)", "", t, flags=re.I | re.S)
+    t = re.sub(r"<nowiki\b[^<>]*>(.*?)</nowiki\s*>", lambda m: keep(m[1]), t, flags=re.I | re.S)
+    t = re.sub(r"<ol\b[^<>]*>(?:(?!<[ou]l\b).)*?</ol\s*>", _numbered, t, flags=re.I | re.S)
+    t = re.sub(r"\\begin\{enumerate\}.*?\\end\{enumerate\}", lambda m: _count(r"\\item(?![A-Za-z\[])[ \t]*", m[0], "{}. "), t, flags=re.S)
     t = re.sub(r"^ {0,3}(```+|~~~+)([^\n`]*)\n(.*?)\n {0,3}\1[ \t]*$", lambda m: keep(f"```{m[2].strip()}\n{m[3]}\n```"), t, flags=re.M | re.S)
     t = re.sub(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre\s*>", lambda m: "\n" + keep(f"```\n{html.unescape(m[1]).strip(chr(10))}\n```") + "\n", t, flags=re.I | re.S)
     t = re.sub(r"\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", lambda m: keep(f"```\n{m[2].strip(chr(10))}\n```"), t, flags=re.S)
@@ -223,6 +260,9 @@ def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> s
     t = re.sub(r"^ {0,3}>[ \t]?", "", t, flags=re.M)
     for kind, n in (("strong", 2), ("emphasis", 1), ("strike", 2)):
         t = PATTERNS_BY[kind].sub(lambda m: m[0].strip("*_~" if len(m[0].strip("*_~")) else ""), t)
+    t = re.sub(r"\{\\(?:bf|it|em|tt|rm|sc)\s+([^{}]*)\}", r"\1", t)
+    for _ in range(3):
+        t = re.sub(r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", lambda m: "/".join(x if re.fullmatch(r"\w+", x) else f"({x})" for x in (m[1], m[2])), t)
     t = re.sub(r"\\((?:sub)*section|chapter|paragraph|title)\*?\{([^{}]*)\}", lambda m: f"{_HEAD.get(m[1], '#')} {m[2]}", t)
     t = re.sub(r"[ \t]*\\\\[ \t]*(?=\n|$)", "", t)
     t = re.sub(r"(?m)^([^\n]*?) & ([^\n]*)$", lambda m: m[0].replace(" & ", " | ") if "tabular" in text else m[0], t)
@@ -231,7 +271,7 @@ def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> s
     t = re.sub(r"[~ ]?\\(?:label|cite[a-z]*|ref|eqref|pageref|index|vspace|hspace|usepackage|documentclass)\*?(?:\[[^\[\]]*\])*\{[^{}]*\}", "", t)
     for _ in range(3):
         t = re.sub(_PATH + r"\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])*\{([^{}]*)\}", r"\1", t)
-    t = re.sub(_PATH + rf"\\(?:{'|'.join(sorted(BARE, key=len, reverse=True))})(?![A-Za-z\\])[ ]?", "", t)
+    t = re.sub(_PATH + rf"\\({'|'.join(sorted(BARE, key=len, reverse=True))})(?![A-Za-z\\])([ ]?)", lambda m: (x + m[2] if (x := _sign(m)) else ""), t)
     t = re.sub(r"(?<![\\\w:])\\([#$%&_{}])", r"\1", t)
     t = TAG.sub(_tag_text, t)
     t = ENTITY.sub(lambda m: html.unescape(m[0]), t).replace("\xa0", " ")
@@ -244,6 +284,17 @@ def clean(text: str | None, drop: frozenset[tuple[str, str]] = frozenset()) -> s
 PATTERNS_BY = dict(PATTERNS)
 
 
+def _count(item: str, text: str, form: str) -> str:
+    """The text with each item's mark as its number in the given form."""
+    numbers = iter(range(1, len(text)))
+    return re.sub(item, lambda m: form.format(next(numbers)), text, flags=re.I)
+
+
+def _numbered(m: re.Match) -> str:
+    """An ordered list without lists in it, its items numbered."""
+    return _count(r"<li\b[^<>]*>\s*", m[0], "\n{}. ")
+
+
 def records(chunks: DataFrame, tables: DataFrame) -> DataFrame:
     """(origin, record_key, host, rows): both tables as records of rows of cells; a chunk is one cell."""
     chunk = chunks.filter(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select(F.lit("chunk").alias("origin"), F.col("chunk_id").alias("record_key"), F.coalesce("collection", F.lit("")).alias("host"), F.array(F.array("text")).alias("rows"))
@@ -268,8 +319,9 @@ def _parse(batches):
         out = {"constructs": [], "nodes": []}
         for rows in batch.column(3).to_pylist():
             cells = [c for r in rows if r for c in r if c]
-            out["constructs"].append(sum(len(constructs(c)) for c in cells))
-            out["nodes"].append([{"path": p, "content": c, "leaf": leaf} for cell in cells for p, c, leaf, _, _ in nodes(cell)] if out["constructs"][-1] else [])
+            tree = [x for c in cells for x in nodes(c)]
+            out["constructs"].append(len(tree))
+            out["nodes"].append([{"path": p, "content": c, "leaf": leaf} for p, c, leaf, _, _ in tree])
         kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.string()), ("leaf", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out["constructs"], pa.int32()), pa.array(out["nodes"], kind)], ["origin", "record_key", "host", "constructs", "nodes"])
 
@@ -281,15 +333,22 @@ def trees(rows: DataFrame) -> DataFrame:
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, content, leaf, n, m, importance): the merged trees of each host."""
+    """(host, path, content, leaf, n, m, importance, branch): the merged trees of each host.
+
+    importance is that of a leaf's content or of a presentation node, branch the greatest on the path and below it.
+    """
     flat = parsed.select("host", F.concat_ws("\0", "origin", "record_key").alias("r"), F.explode("nodes").alias("x")).select("host", "r", "x.*").distinct()
     shared = flat.groupBy("host", "path", "content", "leaf").agg(F.count("*").alias("n"))
     # A record may hold several contents of a path, so presentations are weighed by their own sum.
-    m = shared.groupBy("host", "path", "leaf").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
-    joined = shared.join(m, ["host", "path", "leaf"])
-    leaf = 1 - F.try_divide(F.ln("n"), F.ln("m"))
+    m = shared.groupBy("host", "path", "leaf").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"), F.min("n").alias("least"))
+    leaf = lambda n: 1 - F.try_divide(F.ln(n), F.ln("m"))
     inner = F.try_divide(F.ln("m") - F.col("nlogn") / F.col("m"), F.ln("m"))
-    return joined.withColumn("importance", F.when(F.col("m") <= 1, F.lit(1.0)).when(F.col("leaf"), leaf).otherwise(inner)).drop("nlogn")
+    weigh = lambda n: F.when(F.col("m") <= 1, F.lit(1.0)).when(F.col("leaf"), leaf(n)).otherwise(inner)
+    # Of a path the rarest content weighs most; every path above it weighs no less.
+    names = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
+    branch = m.select("host", F.explode(above).alias("path"), weigh("least").alias("w")).groupBy("host", "path").agg(F.max("w").alias("branch"))
+    return shared.join(m, ["host", "path", "leaf"]).withColumn("importance", weigh("n")).drop("nlogn", "least").join(branch, ["host", "path"])
 
 
 def _clean(batches):
@@ -305,15 +364,15 @@ def _clean(batches):
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    """(origin, record_key, text, dropped): clean text of each record with markup; dropped counts paths and contents removed by the style tree.
-
-    An inner node is only removed as part of what it holds: leaves carry the decision, and a branch whose leaves all go is empty.
-    """
-    parsed = trees(rows)
-    low = style_tree(parsed).filter(F.col("leaf") & (F.col("m") >= SITE) & (F.col("importance") < LEAST)).select("host", "path", "content")
+    """(origin, record_key, text, dropped): clean text of each record with markup; dropped counts the branches and contents that the
+    style tree removes. A removed presentation node goes by its path, with an empty content; a leaf by path and content."""
+    parsed = materialize(trees(rows), "trees")
+    removable = F.element_at(F.split("path", "/"), -1).isin(*BRANCHES, *sorted(_NAMED))
+    tree = style_tree(parsed).filter((F.col("m") >= SITE) & removable)
+    low = tree.filter(F.when(F.col("leaf"), F.col("importance") < LEAST).otherwise(F.col("branch") < LEAST))
+    low = low.select("host", "path", "content", F.when(F.col("leaf"), F.col("content")).otherwise("").alias("gone"))
     used = parsed.select("origin", "record_key", "host", F.explode("nodes").alias("x")).select("origin", "record_key", "host", "x.path", "x.content")
-    drops = used.join(low, ["host", "path", "content"]).groupBy("origin", "record_key").agg(F.collect_set(F.struct("path", "content")).alias("drop"))
-    marked = parsed.select("origin", "record_key")
-    source = candidates(rows).join(marked, ["origin", "record_key"], "left_semi").dropDuplicates(["origin", "record_key"])
-    both = source.join(drops, ["origin", "record_key"], "left").select("origin", "record_key", "rows", "drop")
-    return both.mapInArrow(_clean, "origin string, record_key string, text string, dropped int")
+    drops = used.join(low, ["host", "path", "content"]).groupBy("origin", "record_key").agg(F.collect_set(F.struct("path", F.col("gone").alias("content"))).alias("drop"))
+    marked = parsed.select("origin", "record_key").join(drops, ["origin", "record_key"], "left")
+    source = candidates(rows).select("origin", "record_key", "rows").join(marked, ["origin", "record_key"]).dropDuplicates(["origin", "record_key"])
+    return source.select("origin", "record_key", "rows", "drop").mapInArrow(_clean, "origin string, record_key string, text string, dropped int")
