@@ -139,13 +139,14 @@ def _digest(s: str) -> str:
 
 
 #: Constructs that are branches of a page: what a host may repeat on every page and that nobody misses.
-BRANCHES = ("comment", "template", "wiki_link", "reference", "link")
+BRANCHES = ("=comment", "=template", "=wiki_link", "=reference", "=link")
 
 
 def nodes(text: str | None, found: list[tuple[str, int, int]] | None = None) -> list[tuple[str, str, bool, int, int]]:
     """(path, content, leaf, start, end) of the nodes of the text's tree, one or more for every construct.
 
-    content is a digest: of a leaf's text, of a presentation node's sequence of children.
+    Elements go by their names, other constructs by '=' and their kind. content is a digest: of a leaf's text, of a presentation
+    node's sequence of children.
     """
     if not text:
         return []
@@ -155,10 +156,10 @@ def nodes(text: str | None, found: list[tuple[str, int, int]] | None = None) ->
         if kind != "tag":
             if start < last:
                 continue
-            path = "/".join([*(s[0] for s in stack), kind])
-            out.append((path, _digest(text[start:end]), True, start, end))
+            name = f"={kind}"
+            out.append(("/".join([*(s[0] for s in stack), name]), _digest(text[start:end]), True, start, end))
             if stack:
-                stack[-1][2].append(kind)
+                stack[-1][2].append(name)
             last = end
             continue
         m = TAG.match(text, start)

@@ -60,6 +60,29 @@ def test_clean_keeps_structure():
     assert markup.clean("== H ==\n'''b''' [[A|c]] [[Category:z]]") == "# H\nb c"
 
 
+def test_clean_keeps_formulas_literals_and_numbers():
+    assert markup.clean(r"\frac{a}{b} and \alpha, $x_1$ {\it y}") == r"a/b and α, $x_1$ y"
+    assert markup.clean("<nowiki>''raw'' [[x]]</nowiki> <b>b</b>") == "''raw'' [[x]] b"
+    assert markup.clean("<ol><li>one</li><li>two</li></ol>").split("\n") == ["1. one", "2. two"]
+    assert markup.clean("\\begin{enumerate}\n\\item x\n\\item y\n\\end{enumerate}").split("\n") == ["1. x", "2. y"]
+
+
+def test_every_construct_is_a_node():
+    assert [t for t in MARKED if not markup.nodes(t)] == [] and [t for t in PLAIN if markup.nodes(t)] == []
+    got = {(p, leaf) for p, _, leaf, _, _ in markup.nodes("<div><p>a **b**</p><ul><li>x</ul></div> &amp; </i>")}
+    assert {("div", False), ("div/p", True), ("div/p/=strong", True), ("div/ul", False), ("div/ul/li", True), ("=entity", True), ("i", True)} <= got
+
+
+def test_branch_goes_only_if_all_below_it_does(spark):
+    texts = [f"<div><nav><a>home</a><a>about</a></nav><section><a>help</a><p>story number {i}</p></section></div>" for i in range(8)]
+    tables = spark.createDataFrame([], "doc string, page int, table_no int, rows array<array<string>>")
+    rec = markup.records(chunks(spark, texts), tables)
+    tree = {(r.path, r.leaf): r for r in markup.style_tree(markup.trees(rec)).collect()}
+    assert tree["div/nav", False].branch < markup.LEAST < tree["div/section", False].branch <= tree["div", False].branch
+    got = [r.text for r in markup.cleaned(rec).collect()]
+    assert len(got) == 8 and all(t.startswith("story number") for t in got)
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     texts = [f"<div><nav>home about contact</nav><p>story number {i} of many</p></div>" for i in range(8)]
     tables = spark.createDataFrame([], "doc string, page int, table_no int, rows array<array<string>>")
