@@ -315,7 +315,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 TREE = "origin string, record_key string, host string, constructs int, nodes array<struct<path:string,content:string,leaf:boolean>>"
 
 
-def _parse(batches):
+def _parse(batches, keep: bool):
     for batch in batches:
         out = {"constructs": [], "nodes": []}
         for rows in batch.column(3).to_pylist():
@@ -324,13 +324,16 @@ def _parse(batches):
             out["constructs"].append(len(tree))
             out["nodes"].append([{"path": p, "content": c, "leaf": leaf} for p, c, leaf, _, _ in tree])
         kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.string()), ("leaf", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out["constructs"], pa.int32()), pa.array(out["nodes"], kind)], ["origin", "record_key", "host", "constructs", "nodes"])
+        held = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out["constructs"], pa.int32()), pa.array(out["nodes"], kind)], ["origin", "record_key", "host", "constructs", "nodes"])
+        if keep:
+            held = held.append_column("rows", batch.column(3))
+        yield held.filter(pa.array([n > 0 for n in out["constructs"]], pa.bool_()))
 
 
-def trees(rows: DataFrame) -> DataFrame:
-    """TREE of each record that holds a construct; copies of a record once."""
-    parsed = candidates(rows).select("origin", "record_key", "host", "rows").mapInArrow(_parse, TREE)
-    return parsed.filter("constructs > 0").dropDuplicates(["origin", "record_key"])
+def trees(rows: DataFrame, keep: bool = False) -> DataFrame:
+    """TREE of each record that holds a construct, with its rows if they are to be kept; copies of a record once."""
+    schema = f"{TREE}, rows array<array<string>>" if keep else TREE
+    return candidates(rows).select("origin", "record_key", "host", "rows").mapInArrow(lambda it: _parse(it, keep), schema).dropDuplicates(["origin", "record_key"])
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
@@ -340,16 +343,17 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     """
     flat = parsed.select("host", F.concat_ws("\0", "origin", "record_key").alias("r"), F.explode("nodes").alias("x")).select("host", "r", "x.*").distinct()
     shared = flat.groupBy("host", "path", "content", "leaf").agg(F.count("*").alias("n"))
-    # A record may hold several contents of a path, so presentations are weighed by their own sum.
-    m = shared.groupBy("host", "path", "leaf").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"), F.min("n").alias("least"))
+    # m records have the path; as one may hold several contents of it, presentations are weighed by the sum of theirs.
+    m = shared.groupBy("host", "path", "leaf").agg(F.sum("n").alias("sum"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"), F.min("n").alias("least"))
+    m = m.join(flat.groupBy("host", "path", "leaf").agg(F.count_distinct("r").alias("m")), ["host", "path", "leaf"])
     leaf = lambda n: 1 - F.try_divide(F.ln(n), F.ln("m"))
-    inner = F.try_divide(F.ln("m") - F.col("nlogn") / F.col("m"), F.ln("m"))
+    inner = F.least(F.lit(1.0), F.try_divide(F.ln("sum") - F.col("nlogn") / F.col("sum"), F.ln("m")))
     weigh = lambda n: F.when(F.col("m") <= 1, F.lit(1.0)).when(F.col("leaf"), leaf(n)).otherwise(inner)
     # Of a path the rarest content weighs most; every path above it weighs no less.
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
     branch = m.select("host", F.explode(above).alias("path"), weigh("least").alias("w")).groupBy("host", "path").agg(F.max("w").alias("branch"))
-    return shared.join(m, ["host", "path", "leaf"]).withColumn("importance", weigh("n")).drop("nlogn", "least").join(branch, ["host", "path"])
+    return shared.join(m, ["host", "path", "leaf"]).withColumn("importance", weigh("n")).drop("nlogn", "least", "sum").join(branch, ["host", "path"])
 
 
 def _clean(batches):
@@ -367,13 +371,12 @@ def _clean(batches):
 def cleaned(rows: DataFrame) -> DataFrame:
     """(origin, record_key, text, dropped): clean text of each record with markup; dropped counts the branches and contents that the
     style tree removes. A removed presentation node goes by its path, with an empty content; a leaf by path and content."""
-    parsed = materialize(trees(rows), "trees")
+    parsed = materialize(trees(rows, keep=True), "trees")
     removable = F.element_at(F.split("path", "/"), -1).isin(*BRANCHES, *sorted(_NAMED))
     tree = style_tree(parsed).filter((F.col("m") >= SITE) & removable)
     low = tree.filter(F.when(F.col("leaf"), F.col("importance") < LEAST).otherwise(F.col("branch") < LEAST))
     low = low.select("host", "path", "content", F.when(F.col("leaf"), F.col("content")).otherwise("").alias("gone"))
     used = parsed.select("origin", "record_key", "host", F.explode("nodes").alias("x")).select("origin", "record_key", "host", "x.path", "x.content")
     drops = used.join(low, ["host", "path", "content"]).groupBy("origin", "record_key").agg(F.collect_set(F.struct("path", F.col("gone").alias("content"))).alias("drop"))
-    marked = parsed.select("origin", "record_key").join(drops, ["origin", "record_key"], "left")
-    source = candidates(rows).select("origin", "record_key", "rows").join(marked, ["origin", "record_key"]).dropDuplicates(["origin", "record_key"])
+    source = parsed.select("origin", "record_key", "rows").join(drops, ["origin", "record_key"], "left")
     return source.select("origin", "record_key", "rows", "drop").mapInArrow(_clean, "origin string, record_key string, text string, dropped int")
