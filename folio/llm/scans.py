@@ -1,19 +1,21 @@
 """Repair of text from scanned pages: words cut at line ends, misread characters, running lines.
 
 Vocabulary are the words that at least a share FREQUENT of all records hold, so its size is bounded by the words of a record over
-that share, whatever the corpus. For an unknown word, candidates are retrieved through an inverted index of the vocabulary's
-character q-grams and of its skeletons (the word with every confusable shape written one way), and a gradient-boosted ranker,
-trained on words of the vocabulary damaged by the known confusions and on rare words taken as they are, says whether the best
-candidate replaces the word. Whether a line end cuts a word is told by a rule from how often the joined and the hyphenated word
-stand elsewhere; signs and digits in words, spaced letters and split words have rules too. Lines at the edge of a sheet go to a
-classifier of the same kind: whether a line is furniture is told from its shape and from the pages of its document, and of all
-documents, that repeat it.
+that share, whatever the corpus. The unknown words of all records, each once, meet the vocabulary in an inverted join on character
+q-grams: an index of the vocabulary's grams and of its skeletons (the word with every confusable shape written one way), bounded
+as the vocabulary is, goes to the tasks that hold the unknown words. A gradient-boosted ranker, trained on words of the vocabulary
+damaged by the known confusions and on rare words taken as they are, looks at every candidate and says whether the best replaces
+the word; the replacements join the records that hold the words. Whether a line end cuts a word is told by a classifier of the
+same kind over pairs of line ends and beginnings, trained on words of the vocabulary cut anywhere and on compounds; signs and
+digits in words, spaced letters and split words have rules. Lines at the edge of a sheet go to a third classifier: whether a line
+is furniture is told from its shape and from the pages of its document, and of all documents, that repeat it.
 
 Null and blank texts have no noise. Rows that repeat a key are one record.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -139,145 +141,218 @@ def _evidence(batches):
 
 
 class Speller:
-    """Candidates and ranker for unknown words."""
+    """Candidates and ranker for unknown words, and the classifier of line ends."""
 
     Q = 3
 
     def __init__(self, frequency: dict[str, int], compounds: dict[str, int], n: int, rare: list[str] = ()) -> None:
         self.frequency, self.compounds, self.n = frequency, compounds, n
+        self.names = sorted(w for w in frequency if len(w) > 2)
         self.skeletons: dict[str, list[str]] = {}
-        self.grams: dict[str, list[str]] = {}
-        for w in frequency:
-            if len(w) > 2:
-                self.skeletons.setdefault(skeleton(w), []).append(w)
-                for g in self._grams(w):
-                    self.grams.setdefault(g, []).append(w)
+        self.places: dict[str, list[int]] = {}
+        postings: dict[str, list[int]] = {}
+        for k, w in enumerate(self.names):
+            self.skeletons.setdefault(skeleton(w), []).append(w)
+            self.places.setdefault(skeleton(w), []).append(k)
+            for g in self._grams(w):
+                postings.setdefault(g, []).append(k)
+        # The inverted index: where each gram's words begin, and the words.
+        self.code = {g: k for k, g in enumerate(postings)}
+        self.starts = np.cumsum([0, *map(len, postings.values())])
+        self.words = np.array([k for p in postings.values() for k in p], np.int64)
+        self.sizes = np.array([len(w) for w in self.names] or [0])
+        self.logs = np.log(np.array([frequency[w] for w in self.names] or [1]) / n)
+        self.shape = np.array([hash_of(skeleton(w)) for w in self.names] or [0], np.uint64)
+        self.ends = np.array([[ord(w[0]), ord(w[-1])] for w in self.names] or [[0, 0]])
         self.cache: dict[str, str | None] = {}
-        self.ranker = Boost()
-        self._train(rare)
+        self.cuts: dict[tuple, bool] = {}
+        self.ranker, self.joiner = Boost(), Boost(rounds=25)
+        self._train(list(rare))
+        self._train_cuts(list(rare))
 
     def _grams(self, w: str) -> set[str]:
         t = f"^{w}$"
         return {t[i : i + self.Q] for i in range(len(t) - self.Q + 1)}
 
-    def candidates(self, w: str) -> dict[str, int]:
-        """Words of the vocabulary that share the skeleton or enough q-grams, and how many they share."""
-        low = w.lower()
-        shared: Counter = Counter()
-        mine = self._grams(low)
-        for g in mine:
-            shared.update(self.grams.get(g, ()))
-        need = max(2, (len(mine) + 1) // 2 - 1)
-        out = {c: k for c, k in shared.items() if k >= need and abs(len(c) - len(low)) <= 2}
-        for c in self.skeletons.get(skeleton(low), ()):
-            out.setdefault(c, shared.get(c, 0))
-        return out
-
-    def features(self, w: str, c: str, shared: int) -> list[float]:
-        low = w.lower()
-        same = float(skeleton(low) == skeleton(c))
-        d = _distance(low, c, 3)
-        head = next((i for i, (x, y) in enumerate(zip(low, c)) if x != y), min(len(low), len(c)))
-        return [same, d, d / len(c), shared / (len(c) + len(low)), len(c), len(low) - len(c), np.log(self.frequency[c] / self.n), head / len(c), float(not low.isalpha()), float(w[0].isupper())]
+    def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, name, shared): places of words and of the names that share their skeleton or enough q-grams, and how many."""
+        row, gram, need = [], [], np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            mine = self._grams(w)
+            need[k] = max(2, (len(mine) + 1) // 2 - 1)
+            known = [self.code[g] for g in mine if g in self.code]
+            row += [k] * len(known)
+            gram += known
+        row, gram = np.array(row, np.int64), np.array(gram, np.int64)
+        many = self.starts[gram + 1] - self.starts[gram] if len(gram) else gram
+        ends = np.cumsum(many)
+        at = np.repeat(self.starts[gram], many) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+        span = max(1, len(self.names))
+        key, shared = np.unique(np.repeat(row, many) * span + self.words[at], return_counts=True)
+        w, c = key // span, key % span
+        lengths = np.array([len(x) for x in words] or [0])
+        enough = (shared >= need[w]) & (abs(self.sizes[c] - lengths[w]) <= 2)
+        same = [(k, c) for k, x in enumerate(words) for c in self.places.get(skeleton(x), ())]
+        extra = np.array([k * span + c for k, c in same], np.int64)
+        keep = enough | np.isin(key, extra)
+        lone = np.setdiff1d(extra, key)
+        key, shared = np.r_[key[keep], lone], np.r_[shared[keep], np.zeros(len(lone), np.int64)]
+        return key // span, key % span, shared
+
+    def features(self, words: list[str], w: np.ndarray, c: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        shape = np.array([hash_of(skeleton(x)) for x in words], np.uint64)
+        size, ends = np.array([len(x) for x in words]), np.array([[ord(x[0]), ord(x[-1])] for x in words])
+        # Every edit takes Q grams at most, so the grams that are not shared bound the edits from below.
+        edits = np.ceil((np.maximum(size[w], self.sizes[c]) - shared) / self.Q)
+        alpha = np.array([x.isalpha() for x in words], float)
+        return np.stack([shape[w] == self.shape[c], edits, edits / self.sizes[c], shared / (size[w] + self.sizes[c]), self.sizes[c], size[w] - self.sizes[c], self.logs[c], ends[w, 0] == self.ends[c, 0], ends[w, 1] == self.ends[c, 1], alpha[w]], 1).astype(float)
 
     def _train(self, rare: list[str]) -> None:
         rng = np.random.default_rng(11)
-        x, y = [], []
-        for c in sorted(self.frequency)[: SAMPLE // 4]:
-            if len(c) < 4:
-                continue
+        damaged, right = [], []
+        for c in (self.names[k] for k in rng.permutation(len(self.names))[: SAMPLE // 4]):
             fits = [(a, b) for a, b in CONFUSIONS if a in c]
-            for k in rng.permutation(len(fits))[:2]:
-                a, b = fits[k]
-                w = c.replace(a, b, 1)
-                if w in self.frequency:
-                    continue
-                for other, shared in self.candidates(w).items():
-                    x.append(self.features(w, other, shared))
-                    y.append(float(other == c))
+            for k in rng.permutation(len(fits))[: 2 if len(c) > 3 else 0]:
+                w = c.replace(*fits[k], 1)
+                if w not in self.frequency:
+                    damaged.append(w)
+                    right.append(c)
         # Rare words as they stand are taken for correct, unless they have the very skeleton of a frequent word.
-        for w in rare[: SAMPLE // 4]:
-            for other, shared in self.candidates(w).items():
-                if skeleton(w) != skeleton(other):
-                    x.append(self.features(w, other, shared))
-                    y.append(0.0)
-        if x:
-            pick = rng.permutation(len(x))[:SAMPLE]
-            self.ranker.fit(np.array(x)[pick], np.array(y)[pick])
+        plain = [w for w in rare if skeleton(w) not in self.skeletons][: SAMPLE // 4]
+        words = damaged + plain
+        if not words or not self.names:
+            return
+        w, c, shared = self.candidates(words)
+        if not len(w):
+            return
+        y = np.array([k < len(right) and self.names[j] == right[k] for k, j in zip(w, c)], float)
+        pick = rng.permutation(len(w))[:SAMPLE]
+        self.ranker.fit(self.features(words, w[pick], c[pick], shared[pick]), y[pick])
+
+    def _train_cuts(self, rare: list[str]) -> None:
+        """Words of the vocabulary and rare words cut anywhere are cuts, the latter as if never seen whole; compounds are none, half of
+        them as if never seen."""
+        rng = np.random.default_rng(13)
+        x, y = [], []
+        for whole in [*self.names, *rare][: 2 * SAMPLE]:
+            if len(whole) >= 5:
+                at = int(rng.integers(2, len(whole) - 1))
+                x.append(self._cut_features(whole[:at], whole[at:], self.frequency.get(whole, 0), 0))
+                y.append(1.0)
+        for compound, n in self.compounds.items():
+            left, right = compound.split("-", 1)
+            x.append(self._cut_features(left, right, self.frequency.get(left + right, 0), n))
+            y.append(0.0)
+        frequent = [w for w in self.names if len(w) > 3]
+        for _ in range(len(y) // 4 if frequent else 0):
+            left, right = (frequent[int(k)] for k in rng.integers(0, len(frequent), 2))
+            if left + right not in self.frequency:
+                x.append(self._cut_features(left, right, 0, int(rng.random() < 0.5)))
+                y.append(0.0)
+        pick = rng.permutation(len(x))[:SAMPLE]
+        if len(x):
+            self.joiner.fit(np.array(x)[pick], np.array(y)[pick])
+
+    def _cut_features(self, left: str, right: str, whole: int, compound: int) -> list[float]:
+        a, b = self.frequency.get(left.lower(), 0), self.frequency.get(right.lower(), 0)
+        return [np.log1p(whole), np.log1p(compound), float(whole > compound), np.log1p(a), np.log1p(b), float(a > 0 and b > 0), len(left), len(right), float(skeleton(left + right) in self.skeletons)]
+
+    def cut(self, left: str, right: str) -> bool:
+        """What the classifier says of a line end and the beginning of the next line."""
+        key = left.lower(), right.lower()
+        if key not in self.cuts:
+            if len(self.cuts) > 200_000:
+                self.cuts.clear()
+            whole, compound = self.frequency.get("".join(key), 0), self.compounds.get("-".join(key), 0)
+            self.cuts[key] = bool(self.joiner.predict(np.array([self._cut_features(*key, whole, compound)]))[0] > 0.5)
+        return self.cuts[key]
 
     def known(self, w: str) -> bool:
         return w.lower() in self.frequency
 
+    def corrections(self, words: list[str]) -> list[str | None]:
+        """Of each lower-case word the frequent word that it stands for, or None where it may be right as it is."""
+        out: list[str | None] = [None] * len(words)
+        if not words or not self.names:
+            return out
+        w, c, shared = self.candidates(words)
+        if not len(w):
+            return out
+        p = self.ranker.predict(self.features(words, w, c, shared))
+        order = np.lexsort((p, w))
+        last = order[np.r_[w[order][1:] != w[order][:-1], True]]
+        for k in last[p[last] > 0.5]:
+            if words[w[k]] not in self.frequency:
+                out[w[k]] = self.names[c[k]]
+        return out
+
     def correction(self, w: str) -> str | None:
-        """The frequent word that a misread word stands for, or None where it may be right as it is."""
+        """corrections() of one word that has the skeleton of a frequent word; None for others."""
         low = w.lower()
-        if low in self.frequency or len(low) < 2:
+        if low in self.frequency or len(low) < 2 or skeleton(low) not in self.skeletons:
             return None
-        if skeleton(low) not in self.skeletons:
-            return None
-        if w in self.cache:
-            return self.cache[w]
-        best = None
-        if len(self.cache) > 500_000:
-            self.cache.clear()
-        # A replacement must be explained by confusions; without such a word in the vocabulary the word may be right.
-        same = self.skeletons.get(skeleton(low))
-        if same:
-            found = self.candidates(w)
-            names = [c for c in found if c in same]
-            p = self.ranker.predict(np.array([self.features(w, c, found[c]) for c in names]))
-            k = int(np.argmax(p))
-            if p[k] > 0.5:
-                best = names[k]
-        self.cache[w] = best
-        return best
-
-
-def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance, at most `most` + 1."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        if min(row) > most:
-            return most + 1
-        last = row
-    return last[-1]
+        if low not in self.cache:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            self.cache[low] = self.corrections([low])[0]
+        return self.cache[low]
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
 def is_cut(left: str, mark: str, right: str, speller: Speller) -> bool:
-    """Whether the hyphen at a line end cuts a word, rather than joining the parts of a compound that happens to end the line."""
+    """Whether the hyphen at a line end cuts a word, rather than joining the parts of a compound that happens to end the line.
+
+    Soft hyphens always cut, dashes before capitals never do; the classifier tells the others.
+    """
     if mark == "–" and not right[0].islower():
         return False
-    whole, compound = (left + right).lower(), f"{left}-{right}".lower()
-    a, b, c = speller.frequency.get(whole, 0), speller.compounds.get(compound, 0), mark in "­¬"
-    if c or a > b:
-        return True
-    if b:
-        return False
-    # Two frequent words of their own, neither of which needs the other, are a compound.
-    both = speller.frequency.get(left.lower(), 0) and speller.frequency.get(right.lower(), 0) and len(left) > 2 and len(right) > 2
-    return not (both and mark == "-" and speller.correction(left + right) is None)
+    return mark in "­¬" or speller.cut(left, right)
 
 
-def noise(text: str, speller: Speller) -> set[str]:
-    """'hyphen' and 'character' where the text has them."""
-    out = set()
+def noise(text: str, speller: Speller) -> tuple[set[str], set[str]]:
+    """'hyphen' and 'character' where the text surely has them, and the unknown words that may be misread, lower-case."""
+    out, unknown = set(), set()
     if LINE_END.search(text):
         for m in CUT.finditer(text):
             if is_word(m[1]) and is_cut(m[1], m[2], m[3], speller):
                 out.add("hyphen")
                 break
-    if has_misread(text, speller):
+    t = dehyphenated(text)
+    if odd_signs(t, speller):
         out.add("character")
-    return out
+        return out, unknown
+    words = RUN.findall(t)
+    frequency = speller.frequency
+    new = {w for w in set(words) if w.lower() not in frequency}
+    # A word split in two: at least one part is no word, and both together are.
+    odd = [i for i, w in enumerate(words) if w in new]
+    for i in {k for i in odd for k in (i - 1, i) if 0 <= k < len(words) - 1}:
+        a, b = words[i], words[i + 1]
+        if (a + b).lower() in frequency and len(a) + len(b) > 3 and is_word(a + b):
+            if re.search(rf"(?<![\w@|†‡$\\#&-]){re.escape(a)} {re.escape(b)}(?![\w@|†‡-])", t):
+                out.add("character")
+                return out, unknown
+    unknown = {w.lower() for w in new if is_word(w) and _stands(t, w)}
+    return out, unknown
+
+
+def _stands(text: str, word: str) -> bool:
+    """Whether the word stands somewhere as WORD finds it."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        before, after = text[at - 1] if at else " ", text[end] if end < len(text) else " "
+        if not (before.isalnum() or before in "_@|†‡$\\#&" or after.isalnum() or after in "_@|†‡"):
+            return True
+        at = text.find(word, end)
+    return False
 
 
-def has_misread(text: str, speller: Speller) -> bool:
-    t = dehyphenated(text)
+def odd_signs(t: str, speller: Speller) -> bool:
+    """Whether signs or digits stand in words, or letters are spaced."""
     at = 0
     for near in BESIDE.finditer(t):
         if near.start() < at:
@@ -294,19 +369,6 @@ def has_misread(text: str, speller: Speller) -> bool:
             joined = m.group().replace(" ", "")
             if len(joined) >= 4 and (joined.lower() in speller.frequency or skeleton(joined) in speller.skeletons or joined[1:].islower()):
                 return True
-    frequency = speller.frequency
-    words = RUN.findall(t)
-    unknown = {w for w in set(words) if w.lower() not in frequency}
-    for w in unknown:
-        if speller.correction(w) and is_word(w) and any(m.group() == w for m in WORD.finditer(t)):
-            return True
-    # A word split in two: at least one part is no word, and both together are.
-    odd = [i for i, w in enumerate(words) if w in unknown]
-    for i in {k for i in odd for k in (i - 1, i) if 0 <= k < len(words) - 1}:
-        a, b = words[i], words[i + 1]
-        if (a + b).lower() in frequency and len(a) + len(b) > 3 and is_word(a + b):
-            if re.search(rf"(?<![\w@|†‡$\\#&-]){re.escape(a)} {re.escape(b)}(?![\w@|†‡-])", t):
-                return True
     return False
 
 
@@ -333,17 +395,30 @@ def misread_sign(token: str, speller: Speller) -> bool:
     return speller.correction(t) is not None
 
 
+MARKS = "origin string, record_key string, noise string, word string"
+
+
 def _classify(batches, model):
+    """MARKS of (origin, record_key, text): a row for each kind that is sure, and one for each unknown word."""
     speller = model.value if hasattr(model, "value") else model
     for batch in batches:
-        origin, key, kinds = [], [], []
+        rows = []
         for o, k, text in zip(*(c.to_pylist() for c in batch.columns)):
             if text and not text.isspace():
-                for kind in noise(text, speller):
-                    origin.append(o)
-                    key.append(k)
-                    kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(origin, pa.string()), pa.array(key, pa.string()), pa.array(kinds, pa.string())], ["origin", "record_key", "noise"])
+                kinds, unknown = noise(text, speller)
+                rows += [(o, k, kind, None) for kind in kinds]
+                rows += [(o, k, None, w) for w in unknown]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["origin", "record_key", "noise", "word"])
+
+
+def _corrected(batches, model):
+    """(word, right) of the distinct unknown words that are replaced."""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            found = [(w, c) for w, c in zip(part, model.value.corrections(part)) if c is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["word", "right"])
 
 
 LINE_FEATURES = ("numbered", "sheets", "share", "docs", "rate", "shape_docs", "shape_rate", "length", "words", "upper", "digits", "place")
@@ -440,35 +515,51 @@ class ScanModel:
         self.frequency = frozenset(frequency)
         self.speller = Speller(frequency, compounds, max(1, n), rare)
 
+    def _marks(self) -> tuple[DataFrame, DataFrame]:
+        """MARKS of all records, and (word, right) of the unknown words that are replaced."""
+        model = self.spark.sparkContext.broadcast(self.speller)
+        marks = materialize(self.rows.select("origin", "record_key", "text").mapInArrow(lambda it: _classify(it, model), MARKS), "marks")
+        words = marks.filter("word IS NOT NULL").select("word").distinct()
+        return marks, materialize(words.mapInArrow(lambda it: _corrected(it, model), "word string, right string"), "corrections")
+
     def found(self) -> DataFrame:
         """(origin, record_key, noise) of every record with noise, one row per kind."""
-        model = self.spark.sparkContext.broadcast(self.speller)
-        texts = self.rows.select("origin", "record_key", "text").mapInArrow(lambda it: _classify(it, model), "origin string, record_key string, noise string")
+        marks, right = self._marks()
+        texts = marks.filter("noise IS NOT NULL").select("origin", "record_key", "noise")
+        misread_words = marks.filter("word IS NOT NULL").join(right, "word").select("origin", "record_key", F.lit("character").alias("noise"))
         running = materialize(running_lines(self.lines, self.frequency), "running")
         lines = running.select("origin", "record_key", F.lit("running").alias("noise"))
         misread = misread_lines(running).withColumn("noise", F.lit("character"))
-        return texts.unionByName(lines).unionByName(misread).distinct()
+        return texts.unionByName(misread_words).unionByName(lines).unionByName(misread).distinct()
 
     def repaired(self) -> DataFrame:
         """(origin, record_key, text): continuous paragraphs without furniture, cut words joined, misread words replaced."""
         model = self.spark.sparkContext.broadcast(self.speller)
         gone = running_lines(self.lines, self.frequency).groupBy("origin", "record_key").agg(F.collect_set("line").alias("gone"))
+        marks, right = self._marks()
+        # A record's words are as many as its text has.
+        fixes = marks.filter("word IS NOT NULL").join(right, "word").groupBy("origin", "record_key").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
 
         def run(batches):
             speller = model.value
             for batch in batches:
-                texts = [repair(t, frozenset(g or ()), speller) for t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                texts = []
+                for t, g, f in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                    texts.append(repair(t, frozenset(g or ()), speller, {x["word"]: x["right"] for x in f or ()}))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["origin", "record_key", "text"])
 
         unique = self.rows.select("origin", "record_key", "text").dropDuplicates(["origin", "record_key"])
-        return unique.join(gone, ["origin", "record_key"], "left").mapInArrow(run, "origin string, record_key string, text string")
+        key = ["origin", "record_key"]
+        return unique.join(gone, key, "left").join(fixes, key, "left").select(*key, "text", "gone", "fixes").mapInArrow(run, "origin string, record_key string, text string")
 
 
 def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repair(text: str | None, gone: frozenset[str], speller: Speller) -> str | None:
+def repair(text: str | None, gone: frozenset[str], speller: Speller, fixes: dict[str, str] | None = None) -> str | None:
+    """The text without the lines `gone`, with cut words joined and with the misread words that `fixes` replaces."""
+    fixes = fixes or {}
     if not text or text.isspace():
         return text
     lines = [x for x in text.splitlines() if x.strip() not in gone or not x.strip()]
@@ -477,7 +568,7 @@ def repair(text: str | None, gone: frozenset[str], speller: Speller) -> str | No
     t = SPACED.sub(lambda m: m[0].replace(" ", "") if len(m[0]) >= 7 else m[0], t)
     t = MIXED.sub(lambda m: _cased(m[0], min(speller.skeletons.get(skeleton(m[0]), [m[0]]), key=lambda c: -speller.frequency.get(c, 0))) if misread_sign(m[0], speller) else m[0], t)
     t = PAIR.sub(lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in speller.frequency and not (speller.known(m[1]) and speller.known(m[2])) else m[0], t)
-    t = WORD.sub(lambda m: _cased(m[0], c) if is_word(m[0]) and (c := speller.correction(m[0])) else m[0], t)
+    t = WORD.sub(lambda m: _cased(m[0], c) if (c := fixes.get(m[0].lower())) else m[0], t)
     out: list[str] = []
     for line in t.split("\n"):
         if out and out[-1] and line.strip() and _joins(out[-1], line):

@@ -356,7 +356,21 @@ def speller():
     [("the travel pol-\nicy", {"hyphen"}), ("the tra‐\r\n vel policy", {"hyphen"}), ("a well-\nworn permit", set()), ("pages 12-\n14", set()), ("the derk renewed", {"character"}), ("the mornlng", {"character"}), ("p@licy n1ght", {"character"}), ("the l o a d i n g", {"character"}), ("the warran ty", {"character"}), ("the Skrilpouth renewed AB-12 9f3c", set()), ("", set()), ("wor†h", {"character"}), ("unfil the rnorning", {"character"})],
 )
 def test_noise(speller, text, kinds):
-    assert scans.noise(text, speller) == kinds
+    sure, unknown = scans.noise(text, speller)
+    assert sure | {"character" for c in speller.corrections(sorted(unknown)) if c} == kinds
+
+
+def test_candidates_are_those_of_brute_force(speller):
+    words = ["rnorning", "moming", "permlt", "policies", "zzz", "ab", "travelling", "regionol"]
+    got = set(zip(*(x.tolist() for x in speller.candidates(words))))
+    want = set()
+    for i, w in enumerate(words):
+        for j, c in enumerate(speller.names):
+            shared = len(speller._grams(w) & speller._grams(c))
+            enough = shared >= max(2, (len(speller._grams(w)) + 1) // 2 - 1) and abs(len(w) - len(c)) <= 2
+            if enough or scans.skeleton(w) == scans.skeleton(c):
+                want.add((i, j, shared))
+    assert got == want and len(want) > 4 and speller.corrections([]) == []
 
 
 def test_running_lines_and_repair(spark):
