@@ -15,7 +15,6 @@ Null and blank texts have no noise. Rows that repeat a key are one record.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
@@ -41,6 +40,7 @@ MIXED = re.compile(r"(?<![\w@|†‡\\#&$./:{<=-])(?=[^\s]*[^\W\d_])[^\W_]*(?:[@
 SPACED = re.compile(r"(?<![^\s(\"“«„'’])(?:[^\W_]|[@|†‡]) (?:(?:[^\W_]|[@|†‡]) ){2,}(?:[^\W_]|[@|†‡])(?![^\s.,;:!?)\"”»'’])")
 LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\r?\n")
 CUT = re.compile(rf"([^\W\d_]+)([{HYPHENS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
+ALPHABETS = re.compile("[\x00-ɏЀ-ӿ'’]+")
 RUN = re.compile(r"[^\W\d_]+")
 #: Quick tests for texts that MIXED or SPACED could match.
 BESIDE = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ][@|†‡!$0-9]|[@|†‡!$0-9][A-Za-zÀ-ɏЀ-ӿ]")
@@ -63,7 +63,7 @@ def skeleton(word: str) -> str:
 
 def is_word(w: str) -> bool:
     """Alphabets whose letters scanners confuse so; scripts without such words are left alone."""
-    return len(w) > 1 and all(c < "ɐ" or "Ѐ" <= c <= "ӿ" or c in "'’" for c in w)
+    return len(w) > 1 and (w.isascii() or bool(ALPHABETS.fullmatch(w)))
 
 
 def dehyphenated(text: str) -> str:
@@ -149,20 +149,21 @@ class Speller:
         self.frequency, self.compounds, self.n = frequency, compounds, n
         self.names = sorted(w for w in frequency if len(w) > 2)
         self.skeletons: dict[str, list[str]] = {}
+        #: The names of each skeleton, and each skeleton's number.
         self.places: dict[str, list[int]] = {}
-        postings: dict[str, list[int]] = {}
         for k, w in enumerate(self.names):
             self.skeletons.setdefault(skeleton(w), []).append(w)
             self.places.setdefault(skeleton(w), []).append(k)
-            for g in self._grams(w):
-                postings.setdefault(g, []).append(k)
-        # The inverted index: where each gram's words begin, and the words.
-        self.code = {g: k for k, g in enumerate(postings)}
-        self.starts = np.cumsum([0, *map(len, postings.values())])
-        self.words = np.array([k for p in postings.values() for k in p], np.int64)
+        number = {x: k for k, x in enumerate(self.places)}
+        self.number = number
+        # The inverted index: the grams in order, where each one's words begin, and the words.
+        row, gram = _gram_codes(self.names)
+        order = np.lexsort((row, gram))
+        self.grams, first = np.unique(gram[order], return_index=True)
+        self.starts, self.words = np.r_[first, len(order)], row[order]
         self.sizes = np.array([len(w) for w in self.names] or [0])
         self.logs = np.log(np.array([frequency[w] for w in self.names] or [1]) / n)
-        self.shape = np.array([hash_of(skeleton(w)) for w in self.names] or [0], np.uint64)
+        self.shape = np.array([number[skeleton(w)] for w in self.names] or [0])
         self.ends = np.array([[ord(w[0]), ord(w[-1])] for w in self.names] or [[0, 0]])
         self.cache: dict[str, str | None] = {}
         self.cuts: dict[tuple, bool] = {}
@@ -170,37 +171,31 @@ class Speller:
         self._train(list(rare))
         self._train_cuts(list(rare))
 
-    def _grams(self, w: str) -> set[str]:
-        t = f"^{w}$"
-        return {t[i : i + self.Q] for i in range(len(t) - self.Q + 1)}
-
     def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, name, shared): places of words and of the names that share their skeleton or enough q-grams, and how many."""
-        row, gram, need = [], [], np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            mine = self._grams(w)
-            need[k] = max(2, (len(mine) + 1) // 2 - 1)
-            known = [self.code[g] for g in mine if g in self.code]
-            row += [k] * len(known)
-            gram += known
-        row, gram = np.array(row, np.int64), np.array(gram, np.int64)
-        many = self.starts[gram + 1] - self.starts[gram] if len(gram) else gram
+        row, gram = _gram_codes(words)
+        need = np.maximum(2, (np.bincount(row, minlength=len(words)) + 1) // 2 - 1)
+        at = np.minimum(np.searchsorted(self.grams, gram), max(0, len(self.grams) - 1))
+        known = self.grams[at] == gram if len(self.grams) else np.zeros(len(gram), bool)
+        row, at = row[known], at[known]
+        many = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(many)
-        at = np.repeat(self.starts[gram], many) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+        post = np.repeat(self.starts[at], many) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
         span = max(1, len(self.names))
-        key, shared = np.unique(np.repeat(row, many) * span + self.words[at], return_counts=True)
+        key, shared = np.unique(np.repeat(row, many) * span + self.words[post], return_counts=True)
         w, c = key // span, key % span
         lengths = np.array([len(x) for x in words] or [0])
         enough = (shared >= need[w]) & (abs(self.sizes[c] - lengths[w]) <= 2)
-        same = [(k, c) for k, x in enumerate(words) for c in self.places.get(skeleton(x), ())]
-        extra = np.array([k * span + c for k, c in same], np.int64)
+        extra = np.array([k * span + c for k, x in enumerate(words) for c in self.places.get(skeleton(x), ())], np.int64)
         keep = enough | np.isin(key, extra)
         lone = np.setdiff1d(extra, key)
         key, shared = np.r_[key[keep], lone], np.r_[shared[keep], np.zeros(len(lone), np.int64)]
         return key // span, key % span, shared
 
     def features(self, words: list[str], w: np.ndarray, c: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        shape = np.array([hash_of(skeleton(x)) for x in words], np.uint64)
+        used, w = np.unique(w, return_inverse=True)
+        words = [words[k] for k in used]
+        shape = np.array([self.number.get(skeleton(x), -1) for x in words])
         size, ends = np.array([len(x) for x in words]), np.array([[ord(x[0]), ord(x[-1])] for x in words])
         # Every edit takes Q grams at most, so the grams that are not shared bound the edits from below.
         edits = np.ceil((np.maximum(size[w], self.sizes[c]) - shared) / self.Q)
@@ -298,8 +293,21 @@ class Speller:
         return self.cache[low]
 
 
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+def _gram_codes(words: list[str], q: int = Speller.Q) -> tuple[np.ndarray, np.ndarray]:
+    """(word, gram): the distinct q-grams of each word with its ends marked, 21 bits for each character."""
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    row = np.repeat(np.arange(len(words)), lengths)
+    n = max(0, len(points) - q + 1)
+    code = np.zeros(n, np.int64)
+    for k in range(q):
+        code = code << 21 | points[k : n + k]
+    inside = row[:n] == row[q - 1 : n + q - 1]
+    row, code = row[:n][inside], code[inside]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    once = np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])] if len(row) else np.zeros(0, bool)
+    return row[once], code[once]
 
 
 def is_cut(left: str, mark: str, right: str, speller: Speller) -> bool:
@@ -402,13 +410,16 @@ def _classify(batches, model):
     """MARKS of (origin, record_key, text): a row for each kind that is sure, and one for each unknown word."""
     speller = model.value if hasattr(model, "value") else model
     for batch in batches:
-        rows = []
-        for o, k, text in zip(*(c.to_pylist() for c in batch.columns)):
+        place, kinds, words = [], [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
             if text and not text.isspace():
-                kinds, unknown = noise(text, speller)
-                rows += [(o, k, kind, None) for kind in kinds]
-                rows += [(o, k, None, w) for w in unknown]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["origin", "record_key", "noise", "word"])
+                sure, unknown = noise(text, speller)
+                n = len(sure) + len(unknown)
+                place += [i] * n
+                kinds += [*sure, *[None] * len(unknown)]
+                words += [*[None] * len(sure), *unknown]
+        which = pa.array(place, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(kinds, pa.string()), pa.array(words, pa.string())], ["origin", "record_key", "noise", "word"])
 
 
 def _corrected(batches, model):
