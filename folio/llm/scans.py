@@ -182,7 +182,9 @@ class Speller:
         ends = np.cumsum(many)
         post = np.repeat(self.starts[at], many) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
         span = max(1, len(self.names))
-        key, shared = np.unique(np.repeat(row, many) * span + self.words[post], return_counts=True)
+        key = np.sort(np.repeat(row, many) * span + self.words[post])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        key, shared = key[first], np.diff(np.r_[first, len(key)])
         w, c = key // span, key % span
         lengths = np.array([len(x) for x in words] or [0])
         enough = (shared >= need[w]) & (abs(self.sizes[c] - lengths[w]) <= 2)
@@ -334,9 +336,9 @@ def noise(text: str, speller: Speller) -> tuple[set[str], set[str]]:
         return out, unknown
     words = RUN.findall(t)
     frequency = speller.frequency
-    new = {w for w in set(words) if w.lower() not in frequency}
+    new = {w for w in set(words).difference(frequency) if w.lower() not in frequency}
     # A word split in two: at least one part is no word, and both together are.
-    odd = [i for i, w in enumerate(words) if w in new]
+    odd = [i for i, w in enumerate(words) if w in new] if new else []
     for i in {k for i in odd for k in (i - 1, i) if 0 <= k < len(words) - 1}:
         a, b = words[i], words[i + 1]
         if (a + b).lower() in frequency and len(a) + len(b) > 3 and is_word(a + b):
