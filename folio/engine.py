@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from folio.operators import catalog, metrics, reading, retrieval
 from folio.operators.snapshot import Generations, export_collection, import_collection
 
 
+# The limits and pools below are those that callers know.
+
+
 @dataclass(frozen=True)
 class Settings:
     """Limits are clamped, not refused; stages are a comma list of bm25, dense and rerank."""
@@ -62,18 +65,18 @@ class Engine:
 
     def scope(self, client: str, asked: list[str] | None = None) -> list[str]:
         """The open collections, or those asked for by exact or by only folded name, each once."""
-        open_ = [r.collection for r in self.collections(client).select("collection").collect()]
+        have = self.collections(client).select("collection")
         if not asked:
-            return sorted(open_)
-        out: list[str] = []
-        for name in asked:
-            folded = [c for c in open_ if c.casefold() == name.casefold()]
-            found = name if name in open_ else folded[0] if len(folded) == 1 else None
-            if found is None:
-                raise NotAvailable(f"no collection {name!r}")
-            if found not in out:
-                out.append(found)
-        return out
+            return [r.collection for r in have.orderBy("collection").collect()]
+        wanted = self.spark.createDataFrame(list(enumerate(asked)), "place int, name string")
+        same = F.col("name") == F.col("collection")
+        met = wanted.join(have, F.lower("name") == F.lower("collection"), "left").withColumn("folded", F.count("collection").over(Window.partitionBy("place")))
+        best = met.groupBy("place", "name").agg(F.coalesce(F.max(F.when(same, F.col("collection"))), F.max(F.when(F.col("folded") == 1, F.col("collection")))).alias("found"))
+        rows = best.orderBy("place").collect()
+        for r in rows:
+            if r.found is None:
+                raise NotAvailable(f"no collection {r.name!r}")
+        return list(dict.fromkeys(r.found for r in rows))
 
     def _chunks(self, client: str, asked: list[str] | None) -> DataFrame:
         return self.store.read().filter(F.col("collection").isin(self.scope(client, asked)))

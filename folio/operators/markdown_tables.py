@@ -1,22 +1,28 @@
 """Tables inside Markdown: found with their places, rewritten, joined, continued over pages.
 
-A table is (kind, start, end, rows, n_header): kind pipe or html, start and end in code points, rows rectangular. Texts that are
-null have no tables.
+A table is (kind, start, end, rows, n_header): kind pipe or html, start and end in code points, rows rectangular. Everything about
+pipe tables is read off one table of the text's lines: the cells of lines with bars, which lines are rules, and the runs of rows.
+Texts that are null have no tables.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folio.sources.html import html_tables, to_pipes
 
-SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
+#: A cell of a rule. Fixed value.
+RULE_CELL = re.compile(r":?-{2,}:?")
+#: The longest line that is looked at for a rule.
+LONGEST_RULE = 4_000
 BAR = re.compile(r"(?<!\\)\|")
+SPANS = re.compile(r"\b(?:row|col)span\s*=\s*[\"']?\s*0*(?:[2-9]|1\d)", re.I)
 TABLE = "kind string, start_at int, end_at int, rows array<array<string>>, n_header int"
 
 
@@ -28,10 +34,12 @@ class Table(NamedTuple):
     n_header: int
 
 
-def is_separator(line: str) -> bool:
-    """A line of dashes, colons and bars; the test is linear for lines of any length."""
-    s = line.strip()
-    return bool(s) and len(s) <= 4000 and not s.strip("|-: \t") and "-" in s and bool(SEPARATOR.match(s))
+class Line(NamedTuple):
+    start: int
+    text: str
+    #: None for a line without a bar.
+    cells: list[str] | None
+    rule: bool
 
 
 def pipe_cells(line: str) -> list[str]:
@@ -44,29 +52,37 @@ def pipe_cells(line: str) -> list[str]:
     return [p.strip().replace("\\|", "|") for p in parts]
 
 
-def _spans(md: str) -> list[tuple[int, str]]:
+def is_separator(line: str) -> bool:
+    """Whether a line is a rule: cells of two dashes or more, with colons at their ends."""
+    return len(line.strip()) <= LONGEST_RULE and all(map(RULE_CELL.fullmatch, pipe_cells(line)))
+
+
+def line_table(md: str) -> list[Line]:
     out, at = [], 0
-    for line in md.split("\n"):
-        out.append((at, line))
-        at += len(line) + 1
+    for text in md.split("\n"):
+        bar = "|" in text
+        out.append(Line(at, text, pipe_cells(text) if bar else None, bar and is_separator(text)))
+        at += len(text) + 1
     return out
 
 
+def _squared(rows: list[list[str]]) -> list[list[str]]:
+    width = max(map(len, rows))
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
 def pipe_tables(md: str) -> list[Table]:
-    lines, out, i = _spans(md), [], 0
-    while i + 1 < len(lines):
-        (start, head), (_, sep) = lines[i], lines[i + 1]
-        if not ("|" in head and "|" in sep and is_separator(sep)) or is_separator(head):
-            i += 1
+    """A table begins at the line above a rule, if that line has a bar and no table holds it yet, and takes all lines with bars below."""
+    lines = line_table(md)
+    plain = [i for i, line in enumerate(lines) if line.cells is None] + [len(lines)]
+    out, free = [], 0
+    for rule in (i for i, line in enumerate(lines) if line.rule):
+        if rule - 1 < free or lines[rule - 1].cells is None:
             continue
-        j = i + 2
-        while j < len(lines) and "|" in lines[j][1]:
-            j += 1
-        rows = [pipe_cells(head), *(pipe_cells(x) for _, x in lines[i + 2 : j])]
-        width = max(map(len, rows))
-        last, text = lines[j - 1]
-        out.append(Table("pipe", start, min(len(md), last + len(text) + 1), [r + [""] * (width - len(r)) for r in rows], 1))
-        i = j
+        free = plain[bisect_left(plain, rule)]
+        rows = [lines[i].cells for i in (rule - 1, *range(rule + 1, free))]
+        end = lines[free].start if free < len(lines) else len(md)
+        out.append(Table("pipe", lines[rule - 1].start, end, _squared(rows), 1))
     return out
 
 
@@ -80,10 +96,18 @@ def find_tables(md: str | None) -> list[Table]:
 
 
 def replace_cell(md: str, table: int, row: int, col: int, text: str) -> str:
-    """The Markdown with one body or header cell of a pipe table replaced; refuses cells that are not there."""
+    """The Markdown with one body or header cell of a table replaced; refuses cells that are not there.
+
+    Of HTML tables only those without merged or nested cells can be written back, as pipe tables.
+    """
     t = find_tables(md)[table]
-    if t.kind != "pipe" or not (0 <= row < len(t.rows) and 0 <= col < len(t.rows[row])):
-        raise ValueError(f"no pipe cell {row}, {col} in table {table}")
+    if not (0 <= row < len(t.rows) and 0 <= col < len(t.rows[row])):
+        raise ValueError(f"no cell {row}, {col} in table {table}")
+    if t.kind == "html":
+        changed = pipes_for_html(md[t.start : t.end])
+        if changed == md[t.start : t.end]:
+            raise ValueError(f"table {table} has merged or nested cells")
+        return md[: t.start] + replace_cell(changed, 0, row, col, text) + md[t.end :]
     lines = md[t.start : t.end].split("\n")
     k = row if row == 0 else row + 1
     cells = pipe_cells(lines[k])
@@ -94,36 +118,45 @@ def replace_cell(md: str, table: int, row: int, col: int, text: str) -> str:
 
 
 def pipes_for_html(md: str) -> str:
-    """HTML tables without line breaks or nested tables in cells as pipe tables; others stay. Applying it twice changes nothing."""
+    """HTML tables as pipe tables where that loses nothing: no merged cells, breaks or nested tables, and an end. Others stay.
+
+    Applying it twice changes nothing.
+    """
     for t in reversed(find_tables(md)):
         source = md[t.start : t.end]
-        if t.kind == "html" and t.rows and t.rows[0] and source.lower().count("<table") == 1 and not re.search(r"<(?:br|ul|ol|p|img)\b", source, re.I):
+        low = source.lower()
+        simple = low.count("<table") == 1 and low.rstrip().endswith("</table>") and not SPANS.search(source) and not re.search(r"<(?:br|ul|ol|p|img)\b", low)
+        if t.kind == "html" and simple and any(c for r in t.rows for c in r):
             before, after = md[: t.start].rstrip("\n"), md[t.end :].lstrip("\n")
             md = "\n\n".join(x for x in (before, to_pipes(t.rows, 1), after) if x)
     return md
 
 
 def join_split_tables(md: str) -> str:
-    """Pipe rows that a blank line cut from a table of the same width are its rows again."""
-    out: list[str] = []
-    width = 0
-    held: list[str] = []
-    for _, line in _spans(md):
-        if width and not line.strip():
-            held.append(line)
-            continue
-        is_row = line.strip().startswith("|")
-        if held:
-            if not (is_row and len(pipe_cells(line)) == width):
-                out += held
-                width = 0
-            held = []
-        if is_row and len(out) and is_separator(line):
-            width = len(pipe_cells(line))
-        elif not is_row:
+    """Rows that blank lines cut from a table are its rows again: they begin with a bar, are no table of their own, and have the
+    header's number of cells or up to two fewer, as readers leave out empty cells at the end."""
+    lines = line_table(md)
+    row = [line.text.lstrip().startswith("|") and line.text.count("|") > 1 for line in lines]
+    runs: list[list[int]] = []
+    for i in (i for i, r in enumerate(row) if r):
+        if runs and runs[-1][1] == i:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1])
+    gone: set[int] = set()
+    width, last = 0, None
+    for a, b in runs:
+        gap = range(last, a) if last is not None else range(0)
+        own = lines[a].rule or a + 1 < len(lines) and lines[a + 1].rule
+        if width and gap and not any(lines[i].text.strip() for i in gap) and not own and max(2, width - 2) <= len(lines[a].cells) <= width:
+            gone.update(gap)
+        elif gap and any(lines[i].text.strip() for i in gap) or own:
             width = 0
-        out.append(line)
-    return "\n".join(out + held)
+        rules = [i for i in range(a, b) if lines[i].rule]
+        if rules:
+            width = len(lines[rules[-1] - 1].cells) if rules[-1] > a else 0
+        last = b
+    return "\n".join(line.text for i, line in enumerate(lines) if i not in gone)
 
 
 def tables_of(pages: DataFrame) -> DataFrame:
@@ -140,86 +173,116 @@ def tables_of(pages: DataFrame) -> DataFrame:
 
 # ── tables that go on over pages ─────────────────────────────────────────────────────────
 
-NUMBERISH = re.compile(r"^[-+($€£₹]*\d[\d,. ]*\)?%?$")
-DATEISH = re.compile(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$")
+# What figures, amounts, dates, years and titles of statement columns look like.
+FIGURE = re.compile(r"[-+($€£₹]*\d[\d,. ]*\)?%?(?: ?[CD]r\.?)?", re.I)
+AMOUNT = re.compile(r"\d\.\d|\d,\d{2,3}")
+DATE = re.compile(r"\d{1,2}[-/. ]\d{1,2}[-/. ]\d{2,4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[- /]?[A-Za-z]{3,9}[- /,]*\d{2,4}")
+YEAR = re.compile(r"(?:19|20)\d\d")
+TITLE = re.compile(r"\bbal(?:ance)?\b|\bdebits?\b|withdraw|\bpayments?\b|\bcredits?\b|deposit|\breceipts?\b|\bamount\b", re.I)
+#: Share of the titles that a repeated header repeats.
+REPEATED = 0.6
 
 
-def _data_like(row: list[str]) -> bool:
-    """A row of figures or dates rather than titles; bare years are titles."""
+def data_like(row: list[str]) -> bool:
+    """A row of amounts or dates rather than titles; years and column numbers are titles."""
     cells = [c.strip() for c in row if c.strip()]
-    figures = [c for c in cells if NUMBERISH.match(c) and not re.fullmatch(r"(?:19|20)\d\d|\d", c)]
-    return bool(figures) or any(DATEISH.match(c) for c in cells)
+    if any(map(TITLE.search, cells)):
+        return False
+    dates = [c for c in cells if DATE.fullmatch(c)]
+    figures = [c for c in cells if FIGURE.fullmatch(c)]
+    return bool(dates) or any(AMOUNT.search(c) for c in figures if not YEAR.fullmatch(c))
+
+
+def titles_agree(a: list[str], b: list[str]) -> bool:
+    """Whether most titles of two headers are the same, whatever their case and signs."""
+    bare = lambda c: re.sub(r"\W+", "", c.lower())
+    pairs = Counter(bare(x) == bare(y) for x, y in zip(a, b) if bare(x) or bare(y))
+    return pairs[True] > 0 and pairs[True] >= REPEATED * pairs.total()
 
 
-def _same_titles(a: list[str], b: list[str], share: float = 0.6) -> bool:
-    pairs = [(x.strip().lower(), y.strip().lower()) for x, y in zip(a, b) if x.strip() or y.strip()]
-    return bool(pairs) and sum(x == y for x, y in pairs) >= share * len(pairs)
+class Edges(NamedTuple):
+    """The table that a page begins with (n_header 0 for rows without a header) and the one that it ends with."""
 
+    first: Table | None
+    last: Table | None
 
-def _edge_tables(md: str) -> tuple[Table | None, Table | None]:
-    """The table a page begins with, header or not, and the one it ends with."""
+
+def page_edges(md: str) -> Edges:
     found = find_tables(md)
-    first = found[0] if found and not md[: found[0].start].strip() else None
-    if first is None:
-        body = md.lstrip("\n")
-        rows = []
-        for line in body.split("\n"):
-            if not line.strip().startswith("|"):
-                break
-            rows.append(line)
-        if rows and not any(map(is_separator, rows)):
-            cells = [pipe_cells(x) for x in rows]
-            width = max(map(len, cells))
-            start = len(md) - len(body)
-            first = Table("pipe", start, min(len(md), start + sum(len(x) + 1 for x in rows)), [c + [""] * (width - len(c)) for c in cells], 0)
     last = found[-1] if found and not md[found[-1].end :].strip() else None
-    return first, last
+    if found and not md[: found[0].start].strip():
+        return Edges(found[0], last)
+    lines = line_table(md)
+    a = next((i for i, line in enumerate(lines) if line.text), len(lines))
+    b = next((i for i in range(a, len(lines)) if not lines[i].text.strip()), len(lines))
+    top = lines[a:b]
+    if not top or not all(line.text.lstrip().startswith("|") and not line.rule for line in top):
+        return Edges(None, last)
+    end = lines[b].start if b < len(lines) else len(md)
+    bare = Table("pipe", lines[a].start, end, _squared([line.cells for line in top]), 0)
+    return Edges(bare, bare if last is None and not md[end:].strip() else last)
+
+
+def continuation(above: Table, below: Table) -> str | None:
+    """'repeated' or 'added' where the table below goes on with the one above on the page before, else None.
+
+    Both have the same two or more columns, the one above has a header that is none of data and a row of data; the one below
+    repeats that header or begins with data.
+    """
+    width = len(above.rows[0])
+    if width < 2 or width != len(below.rows[0]) or len(above.rows) < 2 or data_like(above.rows[0]):
+        return None
+    if below.n_header and titles_agree(above.rows[0], below.rows[0]):
+        return "repeated" if len(below.rows) > below.n_header else None
+    return "added" if data_like(below.rows[0]) else None
 
 
 def continue_tables(pages: dict[int, str]) -> tuple[dict[int, str], list[tuple[int, int, str, int]]]:
-    """The pages, continuations given the header they lack, and (first page, last page, 'repeated' or 'added', rows) of each joined table."""
+    """The pages, continuations given the header they lack, and (first page, last page, 'repeated' or 'added', rows) of each joined table.
+
+    A table over several pages is one entry, named by how its first continuation came.
+    """
     out, joined = dict(pages), []
-    head: list[str] | None = None
-    open_at, total = 0, 0
-    for a in sorted(pages):
-        first, _ = _edge_tables(out[a])
-        if head is not None and a - 1 in pages and first is not None and len(first.rows[0]) == len(head):
-            kind = ""
-            if first.n_header and _same_titles(first.rows[0], head):
-                kind = "repeated"
-            elif not first.n_header or _data_like(first.rows[0]):
-                kind = "added"
-                body = first.rows if first.n_header == 0 else first.rows
-                out[a] = out[a][: first.start] + to_pipes([head, *body], 1) + "\n" + out[a][first.end :]
-            if kind:
-                rows = len(first.rows) - (1 if kind == "repeated" else 0)
-                total += rows
-                if joined and joined[-1][1] == a - 1 and joined[-1][0] == open_at:
-                    joined[-1] = (open_at, a, joined[-1][2], total)
-                else:
-                    joined.append((open_at, a, kind, total))
-        _, last = _edge_tables(out[a])
-        if last is None or not last.n_header or a + 1 not in pages:
-            head = None
-        elif not (joined and joined[-1][1] == a and _same_titles(last.rows[0], head or [])):
-            head, open_at, total = last.rows[0], a, len(last.rows) - 1
+    for page in sorted(pages):
+        if page - 1 not in pages:
+            continue
+        above, below = page_edges(out[page - 1]).last, page_edges(out[page]).first
+        how = continuation(above, below) if above and below and above.n_header else None
+        if how is None:
+            continue
+        rows = len(below.rows) - (below.n_header if how == "repeated" else 0)
+        if how == "added":
+            md = out[page]
+            out[page] = md[: below.start] + to_pipes([above.rows[0], *below.rows], 1) + ("\n" if md[: below.end].endswith("\n") else "") + md[below.end :]
+        whole_page = not out[page - 1][: above.start].strip()
+        if joined and joined[-1][1] == page - 1 and whole_page:
+            first, _, kind, n = joined.pop()
+            joined.append((first, page, kind, n + rows))
+        else:
+            joined.append((page - 1, page, how, len(above.rows) - above.n_header + rows))
     return out, joined
 
 
 def reconcile(pages: DataFrame) -> DataFrame:
     """(doc, first_page, last_page, header, n_rows) of the tables that go on over pages.
 
-    A page's new header feeds the next page, so a document's runs of pages are worked in order; only pages that begin or end with a
-    bar, and their neighbours, leave the scan.
+    A page's new header feeds the next page, so pages are worked in order, but only inside a run of pages of which each ends with a
+    row or a table and the next begins with one; such runs, not documents, are the groups, and other pages never leave the scan.
     """
-    edge = F.col("md").rlike(r"^\s*\||\|\s*$")
-    rows = pages.filter(F.col("md").isNotNull() & edge).dropDuplicates(["doc", "page"]).select("doc", "page", "md")
+    starts = F.col("md").rlike(r"(?i)\A\s*(?:\||<table)")
+    ends = F.col("md").rlike(r"(?i)(?:\||</table>)\s*\z")
+    rows = pages.filter(F.col("md").isNotNull() & (starts | ends)).dropDuplicates(["doc", "page"]).select("doc", "page", "md", starts.alias("starts"), ends.alias("ends"))
+    w = Window.partitionBy("doc").orderBy("page")
+    edges = rows.select("doc", "page", "starts", "ends")
+    linked = (F.lag("page").over(w) == F.col("page") - 1) & F.lag("ends").over(w) & F.col("starts")
+    runs = edges.withColumn("run", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(w)).select("doc", "page", "run")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, joined = continue_tables(dict(zip(pdf["page"], pdf["md"])))
         return pd.DataFrame([(pdf["doc"].iloc[0], *j) for j in joined], columns=["doc", "first_page", "last_page", "header", "n_rows"])
 
-    return rows.groupBy("doc").applyInPandas(run, "doc string, first_page int, last_page int, header string, n_rows int")
+    grouped = rows.select("doc", "page", "md").join(runs, ["doc", "page"]).groupBy("doc", "run")
+    return grouped.applyInPandas(run, "doc string, first_page int, last_page int, header string, n_rows int")
 
 
 # ── reading scores of tables ─────────────────────────────────────────────────────────────

@@ -60,7 +60,7 @@ class Tables(HTMLParser):
 
 
 def grid(cells: list[list[list]]) -> tuple[list[list[str]], int]:
-    """Rectangular rows, spans filled with their text, and the number of leading header rows."""
+    """Rectangular rows, and the number of leading header rows; a merged cell's text stands at its first place, its others are empty."""
     rows: list[dict[int, str]] = [{} for _ in cells]
     heads = 0
     for r, row in enumerate(cells):
@@ -70,7 +70,7 @@ def grid(cells: list[list[list]]) -> tuple[list[list[str]], int]:
                 c += 1
             for i in range(r, min(len(rows), r + down)):
                 for j in range(c, c + across):
-                    rows[i].setdefault(j, " ".join(text.split()))
+                    rows[i].setdefault(j, " ".join(text.split()) if (i, j) == (r, c) else "")
             c += across
         if heads == r and row and all(cell[3] for cell in row):
             heads += 1

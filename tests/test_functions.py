@@ -39,9 +39,16 @@ def test_dates_and_tokens(spark):
 def test_chunks():
     text = "# A\n\none two three.\n\n" + "word " * 300 + "\n\n| h | i |\n|---|---|\n" + "\n".join(f"| {i} | {i} |" for i in range(60))
     got = chunker.chunks(text, 64, 16)
-    assert all(chunker.est(c) <= 64 * 1.6 for c in got)
-    assert sum("| h | i |" in c for c in got) > 1
+    assert all(chunker.est(c) <= 64 for _, c in got) and all(c.split()[0] == text[at:].split()[0] or c.startswith("| h") for at, c in got)
+    assert sum("| h | i |" in c for _, c in got) > 1
     assert chunker.chunks("", 64, 16) == []
+    plain = "\n".join(f"| {i} | {'cell ' * 9} |" for i in range(20))
+    assert sum("| 0 |" in c for _, c in chunker.chunks(plain, 64, 0)) == 1  # no rule, no header to repeat
+    web = "<table><thead><tr><th>H</th></tr></thead>" + "".join(f"<tr><td>{i} {'x ' * 20}</td></tr>" for i in range(9)) + f"<tr><td>{'long ' * 90}</td></tr></table>"
+    got = [c for _, c in chunker.chunks(web, 64, 0)]
+    assert all("<th>H</th>" in c for c in got if "<td>" in c) and any("<" not in c and "long" in c for c in got)
+    assert [(b, t) for b, t in chunker.blocks("a\n\n```\nx\n\ny\n```\n \n\nb")] == [(0, "a"), (3, "```\nx\n\ny\n```"), (19, "b")]
+    assert list(chunker.packs([4, 4, 4, 4], 8, 4)) == [(0, 2), (1, 3), (2, 4)] and list(chunker.packs([9, 1], 8)) == [(0, 1), (1, 2)]
     nodes = chunker.markdown_nodes("intro\n\n<!-- page 2 -->\n\n# B\n\ntext\n\n<!-- page 3 -->\n\nmore", 64, 0)
     assert [(p, h) for p, h, _ in nodes] == [("1", ""), ("2", "B"), ("3", "B")]
 
@@ -49,7 +56,7 @@ def test_chunks():
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab .\n#|`", max_size=300), st.integers(2, 40), st.integers(0, 20))
 def test_chunks_hold_every_word(text, size, overlap):
-    got = " ".join(chunker.chunks(text, size, overlap)).split()
+    got = " ".join(c for _, c in chunker.chunks(text, size, overlap)).split()
     assert set(text.split()) <= set(got) | {"```"} or "|" in text
 
 

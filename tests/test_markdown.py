@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from folio.operators import layers as L
 from folio.operators import markdown_tables as T
 
@@ -23,11 +25,18 @@ def test_html_to_pipes_twice():
     assert "<table" not in once and T.pipes_for_html(once) == once
     kept = "<table><tr><td>a<br>b</td></tr></table>"
     assert T.pipes_for_html(kept) == kept
+    merged = "<table><tr><td colspan=2>a</td></tr><tr><td>1</td><td>2</td></tr></table>"
+    assert T.pipes_for_html(merged) == merged and T.pipes_for_html("<table><tr><td>a</td></tr>") == "<table><tr><td>a</td></tr>"
 
 
 def test_joined_rows():
     cut = "| a | b |\n|---|---|\n| 1 | 2 |\n\n| 3 | 4 |\n\ntext"
     assert T.join_split_tables(cut) == cut.replace("2 |\n\n|", "2 |\n|") and T.join_split_tables(T.join_split_tables(cut)) == T.join_split_tables(cut)
+    short = "| a | b | c |\n|---|---|---|\n\n| 1 | 2 |\n\n\n| 3 | 4 | 5 |\n| 6 | 7 | 8 |"
+    assert T.join_split_tables(short) == short.replace("|\n\n|", "|\n|").replace("|\n\n\n|", "|\n|")
+    two = "| a | b |\n|---|---|\n| 1 | 2 |\n\n| c | d |\n|---|---|\n| 3 | 4 |"
+    assert T.join_split_tables(two) == two and T.join_split_tables("") == ""
+    assert T.is_separator("|:--|--:|") and not T.is_separator("|-|-|") and not T.is_separator("| a |--|")
 
 
 def test_continuations():
@@ -36,6 +45,19 @@ def test_continuations():
     out, joined = T.continue_tables(pages)
     assert joined == [(1, 3, "added", 4)] and out[2].startswith("| Item | Amount |")
     assert T.continue_tables({}) == ({}, [])
+    years = {1: "| Item | Note |\n|---|---|\n| a | x |\n", 2: "| b | y |\n"}  # the second page holds no data that would tell
+    assert T.continue_tables(years) == (years, [])
+    data_head = {1: "| a | 1.50 |\n|---|---|\n| b | 2.50 |\n", 2: "| c | 3.50 |\n"}
+    assert T.continue_tables(data_head)[1] == []
+    assert T.data_like(["x", "01/02/2023"]) and not T.data_like(["Item", "2022", "2023"]) and not T.data_like(["Balance", "1.00"]) and not T.data_like(["1", "2"])
+
+
+def test_reconcile_runs_of_pages(spark):
+    head = "| Item | Amount |\n|---|---|\n"
+    rows = [("d", 1, "t\n" + head + "| a | 1.50 |"), ("d", 2, "| b | 2.50 |"), ("d", 3, "| c | 3.50 |\n"), ("d", 4, "text"), ("e", 1, head + "| a | 1.50 |"), ("e", 3, "| b | 2.50 |"), ("d", 2, "| b | 2.50 |"), ("f", 1, None)]
+    pages = spark.createDataFrame(rows, "doc string, page int, md string")
+    assert [tuple(r) for r in T.reconcile(pages).collect()] == [("d", 1, 3, "added", 3)]
+    assert T.reconcile(pages.limit(0)).count() == 0
 
 
 def test_cells():
@@ -47,9 +69,13 @@ def test_cells():
 
 def test_layers():
     assert L.missing_lines("one two\nthree four\none two", "one two three") == ["three four", "one two"]
-    assert L.tokens("ﬁnd pay-\nment 1,234") == {"find": 1, "payment": 1, "#1234": 1}
+    assert L.tokens("ﬁnd pay-\nment 1,234") == ["find", "payment", "#1234"] and L.tokens(None) == []
     assert L.filled("md", []) == "md" and L.filled("md", ["x" * 30_000]) == "md" and L.MARK in L.filled("md", ["a"])
-    assert L.looping("the same words again and over again. " * 200) and not L.looping("short")
+
+
+def test_looping(spark):
+    rows = spark.createDataFrame([("the same words again and over again. " * 200,), ("short",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(L.looping(F.col("t"))).collect()] == [True, False, False, False]
 
 
 @settings(max_examples=60, deadline=None)

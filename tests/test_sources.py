@@ -28,7 +28,7 @@ def test_decode_csv():
 
 def test_html():
     rows, heads = grid([[["A", 1, 2, True]], [["x", 2, 1, False], ["y", 1, 1, False]], [["z", 1, 1, False]]])
-    assert rows == [["A", "A"], ["x", "y"], ["x", "z"]] and heads == 1
+    assert rows == [["A", ""], ["x", "y"], ["", "z"]] and heads == 1
     nested = "a<table><tr><td>1<table><tr><td>i</td><td>j</td><td>k</td></tr></table></td></tr></table>b"
     assert len(html_tables(nested)) == 1 and html_tables(nested)[0][2] == [["i", "j", "k"]]
     assert html_to_markdown("<ul><li>a</li><li>b</li></ul><ol><li>c</li></ol><script>x</script>") == "- a\n- b\n\n1. c"
