@@ -25,14 +25,19 @@ def letters(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0)).cast("long")
 
 
-def dominant_script(text: Column) -> Column:
-    """'' under ten letters; the script that most letters beside Latin have where it has a quarter of all; Latin from 60 %; else Mixed."""
-    total = letters(text)
-    counts = {name: F.coalesce(F.regexp_count(text, F.lit(f"(?=\\p{{L}}){p}")), F.lit(0)).cast("long") for name, p in SCRIPTS.items()}
-    latin = F.coalesce(F.regexp_count(text, F.lit(r"(?=\p{L})[\x{0000}-\x{024F}]")), F.lit(0))
-    most = F.greatest(*counts.values())
-    name = F.coalesce(*(F.when(c == most, n) for n, c in counts.items()))
-    return F.when(total < 10, "").when(most * 4 >= total, name).when(latin * 10 >= total * 6, "Latin").otherwise("Mixed")
+def script_counts(text: Column) -> Column:
+    """How many letters there are, of Latin, and of each of SCRIPTS: a struct to be bound as a column before dominant_script() reads it."""
+    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
+    return F.struct(letters(text).alias("letters"), count(r"(?=\p{L})[\x{0000}-\x{024F}]").alias("Latin"), *(count(f"(?=\\p{{L}}){p}").alias(name) for name, p in SCRIPTS.items()))
+
+
+def dominant_script(counts: Column) -> Column:
+    """Of script_counts(): '' under ten letters; the script that most letters beside Latin have where it has a quarter of all; Latin from
+    60 %; else Mixed."""
+    total = counts["letters"]
+    most = F.greatest(*(counts[name] for name in SCRIPTS))
+    name = F.coalesce(*(F.when(counts[n] == most, n) for n in SCRIPTS))
+    return F.when(total < 10, "").when(most * 4 >= total, name).when(counts["Latin"] * 10 >= total * 6, "Latin").otherwise("Mixed")
 
 
 def implausible_share(text: Column, long_word: int = 4) -> Column:

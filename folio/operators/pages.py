@@ -7,7 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.functions.text import dominant_script, implausible_share, letters
+from folio.functions.text import dominant_script, implausible_share, script_counts
 
 
 def line_repeats(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def real_chars(md: Column) -> Column:
 def route(pages: DataFrame) -> DataFrame:
     """(doc, page, script, chars, branch, why): the first rule that holds decides."""
     rows = pages.select("doc", "page", "md", F.regexp_replace("md", r"[^\p{L}\p{N}\p{M}]", "").alias("t"))
-    rows = rows.select("doc", "page", dominant_script(F.col("t")).alias("script"), F.length("t").cast("long").alias("chars"), F.col("md").contains("![").alias("pictures"))
+    rows = rows.withColumn("counts", script_counts(F.col("t"))).select("doc", "page", dominant_script(F.col("counts")).alias("script"), F.length("t").cast("long").alias("chars"), F.col("md").contains("![").alias("pictures"))
     few = F.col("chars") < 40
     branch = F.when(F.col("chars") == 0, "raster").when(few & F.col("pictures"), "raster").when(F.col("script") == "Mixed", "raster").otherwise("digital")
     why = F.when(F.col("chars") == 0, "no text").when(few & F.col("pictures"), "hardly any text beside pictures").when(few, "short page").when(F.col("script") == "Mixed", "no script prevails").otherwise("good text layer")
@@ -88,8 +88,8 @@ def gate(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc, page, failed, verdict, outcome) of the named checks of each page."""
     widths = F.transform(F.filter("rows", lambda r: r.isNotNull()), lambda r: F.size(r))
     shape = tables.groupBy("doc", "page").agg(F.bool_or(F.coalesce(F.array_max(widths) != F.array_min(widths), F.lit(False))).alias("ragged"))
-    rows = pages.join(shape, ["doc", "page"], "left")
-    checks = (("coverage", letters(F.col("md")) < 10), ("script", dominant_script(F.col("md")) == "Mixed"), ("plausibility", F.coalesce(implausible_share(F.col("md")), F.lit(0.0)) > 0.25), ("table_shape", F.coalesce("ragged", F.lit(False))))
+    rows = pages.join(shape, ["doc", "page"], "left").withColumn("counts", script_counts(F.col("md")))
+    checks = (("coverage", F.col("counts.letters") < 10), ("script", dominant_script(F.col("counts")) == "Mixed"), ("plausibility", F.coalesce(implausible_share(F.col("md")), F.lit(0.0)) > 0.25), ("table_shape", F.coalesce("ragged", F.lit(False))))
     failed = F.filter(F.array(*(F.when(bad, name) for name, bad in checks)), lambda x: x.isNotNull())
     rows = rows.select("doc", "page", failed.alias("f"))
     grave = F.filter("f", lambda x: ~x.isin(*NOTES))

@@ -6,9 +6,12 @@ no tokens and are no records.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions.text import tokens
+from folio.session import materialize, spread
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Buckets of the hashed bag of words.
@@ -20,6 +23,16 @@ def tokenized(records: DataFrame) -> DataFrame:
     return records.filter(F.col("text").isNotNull()).select("collection", "id", tokens(F.col("text")).alias("toks"))
 
 
+def bucket(token: Column) -> Column:
+    return F.conv(F.right(F.md5(token), F.lit(2)), 16, 10).cast("int") % BUCKETS
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """(collection, id, toks, buckets) of (collection, id, text), tokenised once and kept: every stage of a search reads it."""
+    toked = tokenized(spread(records))
+    return materialize(toked.select("collection", "id", "toks", F.transform("toks", bucket).alias("buckets")), "tokens")
+
+
 def postings(toked: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(collection, term, id, tf, dl), dl the record's length; with terms, only of those, filtered before anything is shuffled."""
     rows = toked.select("collection", "id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
@@ -55,24 +68,66 @@ def ranked(scores: DataFrame, pool: int, by: tuple[str, ...] = ("qid", "collecti
     return scores.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= pool)
 
 
-def embed(toks: Column) -> Column:
-    """The hashed bag of words: counts in md5 buckets at unit length; zeros for no tokens."""
-    bucket = F.transform(toks, lambda t: (F.conv(F.right(F.md5(t), F.lit(2)), 16, 10).cast("int") % BUCKETS))
-    counts = F.aggregate(bucket, F.array_repeat(F.lit(0.0), BUCKETS), lambda acc, b: F.transform(acc, lambda x, i: x + F.when(i == b, 1.0).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
-
 def bucket_rows(toked: DataFrame) -> DataFrame:
     """(collection, id, bucket, weight): the hashed bag of words, sparse, from aggregations alone."""
     rows = toked.select("collection", "id", F.explode("toks").alias("t"))
-    counts = rows.groupBy("collection", "id", (F.conv(F.right(F.md5("t"), F.lit(2)), 16, 10).cast("int") % BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("collection", "id", bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("collection", "id")))
     return counts.select("collection", "id", "bucket", (F.col("n") / norm).alias("weight"))
 
 
-def dense(toked: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, collection, id, score): cosines of hashed bags of words, joined on the buckets that both have."""
+#: Questions that go to every task as a matrix at most; more of them are joined.
+QUESTIONS = 4_096
+
+
+def dense(toked: DataFrame, queries: DataFrame, pool: int | None = None) -> DataFrame:
+    """(qid, collection, id, score): cosines of hashed bags of words, where they are above 0.
+
+    toked comes from prepared(). Questions become a matrix, of at most QUESTIONS rows of BUCKETS numbers, and each batch of records
+    one product with it; with a pool, only the best of each batch, question and collection leave the task. More questions than
+    that, and records without buckets, meet in a join on the buckets that both have.
+    """
+    asked = queries.select("qid", tokens(F.col("query")).alias("toks"))
+    rows = asked.select("qid", F.transform("toks", bucket).alias("b")).limit(QUESTIONS + 1).collect()
+    if len(rows) > QUESTIONS or "buckets" not in toked.columns:
+        return _dense_joined(toked, queries)
+    rows = [r for r in rows if r.b]
+    qids = np.array([r.qid for r in rows], np.int64)
+    q = _unit_counts(np.repeat(np.arange(len(rows)), [len(r.b) for r in rows]), np.array([b for r in rows for b in r.b], np.int64), len(rows)).T
+    kind = toked.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch) or not len(rows):
+                continue
+            lists = batch.column(2)
+            w = _unit_counts(np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), len(batch))
+            names, ids = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist())
+            which, asked_by, scores = [], [], []
+            for name in dict.fromkeys(names):
+                mine = np.flatnonzero(names == name)
+                s = w[mine] @ q
+                for k in range(len(rows)):
+                    at = np.flatnonzero(s[:, k] > 0)
+                    if pool is not None and len(at) > pool:
+                        at = at[np.lexsort((ids[mine[at]], -np.round(s[at, k], 9)))[:pool]]
+                    which.append(mine[at])
+                    asked_by.append(np.full(len(at), k))
+                    scores.append(s[at, k])
+            at = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[np.concatenate(asked_by)]), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(scores))], ["qid", "collection", "id", "score"])
+
+    found = toked.select("collection", "id", "buckets").mapInArrow(run, f"qid long, collection string, id {kind}, score double")
+    return found.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType))
+
+
+def _unit_counts(row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(n, BUCKETS): how often each row has each bucket, at unit length; rows without any stay zero."""
+    counts = np.bincount(row * BUCKETS + at, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(float)
+    return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _dense_joined(toked: DataFrame, queries: DataFrame) -> DataFrame:
     q = bucket_rows(queries.select(F.lit("").alias("collection"), F.col("qid").alias("id"), tokens(F.col("query")).alias("toks"))).select(F.col("id").alias("qid"), "bucket", F.col("weight").alias("qw"))
     return bucket_rows(toked).join(q, "bucket").groupBy("qid", "collection", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
 
@@ -106,9 +161,9 @@ def search(records: DataFrame, queries: DataFrame, top_k: int = 5, stages: tuple
     top_k = max(1, min(25, top_k))
     pool = pool or max(4 * top_k, 20)
     rerank_pool = rerank_pool or min(max(3 * top_k, 15), 60)
-    toked = tokenized(records)
+    toked = prepared(records)
     keyword = ranked(bm25(toked, queries).filter("score > 0"), pool) if "bm25" in stages else None
-    vector = ranked(dense(toked, queries), pool) if "dense" in stages else None
+    vector = ranked(dense(toked, queries, pool), pool) if "dense" in stages else None
     if keyword is not None and vector is not None:
         cand = fused(keyword, vector, k).withColumn("key", F.col("rrf"))
     elif keyword is not None or vector is not None:

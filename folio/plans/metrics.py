@@ -17,7 +17,7 @@ _REL = "rel AS (SELECT DISTINCT qid, doc_id AS key FROM q, documents WHERE text
 
 
 def hits_of(docs):
-    return R.ranked(R.bm25(R.tokenized(corpus(docs)), questions(docs)), 1 << 30, ("qid",)).select("qid", F.col("id").alias("key"), "rank")
+    return R.ranked(R.bm25(R.prepared(corpus(docs)), questions(docs)), 1 << 30, ("qid",)).select("qid", F.col("id").alias("key"), "rank")
 
 
 def labels(docs):
@@ -47,7 +47,7 @@ def retrieval_metrics(docs):
 @REG.query("documents", sql=f"""WITH {BM25} {DENSE}, {_HITS}, {_VHITS}, a AS (SELECT qid, arg_min(key, rank) AS t, list(DISTINCT key) AS l FROM h WHERE rank <= 10 GROUP BY 1), c AS (SELECT qid, arg_min(key, rank) AS t, list(DISTINCT key) AS l FROM vh WHERE rank <= 10 GROUP BY 1)
 SELECT qid, coalesce(a.t = c.t, false) AS same_top, round(coalesce(len(list_intersect(a.l, c.l)), 0) / 10, 6) AS overlap FROM a FULL JOIN c USING (qid)""")
 def run_agreement(docs):
-    dense = R.ranked(R.dense(R.tokenized(corpus(docs)), questions(docs)), 1 << 30, ("qid",)).select("qid", F.col("id").alias("key"), "rank")
+    dense = R.ranked(R.dense(R.prepared(corpus(docs)), questions(docs)), 1 << 30, ("qid",)).select("qid", F.col("id").alias("key"), "rank")
     return M.run_agreement(hits_of(docs), dense, 10)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.functions.text import dominant_script, implausible_share, letters, plain, words
+from folio.functions.text import dominant_script, implausible_share, plain, script_counts, words
 from folio.operators import pages as P
 from folio.plans.registry import Registry
-from folio.session import est_tokens
+from folio.session import est_tokens, spread
 
 REG = Registry()
 _PAGE = "SELECT DISTINCT doc, page, md FROM page WHERE md IS NOT NULL"
@@ -31,7 +31,8 @@ script AS (SELECT *, CASE WHEN total < 10 THEN '' WHEN greatest(a, b, c, d, e) *
 
 @REG.query("documents", sql=f"WITH src AS (SELECT doc_id, text AS t FROM ({_DOCS})), {_SCRIPT} SELECT doc_id, total::BIGINT AS letters, script FROM script")
 def script_dominant(docs):
-    return docs.filter("text IS NOT NULL").select("doc_id", letters(F.col("text")).alias("letters"), dominant_script(F.col("text")).alias("script"))
+    counted = spread(docs.filter("text IS NOT NULL").select("doc_id", "text")).select("doc_id", script_counts(F.col("text")).alias("counts"))
+    return counted.select("doc_id", F.col("counts.letters").alias("letters"), dominant_script(F.col("counts")).alias("script"))
 
 
 _EST = r"CASE WHEN w > 0 THEN greatest(floor(w * 1.3::DOUBLE)::BIGINT + 1, length(text) // 4) ELSE 0 END"
@@ -39,13 +40,13 @@ _EST = r"CASE WHEN w > 0 THEN greatest(floor(w * 1.3::DOUBLE)::BIGINT + 1, lengt
 
 @REG.query("documents", sql=rf"WITH s AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS w FROM ({_DOCS})) SELECT doc_id, {_EST}::BIGINT AS tokens FROM s")
 def estimated_tokens(docs):
-    return docs.filter("text IS NOT NULL").select("doc_id", est_tokens(F.col("text")).alias("tokens"))
+    return spread(docs.filter("text IS NOT NULL").select("doc_id", "text")).select("doc_id", est_tokens(F.col("text")).alias("tokens"))
 
 
 @REG.query("documents", sql=rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9\x{{00C0}}-\x{{024F}}]*[a-z\x{{00C0}}-\x{{024F}}][a-z0-9\x{{00C0}}-\x{{024F}}]*'), lambda x: length(x) >= 4) AS ws FROM ({_DOCS}))
 SELECT doc_id, round(len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]') OR NOT regexp_matches(x, '[aeiouy\x{{00C0}}-\x{{024F}}]') OR regexp_matches(x, '[bcdfghjklmnpqrstvwxz]{{5}}'))) / nullif(len(ws), 0), 6) AS share FROM w""")
 def plausibility(docs):
-    return docs.filter("text IS NOT NULL").select("doc_id", F.round(implausible_share(F.col("text")), 6).alias("share"))
+    return spread(docs.filter("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.round(implausible_share(F.col("text")), 6).alias("share"))
 
 
 @REG.query("page", sql=rf"""WITH p AS ({_PAGE}),
@@ -60,7 +61,7 @@ n AS (SELECT doc_id, trim(regexp_replace(line, '[\s|:\-]+', ' ', 'g')) AS line F
 k AS (SELECT doc_id, line, count(*) AS times FROM s GROUP BY 1, 2)
 SELECT doc_id, sum(times)::BIGINT AS lines, max(times)::BIGINT AS repeats, max(times) >= 8 AND max(times) >= 0.25::DOUBLE * sum(times) AS runaway FROM k GROUP BY 1""")
 def line_repeats(docs):
-    return P.line_repeats(docs.filter("text IS NOT NULL"), "doc_id")
+    return P.line_repeats(spread(docs.filter("text IS NOT NULL").select("doc_id", "text")), "doc_id")
 
 
 @REG.query("documents", sql=rf"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS ws FROM ({_DOCS})),
@@ -68,12 +69,12 @@ g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 2), lambda i: arra
 k AS (SELECT doc_id, gram, count(*) AS times FROM g GROUP BY 1, 2)
 SELECT doc_id, sum(times)::BIGINT AS grams, max(times)::BIGINT AS repeats, max(times) >= 25 AND max(times) >= 0.1::DOUBLE * sum(times) AS runaway FROM k GROUP BY 1""")
 def four_grams(docs):
-    return P.phrase_repeats(docs.filter("text IS NOT NULL"), "doc_id", words)
+    return P.phrase_repeats(spread(docs.filter("text IS NOT NULL").select("doc_id", "text")), "doc_id", words)
 
 
 @REG.query("documents")
 def degenerate(docs):
-    return P.compression(docs.filter("text IS NOT NULL"), "doc_id")
+    return P.compression(spread(docs.filter("text IS NOT NULL").select("doc_id", "text")), "doc_id")
 
 
 @REG.query("page", sql=rf"""WITH p AS ({_PAGE}), l AS (SELECT doc, page, unnest(string_split(md, chr(10))) AS line FROM p),

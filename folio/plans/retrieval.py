@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from folio.functions.text import tokens
 from folio.operators import retrieval as R
 from folio.plans.registry import Registry
+from folio.session import spread
 
 REG = Registry()
 QUESTIONS = [(1, "boiler manual annual budget"), (2, "travel policy 2017"), (3, "die Rechnung vom Vormonat"), (4, "fire doors safety review"), (5, "le bilan annuel du service"), (6, "hydraulic pumps"), (7, "quarterly statement credit note opening balance"), (8, "contrato de alquiler")]
@@ -59,51 +60,51 @@ o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank, 9) DE
 
 @REG.query("documents", sql="WITH " + BASE.rstrip().rstrip(",") + " SELECT collection, term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY 1, 2")
 def term_stats(docs):
-    return R.postings(R.tokenized(corpus(docs))).groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.postings(R.tokenized(spread(corpus(docs)))).groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @REG.query("documents", sql="WITH " + BASE.rstrip().rstrip(",") + " SELECT collection, id, dl FROM dl")
 def doc_lengths(docs):
-    return R.lengths(R.tokenized(corpus(docs)))
+    return R.lengths(R.tokenized(spread(corpus(docs))))
 
 
 @REG.query("documents", sql="WITH " + BASE.rstrip().rstrip(",") + " SELECT collection, n, round(avgdl, 6) AS avgdl FROM st")
 def collection_stats(docs):
-    return R.lengths(R.tokenized(corpus(docs))).groupBy("collection").agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return R.lengths(R.tokenized(spread(corpus(docs)))).groupBy("collection").agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 @REG.query("documents", sql="WITH " + BM25 + " SELECT qid, collection, id, round(score, 6) AS score FROM b")
 def bm25_scores(docs):
-    return R.bm25(R.tokenized(corpus(docs)), questions(docs)).withColumn("score", F.round("score", 6))
+    return R.bm25(R.prepared(corpus(docs)), questions(docs)).withColumn("score", F.round("score", 6))
 
 
 @REG.query("documents", sql="WITH " + BM25 + " SELECT qid, collection, id, rank, round(score, 6) AS score FROM br WHERE rank <= 20")
 def bm25_topk(docs):
-    return R.ranked(R.bm25(R.tokenized(corpus(docs)), questions(docs)), 20).withColumn("score", F.round("score", 6))
+    return R.ranked(R.bm25(R.prepared(corpus(docs)), questions(docs)), 20).withColumn("score", F.round("score", 6))
 
 
 @REG.query("documents", sql="WITH " + BM25 + DENSE + " SELECT collection, id, bucket, round(w, 6) AS weight FROM bw")
 def hashed_embedding(docs):
-    return R.bucket_rows(R.tokenized(corpus(docs))).withColumn("weight", F.round("weight", 6))
+    return R.bucket_rows(R.tokenized(spread(corpus(docs)))).withColumn("weight", F.round("weight", 6))
 
 
 @REG.query("documents", sql="WITH " + BM25 + DENSE + " SELECT qid, collection, id, rank, round(score, 6) AS score FROM vr WHERE rank <= 20")
 def dense_topk(docs):
-    return R.ranked(R.dense(R.tokenized(corpus(docs)), questions(docs)), 20).withColumn("score", F.round("score", 6))
+    return R.ranked(R.dense(R.prepared(corpus(docs)), questions(docs), 20), 20).withColumn("score", F.round("score", 6))
 
 
 @REG.query("documents", sql="WITH " + BM25 + DENSE + FUSE + " SELECT qid, collection, id, bm25_rank, dense_rank, round(rrf, 6) AS rrf FROM f")
 def rrf_fusion(docs):
-    toked, q = R.tokenized(corpus(docs)), questions(docs)
-    return R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q), 20)).select("qid", "collection", "id", "bm25_rank", "dense_rank", F.round("rrf", 6).alias("rrf"))
+    toked, q = R.prepared(corpus(docs)), questions(docs)
+    return R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q, 20), 20)).select("qid", "collection", "id", "bm25_rank", "dense_rank", F.round("rrf", 6).alias("rrf"))
 
 
 @REG.query("documents", sql="WITH " + BM25 + DENSE + FUSE + """
 SELECT qid, count(bm25_rank)::BIGINT AS bm25, count(dense_rank)::BIGINT AS dense, count(CASE WHEN bm25_rank IS NOT NULL AND dense_rank IS NOT NULL THEN 1 END)::BIGINT AS both_,
   count(CASE WHEN dense_rank IS NULL THEN 1 END)::BIGINT AS only_bm25, round(max(rrf), 6) AS top1, round(max(rrf) - list_sort(list(rrf), 'DESC')[2], 6) AS gap FROM f GROUP BY qid""")
 def candidate_stats(docs):
-    toked, q = R.tokenized(corpus(docs)), questions(docs)
-    f = R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q), 20))
+    toked, q = R.prepared(corpus(docs)), questions(docs)
+    f = R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q, 20), 20))
     second = F.try_element_at(F.sort_array(F.collect_list("rrf"), asc=False), F.lit(2))
     return f.groupBy("qid").agg(
         F.count("bm25_rank").alias("bm25"), F.count("dense_rank").alias("dense"), F.count_if(F.col("bm25_rank").isNotNull() & F.col("dense_rank").isNotNull()).alias("both_"),
@@ -114,8 +115,8 @@ def candidate_stats(docs):
 @REG.query("documents", sql="WITH " + BM25 + DENSE + FUSE + RERANK + " SELECT qid, pool_rank, collection, id, round(rerank, 6) AS rerank FROM rr")
 def rerank_overlap(docs):
     rec = corpus(docs)
-    toked, q = R.tokenized(rec), questions(docs)
-    f = R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q), 20))
+    toked, q = R.prepared(rec), questions(docs)
+    f = R.fused(R.ranked(R.bm25(toked, q), 20), R.ranked(R.dense(toked, q, 20), 20))
     pool = f.withColumn("pool_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), "collection", "id"))).filter("pool_rank <= 15")
     return R.overlap_rerank(pool, rec, q).select("qid", "pool_rank", "collection", "id", F.round("rerank", 6).alias("rerank"))
 

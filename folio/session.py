@@ -64,6 +64,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the session shuffles with, where its scan has fewer; a table of many splits stays as it is.
+
+    For work that costs far more a row than moving the row does, such as tokenising.
+    """
+    wanted = parallelism(df.sparkSession)
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
