@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import events, incremental, index, metrics, pages, retrieval, runs, tables
+from folio.plans import events, gates, incremental, index, metrics, pages, retrieval, runs, tables, validators
 
-MODULES = (incremental, retrieval, tables, pages, index, events, metrics, runs)
+MODULES = (incremental, retrieval, tables, validators, pages, gates, index, events, metrics, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
