@@ -45,12 +45,14 @@ def catalog(builds: DataFrame) -> DataFrame:
 def content_hash(builds: DataFrame) -> DataFrame:
     """(collection, content): a hash over the sorted documents and checksums; equal hashes mean nothing to publish.
 
-    A hash over two levels would do without the list of a collection's documents; the list holds names and checksums only.
+    Lines are hashed in 256 parts, by the first digits of their own hash, and the parts' hashes once more, so that no row ever holds
+    the list of a collection.
     """
     line = F.concat_ws(" ", "doc", F.lower("src_sha256"))
-    rows = builds.filter(F.col("src_sha256").isNotNull()).groupBy(F.split_part("doc", F.lit("/"), F.lit(1)).alias("collection"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc", line.alias("line")))), lambda x: x.line)
-    return rows.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("content"))
+    rows = builds.filter(F.col("src_sha256").isNotNull()).select(F.split_part("doc", F.lit("/"), F.lit(1)).alias("collection"), F.sha2(line, 256).alias("h"))
+    parts = rows.groupBy("collection", F.left("h", F.lit(2)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "d")))
+    return parts.groupBy("collection").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x.d), "\n"), 256).alias("content"))
 
 
 def mirror(paths: DataFrame, locations: DataFrame) -> DataFrame:

@@ -34,3 +34,23 @@ def arrivals(trace: DataFrame) -> DataFrame:
     seen = rows.withColumn("same", F.max("w").over(w)).join(before, "day")
     late = F.col("w") < F.greatest("same", "before")
     return seen.agg(F.count("*").alias("n"), F.count_if(late).alias("out_of_order"), F.round(F.max("late"), 3).alias("latest_s"), F.round(F.avg("late"), 3).alias("mean_s"))
+
+
+#: Chunks of a document that one task walks through.
+STRETCH = 4_096
+
+
+def headings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc, ord, in_effect) of (chunk_id, doc, ord, heading): the last heading at or before each chunk of its document.
+
+    Documents are walked in stretches of ord; the heading that a stretch begins with comes from the last one before it that has any,
+    so that a document of any length is spread over tasks.
+    """
+    rows = chunks.withColumn("part", F.floor(F.col("ord") / STRETCH))
+    own = F.last("heading", ignorenulls=True).over(Window.partitionBy("doc", "part").orderBy("ord", "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy("doc", "part").agg(F.max_by("heading", F.when(F.col("heading").isNotNull(), F.struct("ord", "chunk_id"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("doc", "part", before.alias("carried"))
+    key = F.col("r.doc").eqNullSafe(F.col("c.doc")) & (F.col("r.part") == F.col("c.part"))
+    both = rows.withColumn("own", own).alias("r").join(carried.alias("c"), key, "left")
+    return both.select("r.chunk_id", "r.doc", "r.ord", F.coalesce("r.own", "c.carried").alias("in_effect"))

@@ -59,19 +59,19 @@ def sessions(events):
     return E.sessions(events, "user_id", ("ts", "event_id"), 1800)
 
 
-@REG.query("events")
+@REG.query("events", sql="""SELECT user_id, n, event_type AS status, epoch_us(ts) AS at_us FROM (SELECT *, count(*) OVER (PARTITION BY user_id)::BIGINT AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
 def stream_latest(events):
     """The latest status through Structured Streaming: the table's files as a stream, run to its end."""
     from folio.streaming.events import replay_latest
 
-    return replay_latest(events)
+    return replay_latest(events).select("user_id", "n", "status", E.micros(F.col("ts")).alias("at_us"))
 
 
-@REG.query("events")
+@REG.query("events", sql="""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_counts(events):
     from folio.streaming.events import replay_counts
 
-    return replay_counts(events)
+    return replay_counts(events).select(E.micros(F.col("start")).alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES, SQL = REG.queries, REG.sql

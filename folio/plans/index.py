@@ -37,8 +37,8 @@ def orphans_anti(chunks, meta):
     return chunks.select("chunk_id", "doc").distinct().join(meta.select("doc").distinct(), "doc", "left_anti").select("chunk_id", "doc")
 
 
-@REG.query("chunk", "trace", "index_meta", sql="""SELECT DISTINCT m.doc FROM index_meta m WHERE m.src_path IN (SELECT src_path FROM trace WHERE outcome = 'ok')""")
-def live_semi(chunks, trace, meta):
+@REG.query("trace", "index_meta", sql="""SELECT DISTINCT m.doc FROM index_meta m WHERE m.src_path IN (SELECT src_path FROM trace WHERE outcome = 'ok')""")
+def live_semi(trace, meta):
     live = trace.filter("outcome = 'ok'").select("src_path").distinct()
     return meta.select("doc", "src_path").distinct().join(live, "src_path", "left_semi").select("doc").distinct()
 
@@ -70,7 +70,8 @@ def catalog_totals(meta):
     return n.agg(F.count("*").alias("docs"), F.count_distinct(F.split_part("doc", F.lit("/"), F.lit(1))).alias("collections"), F.sum("nodes").cast("long").alias("nodes"), F.count_distinct("model").alias("models"))
 
 
-@REG.query("index_meta", sql=f"""WITH {_NEWEST} SELECT split_part(doc, '/', 1) AS collection, sha256(string_agg(doc || ' ' || lower(src_sha256), chr(10) ORDER BY doc)) AS content FROM n WHERE src_sha256 IS NOT NULL GROUP BY 1""")
+@REG.query("index_meta", sql=f"""WITH {_NEWEST}, h AS (SELECT split_part(doc, '/', 1) AS collection, sha256(doc || ' ' || lower(src_sha256)) AS h FROM n WHERE src_sha256 IS NOT NULL),
+p AS (SELECT collection, left(h, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT collection, sha256(string_agg(d, chr(10) ORDER BY part)) AS content FROM p GROUP BY 1""")
 def content_hash(meta):
     return C.content_hash(C.newest_builds(meta))
 

@@ -13,7 +13,7 @@ from folio.plans.retrieval import BM25, DENSE, corpus, questions
 REG = Registry()
 _HITS = "h AS (SELECT qid, id AS key, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM b)"
 _VHITS = "vh AS (SELECT qid, id AS key, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM v)"
-_REL = "rel AS (SELECT DISTINCT qid, doc_id AS key FROM q, documents WHERE text IS NOT NULL AND contains(lower(text), string_split(query, ' ')[1]) AND doc_id % 3 = 0)"
+_REL = "rel AS (SELECT DISTINCT qid, doc_id AS key FROM q, documents WHERE text IS NOT NULL AND contains(lower(text), string_split(query, ' ')[1]) AND contains(lower(text), string_split(query, ' ')[-1]))"
 
 
 def hits_of(docs):
@@ -21,11 +21,11 @@ def hits_of(docs):
 
 
 def labels(docs):
-    """Labels by rule: every third document that holds a question's first word. The questions are a list of eight."""
-    first = [(q.qid, q.query.split(" ")[0]) for q in questions(docs).collect()]
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("qid"), F.lit(w).alias("w")) for i, w in first)))
-    rows = docs.filter("text IS NOT NULL AND doc_id % 3 = 0").select(F.col("doc_id").alias("key"), F.lower("text").alias("t"), each.alias("q"))
-    return rows.filter(F.contains("t", F.col("q.w"))).select("q.qid", "key").distinct()
+    """Labels by rule: every document that holds a question's first and last word. The questions are a list of eight."""
+    ends = [(q.qid, q.query.split(" ")) for q in questions(docs).collect()]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("qid"), F.lit(w[0]).alias("a"), F.lit(w[-1]).alias("b")) for i, w in ends)))
+    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("key"), F.lower("text").alias("t"), each.alias("q"))
+    return rows.filter(F.contains("t", F.col("q.a")) & F.contains("t", F.col("q.b"))).select("q.qid", "key").distinct()
 
 
 _SCORED = """n AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY 1),

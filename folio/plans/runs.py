@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from folio.operators import runs as U
 from folio.plans.registry import Registry
@@ -67,8 +67,7 @@ def arrival_order(trace):
 @REG.query("chunk", sql="""WITH c AS (SELECT DISTINCT chunk_id, doc, ord, heading FROM chunk WHERE ord IS NOT NULL)
 SELECT chunk_id, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord, chunk_id ROWS UNBOUNDED PRECEDING) AS in_effect FROM c""")
 def headings_in_effect(chunks):
-    w = Window.partitionBy("doc").orderBy("ord", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.filter("ord IS NOT NULL").select("chunk_id", "doc", "ord", "heading").distinct().select("chunk_id", F.last("heading", ignorenulls=True).over(w).alias("in_effect"))
+    return U.headings(chunks.filter("ord IS NOT NULL").select("chunk_id", "doc", "ord", "heading").distinct()).select("chunk_id", "in_effect")
 
 
 QUERIES, SQL = REG.queries, REG.sql

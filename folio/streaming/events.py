@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folio.operators.events import micros, windowed
-from folio.session import scratch
+from folio.operators.events import micros
+from folio.session import keep_scratch
 
 STALL_OUT = "key string, last_us long, idle_s double"
 STALL_STATE = "last_us long, told boolean"
@@ -27,8 +28,8 @@ def latest_counts(stream: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts in event-time windows with a watermark, for append mode; beyond the reference, which has no windows."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """Counts in event-time windows with a watermark, for update or append mode."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def _watch(limit_s: float):
@@ -56,27 +57,20 @@ def stall_watch(stream: DataFrame, key: str, limit_s: float) -> DataFrame:
 
 
 def run_to_end(result: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a streaming result until its source is used up and returns what its last state wrote."""
+    """Runs a streaming result until its source is used up: its last state in complete mode, else all it wrote, with its batch."""
     spark = result.sparkSession
-    out = scratch(spark, name)
+    out, written = keep_scratch(spark, name), []
 
     def sink(batch: DataFrame, number: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{out}/state-{number:06d}")
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        written.append(number)
 
-    query = result.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(sink).start()
+    query = result.writeStream.outputMode(mode).option("checkpointLocation", keep_scratch(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    if mode == "complete":
-        last = query.lastProgress["batchId"] if query.lastProgress else 0
-        while last >= 0:
-            try:
-                return spark.read.schema(result.schema).parquet(f"{out}/state-{last:06d}")
-            except Exception:  # noqa: BLE001 - a batch without data wrote no state
-                last -= 1
-        return spark.createDataFrame([], result.schema)
-    return spark.read.parquet(out).drop("batch")
+    if not written:
+        return spark.createDataFrame([], result.schema).withColumn("batch", F.lit(0))
+    rows = spark.read.schema(StructType([*result.schema.fields, StructField("batch", IntegerType())])).parquet(out)
+    return rows.filter(F.col("batch") == max(written)) if mode == "complete" else rows
 
 
 def _stream_of(table: DataFrame) -> DataFrame:
@@ -87,8 +81,12 @@ def _stream_of(table: DataFrame) -> DataFrame:
 
 
 def replay_latest(events: DataFrame) -> DataFrame:
-    return run_to_end(latest_counts(_stream_of(events)), "complete", "latest")
+    return run_to_end(latest_counts(_stream_of(events)), "complete", "latest").drop("batch")
 
 
 def replay_counts(events: DataFrame) -> DataFrame:
-    return run_to_end(windowed(_stream_of(events), "1 hour"), "complete", "counts")
+    """(start, event_type, n, total) through windows with a watermark, in update mode: state is dropped when the watermark has passed a
+    window, and of the updates of a window the last counts."""
+    updates = run_to_end(windowed_counts(_stream_of(events)), "update", "counts")
+    last = updates.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("m"))
+    return last.select(F.col("window.start").alias("start"), "event_type", "m.n", "m.total")
