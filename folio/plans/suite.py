@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import events, gates, incremental, index, keeping, metrics, pages, retrieval, runs, tables, validators
+from folio.plans import events, gates, incremental, index, keeping, metrics, pages, retrieval, runs, tables, validators, views
 
-MODULES = (incremental, retrieval, tables, validators, pages, gates, index, keeping, events, metrics, runs)
+MODULES = (incremental, retrieval, tables, validators, pages, gates, index, keeping, views, events, metrics, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
