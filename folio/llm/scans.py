@@ -445,7 +445,9 @@ def _shapes(batches, frequency):
 
 def line_features(lines: DataFrame, frequency) -> DataFrame:
     """One row per edge line with LINE_FEATURES: its form, and who repeats it. A line's shape is the line with unknown words as N."""
-    lines = lines.mapInArrow(lambda it: _shapes(it, frequency), "a string, n long, origin string, record_key string, doc string, sheet string, line string, shape string")
+    shaped = lines.mapInArrow(lambda it: _shapes(it, frequency), "a string, n long, origin string, record_key string, doc string, sheet string, line string, shape string")
+    # Four aggregates read the lines.
+    lines = materialize(shaped, "shapes")
     all_sheets = lines.groupBy("doc").agg(F.count_distinct("sheet").alias("total"))
     per_doc = lines.groupBy("doc", "a").agg(F.count_distinct("sheet").alias("sheets")).join(all_sheets, "doc")
     several = F.col("total") >= 3
