@@ -43,7 +43,7 @@ CUT = re.compile(rf"([^\W\d_]+)([{HYPHENS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
 ALPHABETS = re.compile("[\x00-ɏЀ-ӿ'’]+")
 RUN = re.compile(r"[^\W\d_]+")
 #: Quick tests for texts that MIXED or SPACED could match.
-BESIDE = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ][@|†‡!$0-9]|[@|†‡!$0-9][A-Za-zÀ-ɏЀ-ӿ]")
+SIGNS = re.compile(r"[@|†‡!$0-9]+")
 SPACE = re.compile(r"\s")
 #: Runs without white space longer than this are no words.
 LONGEST = 200
@@ -66,10 +66,6 @@ def is_word(w: str) -> bool:
     return len(w) > 1 and (w.isascii() or bool(ALPHABETS.fullmatch(w)))
 
 
-def dehyphenated(text: str) -> str:
-    return CUT.sub(r"\1\3", text) if LINE_END.search(text) else text
-
-
 def line_key(line: str) -> str:
     """What repeated lines share: digits and roman numerals as #, a page number at either end dropped, misreadings as skeletons."""
     t = re.sub(r"\s+", " ", line.strip().lower())
@@ -325,12 +321,13 @@ def is_cut(left: str, mark: str, right: str, speller: Speller) -> bool:
 def noise(text: str, speller: Speller) -> tuple[set[str], set[str]]:
     """'hyphen' and 'character' where the text surely has them, and the unknown words that may be misread, lower-case."""
     out, unknown = set(), set()
-    if LINE_END.search(text):
+    t = text
+    if "\n" in text and LINE_END.search(text):
+        t = CUT.sub(r"\1\3", text)
         for m in CUT.finditer(text):
             if is_word(m[1]) and is_cut(m[1], m[2], m[3], speller):
                 out.add("hyphen")
                 break
-    t = dehyphenated(text)
     if odd_signs(t, speller):
         out.add("character")
         return out, unknown
@@ -361,16 +358,20 @@ def _stands(text: str, word: str) -> bool:
     return False
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha() and (c.isascii() or "À" <= c <= "ɏ" or "Ѐ" <= c <= "ӿ")
+
+
 def odd_signs(t: str, speller: Speller) -> bool:
     """Whether signs or digits stand in words, or letters are spaced."""
     at = 0
-    for near in BESIDE.finditer(t):
-        if near.start() < at:
+    for near in SIGNS.finditer(t):
+        a, b = near.span()
+        if a < at or not (a and _letter(t[a - 1]) or b < len(t) and _letter(t[b])):
             continue
-        a = near.start()
         while a > at and not t[a - 1].isspace():
             a -= 1
-        end = SPACE.search(t, near.end())
+        end = SPACE.search(t, b)
         at = end.start() if end else len(t)
         if at - a <= LONGEST and any(misread_sign(m.group(), speller) and not _in_link(t, m) for m in MIXED.finditer(t, a, at)):
             return True
