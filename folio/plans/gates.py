@@ -9,6 +9,7 @@ from folio.plans.pages import _PAGE, _SCRIPT, unique_pages
 from folio.plans.registry import Registry
 from folio.plans.tables import ROLES, cells, column_types, table_shape
 from folio.plans.validators import _AGAIN, _BREAKS, _HEAD, _LAYOUT, _TOTALS
+from folio.session import materialize
 
 REG = Registry()
 _COUNTED = _SCRIPT.replace("c AS (SELECT *, len", "counted AS (SELECT *, len").replace("AS script FROM c)", "AS script FROM counted)")
@@ -76,7 +77,7 @@ def gate_full(pages, tables):
     lines = P.line_repeats(rows.select(F.struct("doc", "page").alias("k"), F.col("md").alias("text")), "k").select("k.doc", "k.page", "runaway")
     shape = table_shape(tables).groupBy("doc", "page").agg(F.bool_or("ragged").alias("ragged"), F.bool_or(F.coalesce((F.col("n_rows") >= 4) & (F.col("empty_share") > 0.6), F.lit(False))).alias("blank_table"), F.lit(True).alias("has_table"))
     types = column_types(tables).groupBy("doc", "page").agg(F.bool_or("suspect").alias("column_types"))
-    for more in (lines, shape, types, V.findings(V.numbered(cells(tables)), ROLES)):
+    for more in (lines, shape, types, V.findings(materialize(V.numbered(cells(tables)), "cells"), ROLES)):
         rows = rows.join(more, ["doc", "page"], "left")
     return G.check_pages(rows)
 
