@@ -186,7 +186,7 @@ def test_sketch_agreement_counts_coordinates():
 @pytest.mark.parametrize("split", [False, True])
 def test_recall_inside_one_large_group(spark, monkeypatch, split):
     if split:  # nodes that a sample shows to be too large are branched where the texts are
-        monkeypatch.setattr(setjoin, "NODE_ROWS", 500)
+        monkeypatch.setattr(setjoin, "NODE_ROWS", 1_500)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
     base = [word() for _ in range(60)]
