@@ -1,9 +1,11 @@
 """Sentence units in any language and script.
 
-Per language, abbreviations and sentence starters are learned from all documents without labels, by log-likelihood ratios: a
-word is an abbreviation if its period depends on it (and on what follows) rather than on the sentence, a starter if it opens
-blocks, items and what follows '!' or '?' far more often than chance. Each period is then classified by these statistics; the
-other marks, quotations, brackets, list items and Thai spaces have rules. A block's language is guessed from its script and most
+Per language, abbreviations, collocations across a period and sentence starters are learned from all documents without labels, by
+log-likelihood ratios: a word is an abbreviation if its period depends on it (and on what follows) rather than on the sentence, a
+starter if it opens blocks, items and what follows '!' or '?' far more often than chance, a collocate if it follows a number and
+its period ('3. Mai') more often than chance. After abbreviations and initials only starters begin a sentence; as a starter is no
+collocate, pairs with those would decide nothing and are not sought. Each period is then classified by these statistics; the other
+marks, quotations, brackets, list items and Thai spaces have rules. A block's language is guessed from its script and most
 frequent words, so mixed documents need no label.
 
 Null, empty and blank texts have no units. Positions count code points.
@@ -23,7 +25,7 @@ UNITS = "start_pos long, end_pos long"
 #: Longest word that can be an abbreviation, and how often it must stand with a period.
 LETTERS, OFTEN = 7, 3
 #: Thresholds of the log-likelihood ratios.
-ABBREVIATION, STARTER = 0.3, 30.0
+ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 
 # The most frequent function words of languages in Latin script.
 WORDS = {
@@ -42,7 +44,8 @@ ITEM = re.compile(r"^[ \t　]*(?:[-*•]|\d+\.)[ \t　]+(?=\S)", re.M)
 ITEM_AT = re.compile(ITEM.pattern[1:])
 LOWER = re.compile(r"[a-zß-öø-ÿа-яё]")
 TOKEN = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*")
-CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*")
+CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*(?:[.'’-][^\W\d_]+)*")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 LETTERS_RUN = re.compile(r"[^\W\d_]+")
 PERIOD = re.compile(r"(?<!\.)\.(?![\w.])[\s\"”’»)\]]*([^\W\d_]*)")
 OPEN = re.compile(r"[!?]+[\"”’»)]*\s+[\"“„«¿¡(]*")
@@ -97,8 +100,9 @@ def _segments(text: str):
 
 def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
     """Adds what the texts say. To found: ('n', lang, '', '') tokens, ('p', lang, word, next) short words with a period and what
-    follows it, ('s', lang, word, '') sure starts, ('t', lang, '', '') their number; to words: how often each word stands, in lower
-    case and once more as it is where it begins with a capital."""
+    follows it, ('s', lang, word, '') sure starts, ('t', lang, '', '') their number, ('d', lang, '', '') numbers, ('o', lang, word, '')
+    capitals after a number and its period; to words: how often each word stands, in lower case and once more as it is where it
+    begins with a capital."""
     for text in texts:
         if not text or text.isspace():
             continue
@@ -109,9 +113,9 @@ def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
             if not every or lang in ("zh", "ja", "th"):
                 continue
             words.setdefault(lang, Counter()).update(every)
-            if lang != "hi":
-                words[lang].update(CAPITAL.findall(part))
+            words[lang].update(CAPITAL.findall(part))
             found["n", lang, "", ""] += len(every)
+            found["d", lang, "", ""] += len(NUMBER.findall(part))
             starts = [TOKEN.match(part, len(part) - len(part.lstrip(" \t\r\n\"“„«¿¡(")))]
             starts += [TOKEN.match(part, k.end()) for k in OPEN.finditer(part)]
             for m in starts:
@@ -131,6 +135,8 @@ def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
                     elif not n[0].isupper():
                         n = "a"
                     found["p", lang, word, n] += 1
+                elif m.group(1)[:1].isupper() and NUMBER.fullmatch(word):
+                    found["o", lang, TOKEN.match(part, m.start(1)).group(), ""] += 1
 
 
 def _evidence(batches):
@@ -144,9 +150,8 @@ def _evidence(batches):
 
 
 def _rows(found: Counter, words: dict[str, Counter]) -> pa.RecordBatch:
-    """Words too long for an abbreviation need no count."""
     for lang, times in words.items():
-        found.update({("c" if w[0].isupper() else "w", lang, w, ""): n for w, n in times.items() if len(w) <= LETTERS})
+        found.update({("c" if w[0].isupper() else "w", lang, w, ""): n for w, n in times.items()})
     keys = list(found)
     columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
     return pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["kind", "lang", "word", "next", "n"])
@@ -159,14 +164,15 @@ def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Model:
-    """Abbreviations and sentence starters per language."""
+    """Abbreviations, sentence starters and the words that number and period form a collocation with, per language."""
 
-    def __init__(self, abbreviations: dict[str, set[str]], starters: dict[str, set[str]]) -> None:
-        self.abbreviations, self.starters = abbreviations, starters
+    def __init__(self, abbreviations: dict[str, set[str]], starters: dict[str, set[str]], collocates: dict[str, set[str]] | None = None) -> None:
+        self.abbreviations, self.starters, self.collocates = abbreviations, starters, collocates or {}
 
 
 def _llr(k, n, p):
     """Log-likelihood of k of n at probability p."""
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
     return k * F.ln(p) + (n - k) * F.ln(F.lit(1.0) - p)
 
 
@@ -177,8 +183,8 @@ def learn(counts: DataFrame) -> Model:
     uses = counts.filter("kind IN ('w', 'c')").groupBy("lang", "word").agg(F.sum("n").alias("uses"))
     s = counts.filter("kind = 's'").groupBy("lang", "word").agg(F.sum("n").alias("k")).join(begun, "lang").join(total, "lang")
     s = s.join(uses, ["lang", "word"], "left")
-    # A starter, as it is written, opens far more of its own uses than a word does by chance; of longer words, whose uses are not
-    # counted, the openings alone speak.
+    # A starter, as it is written, opens far more of its own uses than a word does by chance; of compounds in lower case, whose uses
+    # are not counted, the openings alone speak.
     base = F.least(F.lit(0.5), F.col("opened") / F.greatest("tokens", F.lit(1)))
     n = F.greatest(F.col("k"), F.coalesce("uses", "k"))
     rate = F.least(F.lit(0.999999), F.col("k") / n)
@@ -201,11 +207,23 @@ def learn(counts: DataFrame) -> Model:
     # A short word that hardly ever closes a sentence where it has its period, though it may be a word without.
     never = (letters <= 4) & (F.col("inside") >= 0.9 * F.col("p")) & (F.col("p") >= 0.05 * F.col("w"))
     good = (F.col("p") >= OFTEN) & (likely | never)
+    # A collocate follows a number and its period in more of its uses than numbers are of all tokens.
+    numbers = counts.filter("kind = 'd'").groupBy("lang").agg(F.sum("n").alias("a"))
+    o = counts.filter("kind = 'o'").groupBy("lang", "word").agg(F.sum("n").alias("k")).join(starters, ["lang", "word"], "left_anti")
+    o = o.join(uses, ["lang", "word"], "left").join(numbers, "lang").join(total, "lang")
+    k, a, b, every = F.col("k"), F.col("a"), F.greatest("k", F.coalesce("uses", "k")), F.col("tokens") + F.col("a")
+    alone = _llr(k, a, b / every) + _llr(b - k, every - a, b / every)
+    tied = 2 * (_llr(k, a, k / a) + _llr(b - k, every - a, (b - k) / (every - a)) - alone)
+    collocates = o.filter((k >= OFTEN) & (k / b > a / every) & (tied >= COLLOCATION)).select("lang", "word")
     model = Model({}, {})
     for r in joined.filter(good).select("lang", "word").collect():
         model.abbreviations.setdefault(r.lang, set()).add(r.word)
     for r in starters.collect():
         model.starters.setdefault(r.lang, set()).add(r.word)
+    for r in collocates.collect():
+        # An abbreviation or an initial is no whole word: a title after a number begins a sentence as any name does.
+        if len(r.word) > 1 and r.word.lower() not in model.abbreviations.get(r.lang, ()):
+            model.collocates.setdefault(r.lang, set()).add(r.word)
     return model
 
 
@@ -246,6 +264,7 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
     spans = _protected(text, body, b) if MARKED.search(text, body, b) else []
     lang = language(part)
     abbreviations, starters = model.abbreviations.get(lang, frozenset()), model.starters.get(lang, frozenset())
+    collocates = model.collocates.get(lang, frozenset())
     english = model.abbreviations.get("en", frozenset()) if lang in ("zh", "ja", "th", "hi") else frozenset()
     ends: list[int] = []
     last, k = body, 0
@@ -274,13 +293,13 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
             break
         if quoted is None and n > q and text[n].islower():
             continue
-        if _is_end(text, p, m.group(), q, n, b, quoted, last, lang, abbreviations, starters, english):
+        if _is_end(text, p, m.group(), q, n, b, quoted, last, lang, abbreviations, starters, collocates, english):
             ends.append(q)
             last = q
     return sorted(set(ends))
 
 
-def _is_end(text, p, mark, q, n, b, quoted, last, lang, abbreviations, starters, english) -> bool:
+def _is_end(text, p, mark, q, n, b, quoted, last, lang, abbreviations, starters, collocates, english) -> bool:
     c = text[n]
     gap = n > q
     opening = c in "\"“„«‹「『（([【¿¡‘《"
@@ -317,10 +336,10 @@ def _is_end(text, p, mark, q, n, b, quoted, last, lang, abbreviations, starters,
         if inner.islower() and (gap or lang != "und"):
             return False
         return c not in ",;:)]—–"
-    return _dot_ends(text, p, n, b, last, lang, abbreviations, starters, english, gap, opening)
+    return _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, english, gap, opening)
 
 
-def _dot_ends(text, p, n, b, last, lang, abbreviations, starters, english, gap, opening) -> bool:
+def _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, english, gap, opening) -> bool:
     inner = text[n] if n < b else ""
     if inner.islower() or not inner:
         return False
@@ -348,6 +367,8 @@ def _dot_ends(text, p, n, b, last, lang, abbreviations, starters, english, gap,
         starts = bool(nxt) and nxt.group() in starters
         if known or initial:
             return starts and not (initial and text[nxt.end() : nxt.end() + 1] == ".") if nxt else False
+        if nxt and not opening and nxt.group() in collocates and NUMBER.fullmatch(word):
+            return False
         if lang == "de" and word.isdigit() and len(word) <= 2:
             return starts or opening
         return True

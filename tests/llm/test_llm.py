@@ -489,3 +489,13 @@ def test_learned_model(spark):
     assert {"dr", "no"} <= model.abbreviations["en"] and "day" not in model.abbreviations["en"]
     assert sentences.sentences(docs).count() == 120
     assert sentences.sentences(docs.limit(0)).count() == 0
+
+
+def test_collocations_and_uses_of_long_words(spark):
+    lines = ["The crew met on 3. May at noon. The count was 12. Later it rained on the crew."] * 30 + ["Later the crew left in the rain."] * 30
+    lines += ["The clerk met the Surveyor of the town and the Surveyor left."] * 100 + ["Surveyor of the town and the river"] * 8
+    model = sentences.learn(sentences.evidence(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")))
+    assert model.collocates == {"en": {"May"}}
+    assert "Later" in model.starters["en"] and "Surveyor" not in model.starters["en"]
+    text = "We leave on the 7. May with 3.50 of the rest. It ends at 9. Later we meet."
+    assert [text[a:b] for a, b in sentences.units(text, model)] == ["We leave on the 7. May with 3.50 of the rest.", "It ends at 9.", "Later we meet."]
