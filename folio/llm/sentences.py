@@ -39,17 +39,18 @@ for _lang, _list in WORDS.items():
     for _w in _list.split():
         _SHARED.setdefault(_w, []).append(_lang)
 
+# Patterns begin with the characters that they look for, so that the search skips all others.
 BLANK = re.compile(r"(?:\r\n|\n|\r)[ \t　\xa0]*(?:\r\n|\n|\r)\s*")
 ITEM = re.compile(r"^[ \t　]*(?:[-*•]|\d+\.)[ \t　]+(?=\S)", re.M)
 ITEM_AT = re.compile(ITEM.pattern[1:])
 LOWER = re.compile(r"[a-zß-öø-ÿа-яё]")
 TOKEN = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*")
-CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*(?:[.'’-][^\W\d_]+)*")
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я](?<!\w.)[^\W\d_]*(?:[.'’-][^\W\d_]+)*")
+NUMBER = re.compile(r"\d\d*(?:[.,]\d+)*")
 LETTERS_RUN = re.compile(r"[^\W\d_]+")
-PERIOD = re.compile(r"(?<!\.)\.(?![\w.])[\s\"”’»)\]]*([^\W\d_]*)")
-OPEN = re.compile(r"[!?]+[\"”’»)]*\s+[\"“„«¿¡(]*")
-MARK = re.compile(r"[.!?…]+|[。！？｡．।॥]+[!?！？。]*")
+PERIOD = re.compile(r"\.(?<!\.\.)(?![\w.])[\s\"”’»)\]]*([^\W\d_]*)")
+OPEN = re.compile(r"[!?][!?]*[\"”’»)]*\s+[\"“„«¿¡(]*")
+MARK = re.compile(r"[.!?…。！？｡．।॥](?:(?<=[.!?…])[.!?…]*|[。！？｡．।॥]*[!?！？。]*)")
 OPENERS, CLOSERS = "\"“„«‹「『（(［[【《〈‘", "\"”“»›」』）)］]】》〉’"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "［": "］", "[": "]", "【": "】", "《": "》", "〈": "〉"}
 CLOSES = frozenset("".join(PAIRS.values()))
@@ -68,10 +69,9 @@ def language(block: str, words=None) -> str:
             if p.search(block) and len(p.findall(block)) > (0.1 if lang == "ja" else 0.25) * n:
                 return lang
     votes = dict.fromkeys(WORDS, 0)
-    for w in block.lower().split() if words is None else words:
-        if w in _SHARED:
-            for lang in _SHARED[w]:
-                votes[lang] += 1
+    for w in filter(_SHARED.__contains__, block.lower().split() if words is None else words):
+        for lang in _SHARED[w]:
+            votes[lang] += 1
     best = max(votes, key=votes.__getitem__)
     return best if votes[best] else "en"
 
@@ -125,7 +125,10 @@ def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
                     found["t", lang, "", ""] += 1
             for m in PERIOD.finditer(part):
                 i = m.start()
-                k = max(part.rfind(" ", 0, i), part.rfind("\n", 0, i), part.rfind("(", 0, i), part.rfind("\xa0", 0, i))
+                for a in (max(0, i - 40), 0):
+                    k = max(part.rfind(" ", a, i), part.rfind("\n", a, i), part.rfind("(", a, i), part.rfind("\xa0", a, i))
+                    if k >= 0:
+                        break
                 word = part[k + 1 : i].lower().lstrip("\"“„«¿¡'’")
                 if word and word[-1] != "." and len(word) <= LETTERS + 4 and word.replace(".", "").isalpha():
                     n = m.group(1)
@@ -178,24 +181,28 @@ def _llr(k, n, p):
 
 def learn(counts: DataFrame) -> Model:
     """The model of the evidence. What comes to the driver are the words that pass: short, frequent words of a few languages."""
-    total = counts.filter("kind = 'n'").groupBy("lang").agg(F.sum("n").alias("tokens"))
-    begun = counts.filter("kind = 't'").groupBy("lang").agg(F.sum("n").alias("opened"))
-    uses = counts.filter("kind IN ('w', 'c')").groupBy("lang", "word").agg(F.sum("n").alias("uses"))
-    s = counts.filter("kind = 's'").groupBy("lang", "word").agg(F.sum("n").alias("k")).join(begun, "lang").join(total, "lang")
-    s = s.join(uses, ["lang", "word"], "left")
+    spark = counts.sparkSession
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(name) for k, name in (("n", "tokens"), ("t", "opened"), ("d", "numbers"))]
+    total = counts.filter("kind IN ('n', 't', 'd')").groupBy("lang").agg(*sums)
+    total = F.broadcast(spark.createDataFrame(total.collect(), total.schema))
+    # A word is in lower case or not, so it has one row of its uses.
+    uses = counts.filter("kind IN ('w', 'c')").select("lang", "word", F.col("n").alias("uses"))
+    s = counts.filter("kind = 's'").select("lang", "word", F.col("n").alias("k")).join(total, "lang")
+    s = s.filter((F.col("k") >= 4) & (F.col("k") >= 2e-5 * F.col("opened"))).join(uses, ["lang", "word"], "left")
     # A starter, as it is written, opens far more of its own uses than a word does by chance; of compounds in lower case, whose uses
     # are not counted, the openings alone speak.
     base = F.least(F.lit(0.5), F.col("opened") / F.greatest("tokens", F.lit(1)))
     n = F.greatest(F.col("k"), F.coalesce("uses", "k"))
     rate = F.least(F.lit(0.999999), F.col("k") / n)
     score = F.when(rate > base, 2 * (_llr(F.col("k"), n, rate) - _llr(F.col("k"), n, base)))
-    starters = s.filter((F.col("k") >= 4) & (F.col("k") >= 2e-5 * F.col("opened"))).filter(score > STARTER).select("lang", "word")
+    opening = s.filter(score > STARTER).select("lang", "word").collect()
+    starters = F.broadcast(spark.createDataFrame(opening, "lang string, word string"))
     with_ = counts.filter("kind = 'p'")
     known = starters.withColumn("starts", F.lit(1)).withColumnRenamed("word", "next")
     with_ = with_.join(known, ["lang", "next"], "left")
     inside = F.when((F.length("next") == 0) | F.col("starts").isNotNull() | F.col("next").isin("\n", "\r"), 0).otherwise(F.col("n"))
     p = with_.groupBy("lang", "word").agg(F.sum("n").alias("p"), F.sum(inside).alias("inside"))
-    w = counts.filter("kind = 'w'").groupBy("lang", "word").agg(F.sum("n").alias("w"))
+    w = counts.filter("kind = 'w'").filter(F.length("word") <= LETTERS + 4).select("lang", "word", F.col("n").alias("w"))
     periods = with_.groupBy("lang").agg(F.sum("n").alias("periods"))
     joined = p.join(w, ["lang", "word"], "left").na.fill(0, ["w"]).join(periods, "lang").join(total, "lang")
     n = F.greatest("p", "w")
@@ -208,17 +215,16 @@ def learn(counts: DataFrame) -> Model:
     never = (letters <= 4) & (F.col("inside") >= 0.9 * F.col("p")) & (F.col("p") >= 0.05 * F.col("w"))
     good = (F.col("p") >= OFTEN) & (likely | never)
     # A collocate follows a number and its period in more of its uses than numbers are of all tokens.
-    numbers = counts.filter("kind = 'd'").groupBy("lang").agg(F.sum("n").alias("a"))
-    o = counts.filter("kind = 'o'").groupBy("lang", "word").agg(F.sum("n").alias("k")).join(starters, ["lang", "word"], "left_anti")
-    o = o.join(uses, ["lang", "word"], "left").join(numbers, "lang").join(total, "lang")
-    k, a, b, every = F.col("k"), F.col("a"), F.greatest("k", F.coalesce("uses", "k")), F.col("tokens") + F.col("a")
+    o = counts.filter("kind = 'o'").filter(F.col("n") >= OFTEN).select("lang", "word", F.col("n").alias("k")).join(starters, ["lang", "word"], "left_anti")
+    o = o.join(uses, ["lang", "word"], "left").join(total, "lang")
+    k, a, b, every = F.col("k"), F.col("numbers"), F.greatest("k", F.coalesce("uses", "k")), F.col("tokens") + F.col("numbers")
     alone = _llr(k, a, b / every) + _llr(b - k, every - a, b / every)
     tied = 2 * (_llr(k, a, k / a) + _llr(b - k, every - a, (b - k) / (every - a)) - alone)
-    collocates = o.filter((k >= OFTEN) & (k / b > a / every) & (tied >= COLLOCATION)).select("lang", "word")
+    collocates = o.filter((k / b > a / every) & (tied >= COLLOCATION)).select("lang", "word")
     model = Model({}, {})
     for r in joined.filter(good).select("lang", "word").collect():
         model.abbreviations.setdefault(r.lang, set()).add(r.word)
-    for r in starters.collect():
+    for r in opening:
         model.starters.setdefault(r.lang, set()).add(r.word)
     for r in collocates.collect():
         # An abbreviation or an initial is no whole word: a title after a number begins a sentence as any name does.
@@ -302,6 +308,8 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
 def _is_end(text, p, mark, q, n, b, quoted, last, lang, abbreviations, starters, collocates, english) -> bool:
     c = text[n]
     gap = n > q
+    if mark == "." and quoted is None and c.isalnum():
+        return _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, english, gap, False)
     opening = c in "\"“„«‹「『（([【¿¡‘《"
     inner = c
     if opening:
@@ -344,9 +352,12 @@ def _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, en
     if inner.islower() or not inner:
         return False
     k = p
-    while k > last and not text[k - 1].isspace() and text[k - 1] not in "\"“„«(（「¿¡’'":
-        k -= 1
-    word = text[k:p]
+    near = text[max(last, p - 40) : p]
+    word = near.rsplit(None, 1)[-1] if near and not near[-1].isspace() else ""
+    if word and (len(word) == 40 or not word.isalnum()):
+        while k > last and not text[k - 1].isspace() and text[k - 1] not in "\"“„«(（「¿¡’'":
+            k -= 1
+        word = text[k:p]
     low = word.lower()
     known = low in abbreviations or low in english
     if lang in ("hi", "th") and any("\u0900" <= c <= "\u0e7f" for c in word):
@@ -387,10 +398,12 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
     for a, b, body in _segments(text):
         edges = [a, *_split_segment(text, a, b, body, model), b]
         for s, e in zip(edges, edges[1:]):
-            part = text[s:e]
-            lead = len(part) - len(part.lstrip())
-            if lead < len(part):
-                out.append((s + lead, s + len(part.rstrip())))
+            while s < e and text[s].isspace():
+                s += 1
+            while e > s and text[e - 1].isspace():
+                e -= 1
+            if s < e:
+                out.append((s, e))
     return out
 
 

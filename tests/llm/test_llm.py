@@ -499,3 +499,14 @@ def test_collocations_and_uses_of_long_words(spark):
     assert "Later" in model.starters["en"] and "Surveyor" not in model.starters["en"]
     text = "We leave on the 7. May with 3.50 of the rest. It ends at 9. Later we meet."
     assert [text[a:b] for a, b in sentences.units(text, model)] == ["We leave on the 7. May with 3.50 of the rest.", "It ends at 9.", "Later we meet."]
+
+
+def test_patterns_begin_with_what_they_look_for():
+    from re import _compiler, _parser
+
+    for p in (sentences.CAPITAL, sentences.NUMBER, sentences.PERIOD, sentences.OPEN, sentences.MARK, sentences.MARKED):
+        parsed = _parser.parse(p.pattern, p.flags)
+        assert _compiler._get_literal_prefix(parsed, p.flags)[0] or _compiler._get_charset_prefix(parsed, p.flags), p.pattern
+    assert sentences.CAPITAL.findall("Start-up xY 3A _B L’Hôtel É") == ["Start-up", "L’Hôtel", "É"]
+    assert [m.group() for m in sentences.MARK.finditer("a?! b... c。」？ d।!")] == ["?!", "...", "。", "？", "।!"]
+    assert [(m.start(), m.group(1)) for m in sentences.PERIOD.finditer("e.g. x.. 3.5 end.) Now")] == [(3, "x"), (16, "Now")]
