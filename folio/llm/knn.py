@@ -295,6 +295,12 @@ def _marked(rows: DataFrame, name: str) -> Column:
     return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
 
 
+def _renewed(graph: DataFrame, offers: DataFrame) -> DataFrame:
+    """The graph after a round; lists that are offered nothing stay where they are."""
+    offered = _marked(offers.select("id"), "id")
+    return _merged(graph.filter(offered).unionByName(offers)).unionByName(graph.filter(~offered))
+
+
 class NeighbourGraph:
     """The neighbour graph of a table of vectors (key, model, embedding)."""
 
@@ -324,7 +330,7 @@ class NeighbourGraph:
             self.changed.append(offers.select(F.size("neighbours").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
             if self.changed[-1] == 0:
                 break
-            old, self.graph = self.graph, materialize(_merged(self.graph.unionByName(offers)), "graph")
+            old, self.graph = self.graph, materialize(_renewed(self.graph, offers), "graph")
             release(old)
             if self.changed[-1] < delta * K * total:
                 break
@@ -350,7 +356,10 @@ class NeighbourGraph:
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
         own = self.vectors.select("id", "v", F.col("block").alias("home")).join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
         own = own.select("id", "home", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
-        vectors = members.select("block", "id").distinct().join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "home", "least", "known", "v")
+        travel = members.select("block", "id").distinct()
+        if last is not None:
+            own = own.filter(_marked(travel, "id"))
+        vectors = travel.join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "home", "least", "known", "v")
         rows = members.unionByName(vectors, allowMissingColumns=True)
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_introduce, NODES)
 

@@ -327,6 +327,13 @@ def test_all_reverse_neighbours_and_whole_ids(spark, monkeypatch):
     assert introduced(graph) == best
 
 
+def test_lists_without_offers_stay_where_they_are(spark):
+    rows = [(1, 0, [(0.5, 2, 0), (0.9, 3, 0)]), (2, 0, [(0.5, 1, 0), (0.9, 3, 0)])]
+    graph, offers = (spark.createDataFrame(x, knn.NODES) for x in (rows, [(1, 0, [(0.7, 4, 0)]), (4, 0, [(0.7, 1, 0)])]))
+    got = {r.id: [n.id for n in r.neighbours] for r in knn._renewed(graph, offers).collect()}
+    assert got == {1: [3, 4, 2], 2: [1, 3], 4: [1]}
+
+
 def test_large_cells_are_cut_before_they_are_shuffled(monkeypatch):
     rng = np.random.default_rng(2)
     x = (np.ones(64) + 0.4 * rng.normal(size=(3000, 64))).astype(np.float32)
