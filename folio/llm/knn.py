@@ -5,8 +5,8 @@ from cells: each vector goes to the cells of its CELLS nearest pivots, pivots be
 a cell that will be too large for a task is cut by hyperplanes through its pivot before it is shuffled, and one larger than LEAF
 is halved at random hyperplanes in its task. Then rounds of NN-descent run as Spark joins: every node gathers the vectors of its
 neighbours and of the vectors it is a neighbour of, and introduces them to each other. Nodes of one neighbourhood are gathered
-together, so that a vector travels once to a neighbourhood and not once to each node. A round ends with the K best of what each
-vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
+together, so that a vector travels once to a neighbourhood and not once to each node; it brings its list, from which the task reads
+who is a member of which node. A round ends with the K best of what each vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
 
 Usable vectors have DIM finite numbers, not all zero; a key counts once; all others are ignored. Only vectors of one model meet.
 All vectors that have a node as neighbour are introduced there; a node with more than HUB of them is split into blocks, and every
@@ -15,8 +15,11 @@ two blocks meet in a task. Ties go to the larger id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.session import bounded_sample, materialize, release
@@ -28,8 +31,10 @@ ROUNDS, DELTA = 12, 0.001
 CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 1_000, 2_048, 16_384, 50_000, 4_500
 #: Words of the bitmap that tells which nodes have a new edge, one megabyte.
 MARKS = 1 << 17
-#: Nodes of one neighbourhood that are gathered together.
+#: Nodes of one neighbourhood that are gathered together, about.
 AROUND = 2_000
+#: Rows at which the whole neighbourhoods among them are solved.
+GATHERED = 20_000
 SCALE = 32_767
 #: A node, its neighbourhood, and its neighbours with theirs.
 NODES = "id long, block long, neighbours array<struct<score:double,id:long,block:long>>"
@@ -76,8 +81,15 @@ class Pivots:
         self.entries, self.ids = x[:PIVOTS], np.array([r.id for r in drawn[:PIVOTS]])
         near = self.nearest(x)[0]
         share = np.bincount(near.ravel(), minlength=len(self.x)) / len(x)
-        #: Neighbourhoods that the vectors nearest to a pivot are divided into.
-        self.around = np.maximum(1, np.ceil(np.bincount(near[:, 0], minlength=len(self.x)) / len(x) * n / AROUND)).astype(np.int64)
+        #: By pivot, where more than AROUND vectors are nearest to it: drawn ones among them as centres of neighbourhoods, and the first
+        #: neighbourhood and the number of them of each centre; more than one by chance where one centre has far too many.
+        self.centres: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        parts = np.ceil(np.bincount(near[:, 0], minlength=len(self.x)) / len(x) * n / AROUND).astype(np.int64)
+        for k in np.flatnonzero(parts > 1):
+            mine = x[near[:, 0] == k]
+            own = np.bincount(np.argmax(mine @ mine[: parts[k]].T, axis=1), minlength=min(parts[k], len(mine)))
+            many = np.maximum(1, np.ceil(own / len(x) * n / (4 * AROUND))).astype(np.int64)
+            self.centres[int(k)] = (mine[: parts[k]], np.cumsum(many) - many, many)
         self.bits = np.clip(np.ceil(np.log2(np.maximum(share * n, 1) / CELL_MOST)), 0, _PLANES.shape[1]).astype(np.int64)
 
     def nearest(self, x: np.ndarray, most: int = CELLS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +102,17 @@ class Pivots:
         order = np.argsort(-score, axis=1, kind="stable")
         return np.take_along_axis(near, order, axis=1), np.take_along_axis(score, order, axis=1)
 
+    def around(self, x: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of its pivot's neighbourhoods the vector lies in: that of the nearest centre, so that similar vectors mostly share one."""
+        out = np.zeros(len(x), np.int64)
+        order = np.argsort(first, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+            if len(rows) and (c := self.centres.get(int(first[rows[0]]))):
+                near = np.argmax(x[rows] @ c[0].T, axis=1)
+                chance = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                out[rows] = c[1][near] + chance.astype(np.int64) % c[2][near]
+        return out
+
     def parts(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         """The part of the cell, by the sides of the hyperplanes on which the vector lies seen from the pivot."""
         out = np.zeros(near.shape, np.int64)
@@ -122,8 +145,7 @@ def _assign(batches, pivots: dict[str, Pivots], cells: bool):
                 rows = mine[at : at + 4096]
                 near, _ = p.nearest(x[rows], CELLS if cells else 1)
                 first = near[:, 0]
-                part = ((ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % p.around[first]
-                block[rows] = _cell_ids(m, first, part)
+                block[rows] = _cell_ids(m, first, p.around(x[rows], first, ids[rows]))
                 if cells:
                     out.append((rows, near, _cell_ids(m, near, p.parts(x[rows], near))))
         if not cells:
@@ -201,38 +223,52 @@ def _cells(batches):
 def _introduce(batches):
     """(id, neighbours) offered by the nodes of a partition sorted by block: what each member's list lacks and takes.
 
-    Rows are edges (block, node, id), which may repeat, and the vectors of a block (block, null, id, home, least, known, v). Of
-    what a task's part of the nodes offers to an id the K best leave it.
+    Rows are the vectors of a block (block, null, id, home, opens, least, known, v), one for each id, and for the nodes that are
+    split into blocks edges (block, node, id), which may repeat. Where a vector opens, it is a node there: its members are the
+    vectors that it knows and those that know it. Of what a task's part of the nodes offers to an id the K best leave it.
     """
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.RecordBatch):
-        block, edge = table.column(0).to_numpy(), table.column(1).is_valid().to_numpy(zero_copy_only=False)
-        ids = table.column(2).to_numpy()
-        vectors = table.filter(pa.array(~edge))
+        edge = table.column(1).is_valid()
+        vectors, edges = table.filter(pa.compute.invert(edge)), table.filter(edge)
         # A member's vector is the one of its id in its block.
         place = np.lexsort((vectors.column(2).to_numpy(), vectors.column(0).to_numpy()))
-        own_block, own = vectors.column(0).to_numpy()[place], vectors.column(2).to_numpy()[place]
-        home, least = vectors.column(3).to_numpy()[place], vectors.column(4).to_numpy()[place]
-        known = vectors.column(5).flatten().to_numpy().reshape(len(own), K)[place]
-        x = _unit(_matrix(vectors.column(6)))[place]
-        e_node = table.column(1).filter(pa.array(edge)).to_numpy()
-        order = np.lexsort((ids[edge], e_node, block[edge]))
-        e_block, e_node, e_id = block[edge][order], e_node[order], ids[edge][order]
-        if not len(e_id):
+        own_block, own, home = (vectors.column(i).to_numpy()[place] for i in (0, 2, 3))
+        opens, least = vectors.column(4).to_numpy(zero_copy_only=False)[place], vectors.column(5).to_numpy()[place]
+        known = vectors.column(6).flatten().to_numpy().reshape(len(own), K)[place]
+        x = _unit(_matrix(vectors.column(7)))[place]
+        blocks, ids = np.unique(own_block), np.unique(own)
+        span = len(ids) + 1
+        at_own = np.searchsorted(blocks, own_block) * span + np.searchsorted(ids, own)
+
+        def places(block, member):
+            """Places of (block, member), and which of them are here."""
+            code = np.searchsorted(ids, member)
+            here = np.flatnonzero(ids[np.minimum(code, len(ids) - 1)] == member)
+            want = np.searchsorted(blocks, block[here]) * span + code[here]
+            found = np.minimum(np.searchsorted(at_own, want), len(own) - 1)
+            good = at_own[found] == want
+            return found[good], here[good]
+
+        if not len(own):
+            return
+        other, which = places(np.repeat(own_block, K), known.ravel())
+        which //= K
+        e_node, member = np.concatenate([which[opens[which]], other[opens[other]]]), np.concatenate([other[opens[which]], which[opens[other]]])
+        if len(edges):
+            found, which = places(edges.column(0).to_numpy(), edges.column(2).to_numpy())
+            _, split = np.unique(np.stack([edges.column(0).to_numpy()[which], edges.column(1).to_numpy()[which]]), axis=1, return_inverse=True)
+            e_node, member = np.concatenate([e_node, len(own) + split]), np.concatenate([member, found])
+        if not len(member):
             return
-        once = np.r_[True, (e_id[1:] != e_id[:-1]) | (e_node[1:] != e_node[:-1]) | (e_block[1:] != e_block[:-1])]
-        e_block, e_node, e_id = e_block[once], e_node[once], e_id[once]
-        _, rank = np.unique(np.concatenate([own_block, e_block]), return_inverse=True)
-        _, code = np.unique(np.concatenate([own, e_id]), return_inverse=True)
-        span = code.max() + 1
-        member = np.searchsorted(rank[: len(own)] * span + code[: len(own)], rank[len(own) :] * span + code[len(own) :])
-        starts = np.flatnonzero(np.r_[True, (e_node[1:] != e_node[:-1]) | (e_block[1:] != e_block[:-1])])
-        sizes = np.diff(np.r_[starts, len(e_id)])
-        more = np.repeat(sizes, sizes) - (np.arange(len(e_id)) - np.repeat(starts, sizes)) - 1
+        e_node, member = np.divmod(np.unique(e_node * len(own) + member), len(own))
+        starts = np.flatnonzero(np.r_[True, e_node[1:] != e_node[:-1]])
+        sizes = np.diff(np.r_[starts, len(member)])
+        more = np.repeat(sizes, sizes) - (np.arange(len(member)) - np.repeat(starts, sizes)) - 1
         ends = np.cumsum(more)
         a_all, b_all, s_all, at = [], [], [], 0  # places in own
-        while at < len(e_id):
+        while at < len(member):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, "right")))
             m = more[at:upto]
             i = np.repeat(np.arange(at, upto), m)
@@ -264,7 +300,7 @@ def _introduce(batches):
         if not len(batch):
             continue
         held.append(batch)
-        if sum(map(len, held)) >= 100_000:
+        if sum(map(len, held)) >= GATHERED:
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             block = table.column(0).to_numpy()
             border = int(np.flatnonzero(np.r_[True, block[1:] != block[:-1]])[-1])
@@ -281,18 +317,29 @@ def _merged(lists: DataFrame) -> DataFrame:
     return lists.groupBy("id").agg(F.first("block").alias("block"), F.slice(ranked, 1, K).alias("neighbours"))
 
 
-def _marked(rows: DataFrame, name: str) -> Column:
-    """Whether a value may be among those of rows: never false for one that is. Values mark places of a bitmap of MARKS words, whose
+def _marks(rows: DataFrame, name: str) -> Callable[[str], Column]:
+    """Whether a value of a column may be among those of rows: never false for one that is. Values mark places of a bitmap of MARKS words, whose
     size is fixed; where values are as many as its bits, nearly all pass, which here means more work and nothing else."""
-    place = F.pmod(F.xxhash64(name), F.lit(64 * MARKS))
-    words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(64 * MARKS))
+
+    words = rows.select(place(name).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
     found = words.toPandas()
     dense = np.zeros(MARKS, np.int64)
     dense[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
     one = pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, MARKS], pa.int32()), pa.array(dense))})
     bits = rows.sparkSession.createDataFrame(one).scalar()
-    word = F.element_at(bits, (F.shiftright(place, 6) + 1).cast("int"))
-    return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
+
+    def marked(asked: str) -> Column:
+        word = F.element_at(bits, (F.shiftright(place(asked), 6) + 1).cast("int"))
+        return F.getbit(word, place(asked).bitwiseAND(63).cast("int")) == 1
+
+    return marked
+
+
+def _marked(rows: DataFrame, name: str) -> Column:
+    return _marks(rows, name)(name)
 
 
 def _renewed(graph: DataFrame, offers: DataFrame) -> DataFrame:
@@ -309,7 +356,7 @@ class NeighbourGraph:
         quantized = usable(vectors, key).mapInArrow(_quantize, "key string, model string, v binary")
         every = materialize(quantized.withColumn("id", F.monotonically_increasing_id()), "vectors")
         # Copies of a key are found by key and id, without moving the vectors.
-        repeated = every.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        repeated = materialize(every.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
         copies = materialize(every.select("key", "id").join(repeated, "key").filter("id > first").select("id"), "copies")
         self.nodes = every.join(copies, "id", "left_anti").select("key", "model", "v", "id")
         self.counts = counts = dict(self.nodes.groupBy("model").count().collect())
@@ -339,28 +386,45 @@ class NeighbourGraph:
 
     def _offers(self, last: DataFrame | None) -> DataFrame:
         """One round: neighbours of neighbours that belong into a list. After the first, only nodes at the end of a new edge introduce."""
-        edges = self.graph.select("id", "block", F.explode("neighbours").alias("n"))
-        # An edge makes either end a member of the other.
-        ends = F.array(F.struct("block", F.col("id").alias("node"), F.col("n.id").alias("id")), F.struct(F.col("n.block").alias("block"), F.col("n.id").alias("node"), F.col("id").alias("id")))
-        members = edges.select(F.explode(ends).alias("e")).select("e.*")
-        if last is not None:
-            members = members.filter(_marked(last.select(F.explode(F.concat(F.array("id"), F.col("neighbours.id"))).alias("node")), "node"))
-        hubs = edges.groupBy(F.col("n.id").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
-        # At most one row for HUB edges is broadcast.
-        members = members.join(F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB))), "node", "left")
-        mine = F.pmod(F.xxhash64("id"), F.col("n"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
-        members = members.select(F.explode(F.when(F.col("n").isNull(), F.array("block")).otherwise(pairs)).alias("block"), "node", "id")
+        edges = self.graph.select("id", "block", F.explode("neighbours").alias("n")).select("id", "block", F.col("n.id").alias("other"), F.col("n.block").alias("there"))
+        hubs = materialize(edges.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HUB), "hubs")
         none = F.array_repeat(F.lit(-1).cast("long"), K)
         filled = F.slice(F.concat(F.col("neighbours.id"), none), 1, K)
         least = F.when(F.size("neighbours") >= K, F.element_at("neighbours", -1).score).otherwise(F.lit(float("-inf")))
-        own = self.vectors.select("id", "v", F.col("block").alias("home")).join(self.graph.select("id", least.alias("least"), filled.alias("known")), "id", "left")
-        own = own.select("id", "home", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("known", none).alias("known"), "v")
-        travel = members.select("block", "id").distinct()
+        lists = self.graph.select("id", least.alias("least"), filled.alias("known"), F.col("neighbours.block").alias("near"))
+        # Each vector goes to the blocks of the nodes that it is a member of, and to its own as a node.
+        if last is None:
+            opens = F.lit(True)
+            sent = edges.filter("block != there").select(F.col("other").alias("id"), "block")
+        else:
+            changed = _marks(last.select(F.explode(F.concat(F.array("id"), F.col("neighbours.id"))).alias("node")), "node")
+            opens = changed("id")
+            introducing = self.graph.filter(opens)
+            sent = introducing.select("id", "block").unionByName(introducing.select(F.explode("neighbours").alias("n"), "block").select("n.id", "block"))
+            sent = sent.unionByName(edges.filter(changed("other")).select("id", F.col("there").alias("block")))
+        split = None
+        if not hubs.isEmpty():
+            # At most one row for HUB edges is broadcast.
+            parts = F.broadcast(hubs.withColumn("n", F.ceil(F.col("n") / HUB)))
+            split = edges.select(F.explode(F.array(F.struct(F.col("id").alias("node"), F.col("other").alias("id")), F.struct(F.col("other").alias("node"), "id"))).alias("e")).select("e.*").join(parts, "node")
+            split = split if last is None else split.filter(changed("node"))
+            mine = F.pmod(F.xxhash64("id"), F.col("n"))
+            pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.xxhash64("node", F.least(mine, o), F.greatest(mine, o)))
+            split = split.select(F.explode(pairs).alias("block"), "node", "id")
+            sent = sent.unionByName(split.select("id", "block"))
+        own = self.vectors.select("id", "v", F.col("block").alias("home"))
         if last is not None:
-            own = own.filter(_marked(travel, "id"))
-        vectors = travel.join(own, "id").select("block", F.lit(None).cast("long").alias("node"), "id", "home", "least", "known", "v")
-        rows = members.unionByName(vectors, allowMissingColumns=True)
+            own = own.filter(_marked(sent, "id"))
+        own = own.join(lists, "id", "left").join(sent.groupBy("id").agg(F.collect_set("block").alias("sent")), "id", "left" if last is None else "inner")
+        nowhere = F.array().cast("array<long>")
+        targets = F.coalesce("sent", nowhere) if last is not None else F.concat(F.array("home"), F.coalesce("near", nowhere), F.coalesce("sent", nowhere))
+        if split is not None:
+            own = own.join(parts.select(F.col("node").alias("id"), F.lit(False).alias("whole")), "id", "left")
+            opens = opens & F.coalesce("whole", F.lit(True))
+        own = own.withColumn("opens", opens).withColumn("block", F.explode(F.array_distinct(targets)))
+        known = F.coalesce("known", none).alias("known")
+        rows = own.select("block", F.lit(None).cast("long").alias("node"), "id", "home", (F.col("opens") & (F.col("block") == F.col("home"))).alias("opens"), F.coalesce("least", F.lit(float("-inf"))).alias("least"), known, "v")
+        rows = rows if split is None else rows.unionByName(split, allowMissingColumns=True)
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_introduce, NODES)
 
     def nearest(self, k: int = 5) -> DataFrame:
@@ -370,7 +434,8 @@ class NeighbourGraph:
 
     def pairs(self, k: int = 5) -> DataFrame:
         """(key_a, key_b): pairs in which at least one is among the k nearest of the other."""
-        top = self.nearest(k).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        # Rows meet by a already where they are made distinct, so that they need not move again for the key of a.
+        top = self.nearest(k).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).repartition("a").distinct()
         keys = self.nodes.select("id", "key")
         named = top.join(keys.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("y")), "b")
         return named.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))

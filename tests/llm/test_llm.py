@@ -334,6 +334,45 @@ def test_lists_without_offers_stay_where_they_are(spark):
     assert got == {1: [3, 4, 2], 2: [1, 3], 4: [1]}
 
 
+def test_later_rounds_introduce_at_changed_nodes_only(spark):
+    rng = np.random.default_rng(4)
+    n = 90
+    x = rng.normal(size=(n, 64))
+    v = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    s = np.round(knn._unit(v) @ knn._unit(v).T, 9)
+    lists = {i: sorted(map(int, rng.choice([j for j in range(n) if j != i], knn.K, replace=False)), key=lambda j: -s[i, j]) for i in range(n)}
+    graph = object.__new__(knn.NeighbourGraph)
+    graph.vectors = spark.createDataFrame([(i, bytearray(v[i].tobytes()), i % 4) for i in range(n)], "id long, v binary, block long")
+    graph.graph = spark.createDataFrame([(i, i % 4, [(float(s[i, j]), j, j % 4) for j in own]) for i, own in lists.items()], knn.NODES)
+    for last, changed in ((None, set(range(n))), ([(3, 3, [(0.0, 8, 0)])], {3, 8})):
+        best = {i: [] for i in range(n)}
+        for node in changed:
+            met = {*lists[node], *(i for i in range(n) if node in lists[i])}
+            for a in met:
+                best[a] += [b for b in met if b != a and b not in lists[a] and s[a, b] > s[a, lists[a][-1]]]
+        want = {(a, b) for a, bs in best.items() for b in sorted(set(bs), key=lambda b: -s[a, b])[: knn.K]}
+        offers = knn._merged(graph._offers(None if last is None else spark.createDataFrame(last, knn.NODES)))
+        assert want and {(r.id, e.id) for r in offers.collect() for e in r.neighbours} == want
+
+
+def test_similar_vectors_share_a_neighbourhood(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (np.repeat(rng.normal(size=(50, 64)), 40, 0) + 0.2 * rng.normal(size=(2000, 64))).astype(np.float32)
+    v = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    drawn = [type("Row", (), {"v": v[i].tobytes(), "id": i}) for i in rng.permutation(2000)[:800]]
+    monkeypatch.setattr(knn, "AROUND", 100)
+    monkeypatch.setattr(knn, "PIVOTS", 2)
+    p = knn.Pivots(drawn, 2000)
+    batch = knn.pa.RecordBatch.from_arrays([knn.pa.array(map(str, range(2000))), knn.pa.array(["m"] * 2000), knn._packed(v), knn.pa.array(range(2000))], ["key", "model", "v", "id"])
+    block = np.concatenate([b.column(2).to_numpy() for b in knn._assign([batch], {"m": p}, False)])
+    sizes = np.unique(block, return_counts=True)[1]
+    assert len(sizes) >= 10 and sizes.max() <= 500
+    u = knn._unit(v)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert (block[np.argsort(-s, axis=1)[:, :5]] == block[:, None]).mean() > 0.6  # by chance about 0.1
+
+
 def test_large_cells_are_cut_before_they_are_shuffled(monkeypatch):
     rng = np.random.default_rng(2)
     x = (np.ones(64) + 0.4 * rng.normal(size=(3000, 64))).astype(np.float32)
