@@ -34,13 +34,16 @@ WORDS = {
     "fr": "le la les des et du une pour dans est a que au l d",
     "es": "el la los las y de del que por en una se para lo",
 }
-_SHARED: dict[str, list[str]] = {}
-for _lang, _list in WORDS.items():
+# By word, a vote for each of its languages in a field of its own, so that votes are added in one sum.
+_FIELD = 40
+_VOTES: dict[str, int] = {}
+for _place, _list in enumerate(WORDS.values()):
     for _w in _list.split():
-        _SHARED.setdefault(_w, []).append(_lang)
+        _VOTES[_w] = _VOTES.get(_w, 0) + (1 << _FIELD * _place)
 
 # Patterns begin with the characters that they look for, so that the search skips all others.
 BLANK = re.compile(r"(?:\r\n|\n|\r)[ \t　\xa0]*(?:\r\n|\n|\r)\s*")
+BLANK_LF = re.compile(r"\n[ \t　\xa0]*\n\s*")  # the same where there is no CR
 ITEM = re.compile(r"^[ \t　]*(?:[-*•]|\d+\.)[ \t　]+(?=\S)", re.M)
 ITEM_AT = re.compile(ITEM.pattern[1:])
 LOWER = re.compile(r"[a-zß-öø-ÿа-яё]")
@@ -48,6 +51,7 @@ TOKEN = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я](?<!\w.)[^\W\d_]*(?:[.'’-][^\W\d_]+)*")
 NUMBER = re.compile(r"\d\d*(?:[.,]\d+)*")
 LETTERS_RUN = re.compile(r"[^\W\d_]+")
+SPACED = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
 PERIOD = re.compile(r"\.(?<!\.\.)(?![\w.])[\s\"”’»)\]]*([^\W\d_]*)")
 OPEN = re.compile(r"[!?][!?]*[\"”’»)]*\s+[\"“„«¿¡(]*")
 MARK = re.compile(r"[.!?…。！？｡．।॥](?:(?<=[.!?…])[.!?…]*|[。！？｡．।॥]*[!?！？。]*)")
@@ -58,29 +62,43 @@ MARKED = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSES) + '"') + "]
 BRACKETS = frozenset("（(［[【")
 THAI = "[ก-๎]"
 THAI_GAP = re.compile(f"(?<={THAI})[  　\r\n\t]+(?={THAI})")
-SCRIPTS = (("th", re.compile(THAI)), ("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[一-鿿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")))
+ANY_SCRIPT = re.compile("[ก-๎ぁ-ヿ一-鿿ऀ-ॿЀ-ӿ]")
+SCRIPTS = tuple((lang, re.compile(f"[{letters}]+")) for lang, letters in (("th", THAI[1:-1]), ("ja", "ぁ-ヿ"), ("zh", "一-鿿"), ("hi", "ऀ-ॿ"), ("ru", "Ѐ-ӿ")))
 
 
-def language(block: str, words=None) -> str:
-    """The block's language: its script where another than Latin prevails, else by function words; 'en' where nothing tells."""
-    if not block.isascii():
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters; where all is ASCII, whatever else becomes a space."""
+    return text.translate(SPACED).split() if text.isascii() else LETTERS_RUN.findall(text)
+
+
+def script(block: str) -> str | None:
+    """The language of the script that prevails in the block, where it is another than Latin."""
+    if not block.isascii() and ANY_SCRIPT.search(block):
         n = len(block)
         for lang, p in SCRIPTS:
-            if p.search(block) and len(p.findall(block)) > (0.1 if lang == "ja" else 0.25) * n:
+            if p.search(block) and sum(map(len, p.findall(block))) > (0.1 if lang == "ja" else 0.25) * n:
                 return lang
-    votes = dict.fromkeys(WORDS, 0)
-    for w in filter(_SHARED.__contains__, block.lower().split() if words is None else words):
-        for lang in _SHARED[w]:
-            votes[lang] += 1
-    best = max(votes, key=votes.__getitem__)
-    return best if votes[best] else "en"
+    return None
+
+
+def language(block: str) -> str:
+    """The block's language: its script where another than Latin prevails, else by function words; 'en' where nothing tells."""
+    return script(block) or _voted(block.lower().split())
+
+
+def _voted(words: list[str]) -> str:
+    votes = sum(map(_VOTES.__getitem__, filter(_VOTES.__contains__, words)))
+    if not votes >> _FIELD:
+        return "en"
+    each = [votes >> _FIELD * k & (1 << _FIELD) - 1 for k in range(len(WORDS))]
+    return list(WORDS)[each.index(max(each))]
 
 
 def _segments(text: str):
     """(start, end, body) of each block and list item; body is where the text after a list marker begins."""
     at = 0
     blocks = []
-    for m in BLANK.finditer(text):
+    for m in (BLANK if "\r" in text else BLANK_LF).finditer(text):
         blocks.append((at, m.start()))
         at = m.end()
     blocks.append((at, len(text)))
@@ -108,16 +126,20 @@ def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
             continue
         for s, e, body in _segments(text):
             part = text[body:e]
-            every = LETTERS_RUN.findall(part.lower())
-            lang = language(part, every)
-            if not every or lang in ("zh", "ja", "th"):
+            lang = script(part)
+            if lang in ("zh", "ja", "th"):
+                continue
+            every = letter_runs(part.lower())
+            if not every:
                 continue
+            lang = lang or _voted(every)
             words.setdefault(lang, Counter()).update(every)
             words[lang].update(CAPITAL.findall(part))
             found["n", lang, "", ""] += len(every)
             found["d", lang, "", ""] += len(NUMBER.findall(part))
             starts = [TOKEN.match(part, len(part) - len(part.lstrip(" \t\r\n\"“„«¿¡(")))]
-            starts += [TOKEN.match(part, k.end()) for k in OPEN.finditer(part)]
+            if "!" in part or "?" in part:
+                starts += [TOKEN.match(part, k.end()) for k in OPEN.finditer(part)]
             for m in starts:
                 if m:
                     if part[m.end() : m.end() + 1] != ".":
@@ -125,11 +147,17 @@ def count_evidence(texts, found: Counter, words: dict[str, Counter]) -> None:
                     found["t", lang, "", ""] += 1
             for m in PERIOD.finditer(part):
                 i = m.start()
-                for a in (max(0, i - 40), 0):
-                    k = max(part.rfind(" ", a, i), part.rfind("\n", a, i), part.rfind("(", a, i), part.rfind("\xa0", a, i))
-                    if k >= 0:
-                        break
-                word = part[k + 1 : i].lower().lstrip("\"“„«¿¡'’")
+                near = part[i - 40 : i] if i > 40 else part[:i]
+                word = near[near.rfind(" ") + 1 :]
+                if len(word) > LETTERS + 4 and len(word) < 40 and word.isalpha():
+                    continue  # neither a short word nor a number
+                if not word.isalpha():
+                    for a in (max(0, i - 40), 0):
+                        k = max(part.rfind(" ", a, i), part.rfind("\n", a, i), part.rfind("(", a, i), part.rfind("\xa0", a, i))
+                        if k >= 0:
+                            break
+                    word = part[k + 1 : i].lstrip("\"“„«¿¡'’")
+                word = word.lower()
                 if word and word[-1] != "." and len(word) <= LETTERS + 4 and word.replace(".", "").isalpha():
                     n = m.group(1)
                     if not n:
@@ -260,7 +288,7 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
     """Ends of the sentences inside text[a:b], without b itself."""
     part = text[body:b]
     plain = part.isascii()
-    if not plain and THAI_GAP.search(part):
+    if not plain and SCRIPTS[0][1].search(part) and THAI_GAP.search(part):
         gaps = {body + m.start(): body + m.end() for m in THAI_GAP.finditer(part)}
     else:
         gaps = {}
@@ -268,10 +296,7 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
     if not marks and not gaps:
         return []
     spans = _protected(text, body, b) if MARKED.search(text, body, b) else []
-    lang = language(part)
-    abbreviations, starters = model.abbreviations.get(lang, frozenset()), model.starters.get(lang, frozenset())
-    collocates = model.collocates.get(lang, frozenset())
-    english = model.abbreviations.get("en", frozenset()) if lang in ("zh", "ja", "th", "hi") else frozenset()
+    lang = None  # not looked for where the only mark ends the segment
     ends: list[int] = []
     last, k = body, 0
     for g, e in gaps.items():
@@ -299,17 +324,25 @@ def _split_segment(text: str, a: int, b: int, body: int, model: Model) -> list[i
             break
         if quoted is None and n > q and text[n].islower():
             continue
-        if _is_end(text, p, m.group(), q, n, b, quoted, last, lang, abbreviations, starters, collocates, english):
+        if lang is None:
+            lang = language(part)
+            abbreviations, starters = model.abbreviations.get(lang, frozenset()), model.starters.get(lang, frozenset())
+            collocates = model.collocates.get(lang, frozenset())
+            english = model.abbreviations.get("en", frozenset()) if lang in ("zh", "ja", "th", "hi") else frozenset()
+        if m.group() == "." and quoted is None and text[n].isalnum():
+            good = _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, english, n > q, False)
+        else:
+            good = _is_end(text, p, m.group(), q, n, b, quoted, last, lang, abbreviations, starters, collocates, english)
+        if good:
             ends.append(q)
             last = q
     return sorted(set(ends))
 
 
 def _is_end(text, p, mark, q, n, b, quoted, last, lang, abbreviations, starters, collocates, english) -> bool:
+    """Whether a sentence ends at a mark other than a period before a letter or digit, which is for _dot_ends()."""
     c = text[n]
     gap = n > q
-    if mark == "." and quoted is None and c.isalnum():
-        return _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, english, gap, False)
     opening = c in "\"“„«‹「『（([【¿¡‘《"
     inner = c
     if opening:
@@ -374,6 +407,8 @@ def _dot_ends(text, p, n, b, last, lang, abbreviations, starters, collocates, en
             return follows and not known and not initial and len(word) > 1
         return inner.isalpha() and not known and word.isalpha() and word.islower() and len(word) > 2
     if inner.isupper():
+        if not known and not initial and word.isalpha():
+            return True
         nxt = TOKEN.match(text, n)
         starts = bool(nxt) and nxt.group() in starters
         if known or initial:

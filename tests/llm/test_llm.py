@@ -556,3 +556,19 @@ def test_patterns_begin_with_what_they_look_for():
     assert sentences.CAPITAL.findall("Start-up xY 3A _B L’Hôtel É") == ["Start-up", "L’Hôtel", "É"]
     assert [m.group() for m in sentences.MARK.finditer("a?! b... c。」？ d।!")] == ["?!", "...", "。", "？", "।!"]
     assert [(m.start(), m.group(1)) for m in sentences.PERIOD.finditer("e.g. x.. 3.5 end.) Now")] == [(3, "x"), (16, "Now")]
+
+
+def test_work_is_done_only_where_it_tells(monkeypatch):
+    asked = []
+    language, runs = sentences.language, sentences.letter_runs
+    monkeypatch.setattr(sentences, "language", lambda x: asked.append(x) or language(x))
+    monkeypatch.setattr(sentences, "letter_runs", lambda x: asked.append(x) or runs(x))
+    assert sentences.units("One mark, at the end.", MODEL) == [(0, 21)] and not asked
+    sentences.count_evidence(["これは文です。そして次の文です。"], sentences.Counter(), {})
+    assert not asked  # a script without words needs none
+    every = "".join(map(chr, range(0x3000)))
+    assert runs(every) == re.findall(r"[^\W\d_]+", every) and runs(every[:128]) == re.findall(r"[^\W\d_]+", every[:128])
+    for text, lang in (("", "en"), ("der Hund", "de"), ("la nuit des rois et la mer", "fr"), ("en la casa de los", "es"), ("a la de", "fr"), ("x z", "en")):
+        votes = {k: sum(v.split().count(w) for w in text.split()) for k, v in sentences.WORDS.items()}
+        assert language(text) == lang == max(votes, key=votes.__getitem__)
+    assert [language(x) for x in ("Это дом", "ได้ ok", "漢字です", "漢字 abc")] == ["ru", "th", "ja", "zh"]
