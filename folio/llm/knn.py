@@ -3,7 +3,8 @@
 Vectors are kept as 64 signed 16-bit numbers, each scaled to its largest component, and compared at unit length. The graph starts
 from cells: each vector goes to the cells of its CELLS nearest pivots, pivots being a bounded sample, and is compared inside them;
 a cell that will be too large for a task is cut by hyperplanes through its pivot before it is shuffled, and one larger than LEAF
-is halved at random hyperplanes in its task. Then rounds of NN-descent run as Spark joins: every node gathers the vectors of its
+is halved at random hyperplanes in its task. Cells whose vectors are often the same go to one task, to which a vector travels once
+and which sends one list for it. Then rounds of NN-descent run as Spark joins: every node gathers the vectors of its
 neighbours and of the vectors it is a neighbour of, and introduces them to each other. Nodes of one neighbourhood are gathered
 together, so that a vector travels once to a neighbourhood and not once to each node; it brings its list, from which the task reads
 who is a member of which node. A round ends with the K best of what each vector had and was offered. Rounds stop when under DELTA of all entries are offered a change.
@@ -22,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.session import bounded_sample, materialize, release
+from folio.session import bounded_sample, materialize, parallelism, release
 
 DIM, K, CELLS, HUB = 64, 5, 3, 1_000
 ROUNDS, DELTA = 12, 0.001
@@ -32,7 +33,10 @@ CELL_ROWS, PIVOTS, DRAWN, CELL_MOST, LEAF = 1_000, 2_048, 16_384, 50_000, 4_500
 #: Words of the bitmap that tells which nodes have a new edge, one megabyte.
 MARKS = 1 << 17
 #: Nodes of one neighbourhood that are gathered together, about.
-AROUND = 2_000
+AROUND = 24_000
+#: Groups of cells that there are at least if the session has so many tasks, vectors of a group above that, about, and lists of a task
+#: that are merged before they leave it, about.
+GROUPS, GROUP_ROWS, HELD = 64, 200_000, 200_000
 #: Rows at which the whole neighbourhoods among them are solved.
 GATHERED = 20_000
 SCALE = 32_767
@@ -71,9 +75,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Pivots:
-    """Of one model: unit vectors, their ids, and how many hyperplanes cut the cell of each."""
+    """Of one model: unit vectors, their ids, how many hyperplanes cut the cell of each, and the group and the neighbourhood it belongs to.
 
-    def __init__(self, drawn: list, n: int) -> None:
+    Groups and neighbourhoods are numbered from first_group and first_block; without `groups` each pivot is one of its own.
+    """
+
+    def __init__(self, drawn: list, n: int, groups: int | None = None, first_group: int = 0, first_block: int = 0) -> None:
         x = _unit(np.frombuffer(b"".join(bytes(r.v) for r in drawn), "<i2").reshape(-1, DIM)).astype(np.float32)
         want = int(min(PIVOTS, max(1, n // CELL_ROWS)))
         self.x = x[:want]
@@ -88,9 +95,28 @@ class Pivots:
         for k in np.flatnonzero(parts > 1):
             mine = x[near[:, 0] == k]
             own = np.bincount(np.argmax(mine @ mine[: parts[k]].T, axis=1), minlength=min(parts[k], len(mine)))
-            many = np.maximum(1, np.ceil(own / len(x) * n / (4 * AROUND))).astype(np.int64)
+            many = np.maximum(1, np.ceil(own / len(x) * n / (2 * AROUND))).astype(np.int64)
             self.centres[int(k)] = (mine[: parts[k]], np.cumsum(many) - many, many)
         self.bits = np.clip(np.ceil(np.log2(np.maximum(share * n, 1) / CELL_MOST)), 0, _PLANES.shape[1]).astype(np.int64)
+        groups = len(self.x) if groups is None else groups
+        links = np.zeros((len(self.x), len(self.x)), np.float32)
+        for a, b in ((a, b) for a in range(near.shape[1]) for b in range(near.shape[1]) if a != b):
+            np.add.at(links, (near[:, a], near[:, b]), 1)
+        #: By pivot, -1 where its cell alone has the rows of a group; the parts of such a cell go their own ways.
+        self.group = np.full(len(self.x), -1, np.int64)
+        small = np.flatnonzero(share * groups <= near.shape[1])
+        self.group[small] = first_group + _grouped(links[np.ix_(small, small)], share[small], groups)
+        self.groups = groups
+        #: By pivot, its (first) neighbourhood.
+        self.block = np.zeros(len(self.x), np.int64)
+        whole = np.flatnonzero(parts <= 1)
+        own = np.bincount(near[:, 0], minlength=len(self.x))[whole] / len(x)
+        wanted = int(max(groups, np.ceil(own.sum() * n / AROUND)))
+        self.block[whole] = first_block + _grouped(links[np.ix_(whole, whole)], own, wanted)
+        self.blocks = int(min(wanted, len(whole)))
+        for k, (_, _, many) in self.centres.items():
+            self.block[k] = first_block + self.blocks
+            self.blocks += int(many.sum())
 
     def nearest(self, x: np.ndarray, most: int = CELLS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest pivots (or others) of each vector, the very nearest first, and their scores."""
@@ -109,8 +135,7 @@ class Pivots:
         for rows in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
             if len(rows) and (c := self.centres.get(int(first[rows[0]]))):
                 near = np.argmax(x[rows] @ c[0].T, axis=1)
-                chance = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                out[rows] = c[1][near] + chance.astype(np.int64) % c[2][near]
+                out[rows] = c[1][near] + _chance(ids[rows]) % c[2][near]
         return out
 
     def parts(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -124,6 +149,28 @@ class Pivots:
         return out
 
 
+def _chance(x: np.ndarray) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
+def _grouped(links: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each of some things, from 0: groups of about the same weight, each grown along the strongest links for its weight."""
+    if groups >= len(weight):
+        return np.arange(len(weight))
+    out = np.full(len(weight), -1, np.int64)
+    free = np.ones(len(weight), bool)
+    scale = weight + 1 / (1 + len(weight)) ** 2
+    for g in range(groups):
+        target, got, pull = weight[free].sum() / (groups - g), 0.0, links[:, ~free].sum(axis=1)
+        while free.any():
+            k = int(np.argmax(np.where(free, pull / scale, -1)))
+            if (out == g).any() and got + weight[k] / 2 > target and g < groups - 1:
+                break
+            pull = pull + links[k] if (out == g).any() else links[k].copy()
+            out[k], free[k], got = g, False, got + weight[k]
+    return out
+
+
 def _cell_ids(model: str, near: np.ndarray, parts: np.ndarray) -> np.ndarray:
     import zlib
 
@@ -131,7 +178,8 @@ def _cell_ids(model: str, near: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 
 def _assign(batches, pivots: dict[str, Pivots], cells: bool):
-    """Of (key, model, v, id): (id, v, block), block being the vector's neighbourhood; with cells one row (cell, id, block, v) for each of its cells."""
+    """Of (key, model, v, id): (id, v, block), block being the vector's neighbourhood; with cells one row (group, id, block, cells, v) for each
+    group that cells of its belong to."""
     for batch in batches:
         if not len(batch):
             continue
@@ -145,14 +193,19 @@ def _assign(batches, pivots: dict[str, Pivots], cells: bool):
                 rows = mine[at : at + 4096]
                 near, _ = p.nearest(x[rows], CELLS if cells else 1)
                 first = near[:, 0]
-                block[rows] = _cell_ids(m, first, p.around(x[rows], first, ids[rows]))
+                block[rows] = p.block[first] + p.around(x[rows], first, ids[rows])
                 if cells:
-                    out.append((rows, near, _cell_ids(m, near, p.parts(x[rows], near))))
+                    cell = _cell_ids(m, near, p.parts(x[rows], near))
+                    out.append((rows, cell, np.where(p.group[near] < 0, _chance(cell), p.group[near])))
         if not cells:
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(block)], ["id", "v", "block"])
-        for rows, near, cell in out:
-            which = np.repeat(rows, near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(ids[which]), pa.array(block[which]), batch.column(2).take(pa.array(which))], ["cell", "id", "block", "v"])
+        for rows, cell, group in out:
+            order = np.argsort(group, axis=1, kind="stable")
+            cell, group = np.take_along_axis(cell, order, axis=1), np.take_along_axis(group, order, axis=1)
+            starts = np.flatnonzero(np.diff(group, axis=1, prepend=-1))
+            which = rows[starts // group.shape[1]]
+            mine = pa.ListArray.from_arrays(pa.array(np.r_[starts, cell.size].astype(np.int32)), pa.array(cell.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(group.ravel()[starts]), pa.array(ids[which]), pa.array(block[which]), mine, batch.column(2).take(pa.array(which))], ["group", "id", "block", "cells", "v"])
 
 
 def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
@@ -169,8 +222,8 @@ def _halves(x: np.ndarray, rng) -> list[np.ndarray]:
     return done
 
 
-def _best(ids: np.ndarray, block: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """The K nearest of each vector among these; x are unit vectors."""
+def _best(ids: np.ndarray, block: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries (id, block, score, other, its block): the K nearest of each vector among these; x are unit vectors."""
     n = len(ids)
     k = min(K, n - 1)
     f = x.astype(np.float32)
@@ -179,8 +232,8 @@ def _best(ids: np.ndarray, block: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         s = f[at : at + 1024] @ f.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         lists[at : at + 1024] = np.argpartition(s, n - k, axis=1)[:, n - k :] if k < n - 1 else np.argsort(s, axis=1)[:, 1:]
-    flat = lists.ravel()
-    return _lists(ids, block, np.full(n, k), _score(x[np.repeat(np.arange(n), k)], x[flat]), ids[flat], block[flat])
+    one, flat = np.repeat(np.arange(n), k), lists.ravel()
+    return ids[one], block[one], _score(x[one], x[flat]), ids[flat], block[flat]
 
 
 def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,17 +246,36 @@ def _lists(ids, block, sizes, score, other, other_block) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(block), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), entries)], ["id", "block", "neighbours"])
 
 
+def _strongest(ids, block, score, other, other_block) -> pa.RecordBatch:
+    """A list for each id: the K best of its entries, which may repeat."""
+    by = np.lexsort((-other, -score, ids))
+    a, b = ids[by], other[by]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    by, a = by[fresh], a[fresh]
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    sizes = np.diff(np.r_[first, len(a)])
+    best = by[np.arange(len(a)) - np.repeat(first, sizes) < K]
+    return _lists(a[first], block[by[first]], np.minimum(sizes, K), score[best], other[best], other_block[best])
+
+
 def _cells(batches):
-    """Neighbour lists inside the cells of a partition sorted by cell."""
-    rng = np.random.default_rng(7)
+    """Neighbour lists inside the cells of a partition sorted by cell; those of a vector are merged, about HELD lists at a time."""
     name, parts = None, []
+    held: list[tuple[np.ndarray, ...]] = []
 
     def solve():
         ids, block, x = (np.concatenate(p) for p in zip(*parts))
         x = _unit(x)
-        for rows in _halves(x.astype(np.float32), rng) if len(ids) > LEAF else [np.arange(len(ids))]:
+        for rows in _halves(x.astype(np.float32), np.random.default_rng(7)) if len(ids) > LEAF else [np.arange(len(ids))]:
             if len(rows) > 1:
-                yield _best(ids[rows], block[rows], x[rows])
+                held.append(_best(ids[rows], block[rows], x[rows]))
+        if sum(len(h[0]) for h in held) >= K * HELD:
+            yield from merged()
+
+    def merged():
+        if held:
+            yield _strongest(*(np.concatenate(h) for h in zip(*held)))
+            held.clear()
 
     for batch in batches:
         if not len(batch):
@@ -218,6 +290,7 @@ def _cells(batches):
             parts.append((ids[a:b], block[a:b], x[a:b]))
     if parts:
         yield from solve()
+    yield from merged()
 
 
 def _introduce(batches):
@@ -287,14 +360,7 @@ def _introduce(batches):
         a, b, s = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all)
         if not len(a):
             return
-        by = np.lexsort((-own[b], -s, own[a]))
-        a, b, s = a[by], b[by], s[by]
-        fresh = np.r_[True, (own[a[1:]] != own[a[:-1]]) | (own[b[1:]] != own[b[:-1]])]
-        a, b, s = a[fresh], b[fresh], s[fresh]
-        first = np.flatnonzero(np.r_[True, own[a[1:]] != own[a[:-1]]])
-        sizes = np.diff(np.r_[first, len(a)])
-        best = np.arange(len(a)) - np.repeat(first, sizes) < K
-        yield _lists(own[a[first]], home[a[first]], np.minimum(sizes, K), s[best], own[b[best]], home[b[best]])
+        yield _strongest(own[a], home[a], s, own[b], home[b])
 
     for batch in batches:
         if not len(batch):
@@ -361,13 +427,19 @@ class NeighbourGraph:
         self.nodes = every.join(copies, "id", "left_anti").select("key", "model", "v", "id")
         self.counts = counts = dict(self.nodes.groupBy("model").count().collect())
         self.pivots = pivots = {}
+        total, tasks = sum(counts.values()), parallelism(spark)
+        wanted = min(tasks, max(GROUPS, -(-total // GROUP_ROWS)))
+        group = block = 0
         for model, n in counts.items():
-            pivots[model] = Pivots(bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v", "id"), ["key"], DRAWN, n), n)
+            drawn = bounded_sample(self.nodes.filter(F.col("model") == model).select("key", "v", "id"), ["key"], DRAWN, n)
+            pivots[model] = p = Pivots(drawn, n, max(1, round(wanted * n / total)), group, block)
+            group, block = group + p.groups, block + p.blocks
         self.vectors = self.nodes.mapInArrow(lambda it: _assign(it, pivots, False), "id long, v binary, block long")
-        cells = self.nodes.mapInArrow(lambda it: _assign(it, pivots, True), "cell long, id long, block long, v binary")
-        lists = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, NODES)
+        grouped = self.nodes.mapInArrow(lambda it: _assign(it, pivots, True), "group long, id long, block long, cells array<long>, v binary")
+        # Groups are numbered and of about one size, so that they are dealt out and not hashed.
+        cells = grouped.repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int")).select("group", F.explode("cells").alias("cell"), "id", "block", "v")
+        lists = cells.sortWithinPartitions("group", "cell", "id").select("cell", "id", "block", "v").mapInArrow(_cells, NODES)
         self.graph = materialize(_merged(lists), "graph")
-        total = sum(counts.values())
         self.changed: list[int] = []
         offers = None
         for _ in range(rounds):
@@ -425,7 +497,10 @@ class NeighbourGraph:
         known = F.coalesce("known", none).alias("known")
         rows = own.select("block", F.lit(None).cast("long").alias("node"), "id", "home", (F.col("opens") & (F.col("block") == F.col("home"))).alias("opens"), F.coalesce("least", F.lit(float("-inf"))).alias("least"), known, "v")
         rows = rows if split is None else rows.unionByName(split, allowMissingColumns=True)
-        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_introduce, NODES)
+        tasks = parallelism(rows.sparkSession)
+        # All vectors in the first round: neighbourhoods, which are numbered, are dealt out and not hashed.
+        met = rows.repartition("block") if last is not None else rows.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int"))
+        return met.sortWithinPartitions("block").mapInArrow(_introduce, NODES)
 
     def nearest(self, k: int = 5) -> DataFrame:
         """(id, other, rank, cosine): the k nearest of each vector."""

@@ -388,6 +388,60 @@ def test_large_cells_are_cut_before_they_are_shuffled(monkeypatch):
     assert len(np.unique(cells)) > 2**4
 
 
+def drawn_vectors(n, spread, seed):
+    rng = np.random.default_rng(seed)
+    x = (np.repeat(rng.normal(size=(n // 100, 64)), 100, 0) + spread * rng.normal(size=(n, 64))).astype(np.float32)
+    v = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * knn.SCALE).astype("<i2")
+    batch = knn.pa.RecordBatch.from_arrays([knn.pa.array(map(str, range(n))), knn.pa.array(["m"] * n), knn._packed(v), knn.pa.array(range(n))], ["key", "model", "v", "id"])
+    return v, batch, [type("Row", (), {"v": v[i].tobytes(), "id": i}) for i in rng.permutation(n)]
+
+
+def test_a_vector_travels_once_to_a_group_of_cells(monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 50)
+    v, batch, drawn = drawn_vectors(4000, 0.3, 6)
+    p = knn.Pivots(drawn, 4000, 6, first_group=10)
+    rows = [r for b in knn._assign([batch], {"m": p}, True) for r in b.to_pylist()]
+    near, _ = p.nearest(knn._unit(v).astype(np.float32))
+    cells = knn._cell_ids("m", near, p.parts(knn._unit(v).astype(np.float32), near))
+    assert sorted((r["id"], c) for r in rows for c in r["cells"]) == sorted((i, c) for i, own in enumerate(cells.tolist()) for c in own)
+    assert len({(r["id"], r["group"]) for r in rows}) == len(rows) < 2 * 4000
+    sizes = np.unique([r["group"] for r in rows], return_counts=True)[1]
+    assert {r["group"] for r in rows} <= set(range(10, 16)) and sizes.max() < 2 * sizes.mean()
+    # No two groups share a cell, so that all vectors of a cell meet.
+    assert len({(r["group"], c) for r in rows for c in r["cells"]}) == len({c for r in rows for c in r["cells"]})
+
+
+def test_parts_of_a_cell_as_large_as_a_group_go_their_own_ways(monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 500)
+    monkeypatch.setattr(knn, "CELL_MOST", 100)
+    _, batch, drawn = drawn_vectors(4000, 0.3, 6)
+    p = knn.Pivots(drawn, 4000, 8)
+    rows = [r for b in knn._assign([batch], {"m": p}, True) for r in b.to_pylist()]
+    alone = p.group < 0
+    assert alone.any() and len({r["group"] for r in rows}) > 2 * len(p.x)
+
+
+def test_a_task_sends_one_list_for_a_vector(monkeypatch):
+    v, batch, _ = drawn_vectors(300, 0.3, 9)
+    unit = knn._unit(v)
+    cells = [(1, np.arange(0, 200)), (2, np.arange(100, 300)), (3, np.arange(150, 300))]
+    rows = knn.pa.table({"cell": np.concatenate([np.full(len(i), c) for c, i in cells]), "id": np.concatenate([i for _, i in cells]), "block": np.concatenate([i % 7 for _, i in cells]), "v": batch.column(2).take(knn.pa.array(np.concatenate([i for _, i in cells])))})
+    want = {}
+    for i in range(300):
+        met = np.unique(np.concatenate([ids for _, ids in cells if i in ids]))
+        s = knn._score(np.repeat(unit[i : i + 1], len(met), 0), unit[met])
+        want[i] = [(x, j, j % 7) for x, j in sorted(((x, j) for x, j in zip(s.tolist(), met.tolist()) if j != i), reverse=True)[: knn.K]]
+    for most, lists in ((200_000, 300), (150, None)):
+        monkeypatch.setattr(knn, "HELD", most)
+        got = [r for b in knn._cells(rows.to_batches(max_chunksize=70)) for r in b.to_pylist()]
+        assert (len(got) == lists) if lists else len(got) > 300  # few are held: more lists, none lost
+        best = {}
+        for r in got:
+            assert r["block"] == r["id"] % 7
+            best.setdefault(r["id"], set()).update((n["score"], n["id"], n["block"]) for n in r["neighbours"])
+        assert {i: sorted(x, reverse=True)[: knn.K] for i, x in best.items()} == want
+
+
 # ── 7: scans ─────────────────────────────────────────────────────────────────────────────
 
 
