@@ -18,6 +18,19 @@ def line_repeats(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.withColumn("runaway", (F.col("repeats") >= 8) & (F.col("repeats") >= 0.25 * F.col("lines")))
 
 
+def long_lines(text: Column) -> Column:
+    """The lines of line_repeats(), sorted: a column to be bound before runaway() reads it."""
+    flat = F.regexp_replace(text, r"[ \t\x0B\f\r|:\-]+", " ")
+    return F.sort_array(F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10))
+
+
+def runaway(lines: Column) -> Column:
+    """line_repeats()' runaway of long_lines(): equal lines stand side by side, so the first and the last of enough are the same."""
+    n = F.size(lines)
+    enough = F.greatest(F.lit(8), F.ceil(n / 4).cast("int"))
+    return F.when(n >= enough, F.exists(F.zip_with(F.slice(lines, F.lit(1), n - enough + 1), F.slice(lines, enough, n - enough + 1), lambda a, b: a == b), lambda same: same)).otherwise(False)
+
+
 def phrase_repeats(rows: DataFrame, key: str, words, text: str = "text") -> DataFrame:
     """(key, grams, repeats, runaway) over phrases of four words."""
     ws = rows.select(key, words(F.col(text)).alias("ws")).filter(F.size("ws") >= 4)

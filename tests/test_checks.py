@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from folio.operators import gates as G, keeping as K, runs as U, validators as V
-from folio.plans.tables import ROLES, cells
+from folio.operators import gates as G, keeping as K, pages as P, runs as U, validators as V
+from folio.plans import suite
+from folio.plans.tables import ROLES, cells, column_types, table_shape
 
 TABLES = "doc string, page int, table_no int, rows array<array<string>>, n_header int, kind string, number string"
 
@@ -43,6 +44,36 @@ def test_stacked_headers_and_layout(spark):
     assert V.findings(none, ROLES).count() == 0
 
 
+def test_page_flags_are_those_of_the_validators(spark):
+    long = "1234567890123456789012345678"
+    odd = [
+        LEDGER, [LEDGER[0], *reversed(LEDGER[1:])], [*LEDGER[:3], None, [], *LEDGER[3:]], [["No", "Debit", "Balance"], *([str(k), "5.00", "6.00"] for k in range(4))], [["No", "Debit", "Balance"], *([str(k), f"{k}.00", ""] for k in range(5))],
+        [["Ref", "Amount"], *(["7.00", f"{k}.00 Dr"] for k in range(5))], [["a", "b", "c"], *([f"{k}.00"] * 3 for k in range(4))], [["Item", "Amount"], ["a", "1.00"], ["b", "2.00"], ["Total", "3.50"]], [["Item", "Amount"], ["a", "1.00"], ["b", "2.00"], ["Total", "3.50"], ["c", "1"], ["d", "1"], ["TOTAL:", "2"]],
+        [["n"], ["1"], ["2"], ["3"], ["4"], ["1O"]], [["", None], [" "], ["", "x"], [None, None]], [["Item", "Amount"], ["a", long], ["b", "0.00000000015"], ["c", "0.99999999999"], ["Total", long]], [["AMOUNT", "BAL"], ["withdrawn", "1 May 2023"], ["(1.00)", "₹1,23,456.00-"]], None, [], [None], [[]], [["x"]],
+    ]
+    tables = spark.createDataFrame([("d", k, 0, t, n, "pipe") for k, (t, n) in enumerate((t, n) for t in odd for n in (1, None, 0, 3))] + [("d", 0, 0, LEDGER, 1, "pipe")], "doc string, page int, table_no int, rows array<array<string>>, n_header int, kind string")
+    shape = table_shape(tables).select("page", "ragged", ((F.col("n_rows") >= 4) & (F.col("empty_share") > 0.6)).alias("blank_table"))
+    types = column_types(tables).groupBy("page").agg(F.bool_or("suspect").alias("column_types"))
+    want = shape.join(types, "page", "left").join(V.findings(V.numbered(cells(tables)), ROLES), "page", "left")
+    of = lambda df: {r.page: tuple(bool(r[f]) for f in V.FLAGS) for r in df.select("page", *V.FLAGS).collect()}
+    got = of(V.page_flags(tables, ROLES))
+    assert got == of(want)
+    assert all(any(flags[k] for flags in got.values()) for k in range(len(V.FLAGS)))
+
+
+def test_runaway_is_that_of_line_repeats(spark):
+    texts = [None, "", "short\n" * 50, *("the same line | again\n" * k + "".join(f"another line {i}\n" for i in range(n)) for k in (7, 8, 9) for n in (0, 24, 25, 28, 29))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id for r in P.line_repeats(rows, "id").filter("runaway").collect()}
+    assert {r.id for r in rows.withColumn("lines", P.long_lines(F.col("text"))).filter(P.runaway(F.col("lines"))).collect()} == want != set()
+
+
+def test_gate_full_has_few_shuffles(spark, sf):
+    plan = suite.queries()["gate_full"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # The driver holds the state of every shuffle of a plan: there were 49.
+    assert 0 < plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_gate_names_each_check(spark):
     good = "The regional manager approved the annual budget review of the building service before the night shift began in May. " * 3
     base = {"kind": "scan", "ocr": True, "hidden_layer": False, "chars": 0, "text_ok": True, "script": "Latin", "ink": 0.03, "dpi": 300, "size_px": [2000, 3000], "grade": "good", "low": 0.9, "layer_words": 0, "layer_verdict": None, "asked": 0, "read": 0, "runaway": False, "layout": False, "ragged": False, "blank_table": False, "has_table": False, "column_types": False, "running_balance": False, "totals": False}
